@@ -22,8 +22,10 @@ def resolve_models(requests: DataFrame, availability: DataFrame) -> DataFrame:
     ``availability`` holds ``model, host, is_primary, priority``: the primary registry wins, then
     the hosts in configured order. A grouped minimum, so a model on many hosts is no hot spot.
     """
-    rank = F.when(F.col("is_primary"), F.lit(-1)).otherwise(F.col("priority"))
-    best = availability.groupBy("model").agg(F.min_by("host", rank).alias("host"))
+    primary = F.when(F.col("is_primary"), F.col("priority"))
+    best = availability.groupBy("model").agg(
+        F.coalesce(F.min_by("host", primary), F.min_by("host", "priority")).alias("host")
+    )
     return requests.join(best, "model", "left")
 
 

@@ -738,4 +738,5 @@ def stream_deltas(spark, sf_dir):
 @query
 def stream_requests_by_minute(spark, sf_dir):
     log = fixtures.request_log_of(read_table_stream(spark, sf_dir, "events.parquet"))
-    return to_table(counter.requests_by_minute(log), "minutes")
+    minutes = to_table(counter.requests_by_minute(log), "minutes")
+    return minutes.withColumn("minute_start", F.col("minute_start").cast("timestamp_ntz"))

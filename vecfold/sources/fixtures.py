@@ -170,7 +170,7 @@ def request_log_of(events: DataFrame) -> DataFrame:
         F.col("user_id").cast("string").alias("user_id"),
         F.col("value").alias("response_time_ms"),
         F.when(kind == "error", F.lit(500)).otherwise(F.lit(200)).alias("status_code"),
-        F.col("ts").alias("ts"),
+        F.col("ts").cast("timestamp").alias("ts"),
     )
 
 
