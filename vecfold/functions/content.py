@@ -14,9 +14,14 @@ def canonical_json(text: Column) -> Column:
     return F.to_json(F.parse_json(F.coalesce(text, F.lit("{}"))))
 
 
+def metadata_fields(metadata: Column) -> Column:
+    """Metadata as a map of texts."""
+    return F.from_json(metadata, "map<string,string>")
+
+
 def metadata_value(metadata: Column, key: str) -> Column:
     """A metadata field as text, null when missing or JSON null. Dots in the key are literal."""
-    return F.element_at(F.from_json(metadata, "map<string,string>"), F.lit(key))
+    return F.element_at(metadata_fields(metadata), F.lit(key))
 
 
 def vector_text(vector: Column) -> Column:

@@ -57,6 +57,14 @@ def visible(rows: DataFrame, allowed: Allowed) -> DataFrame:
     return rows.where(F.col("authz").isin(list(allowed))) if allowed else rows.where(F.lit(False))
 
 
+def with_visibility(rows: DataFrame, allowed: Allowed) -> DataFrame:
+    """All rows with a ``visible`` column."""
+    if isinstance(allowed, DataFrame):
+        held = allowed.select("authz").distinct().withColumn("held", F.lit(True))
+        return rows.join(held, "authz", "left").withColumn("visible", F.col("held").isNotNull()).drop("held")
+    return rows.withColumn("visible", F.col("authz").isin(list(allowed)) if allowed else F.lit(False))
+
+
 def write_violations(rows: DataFrame, allowed: Allowed) -> DataFrame:
     """Rows to write whose ``authz`` the caller does not hold; any such row fails the statement."""
     if isinstance(allowed, DataFrame):

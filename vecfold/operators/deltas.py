@@ -66,7 +66,8 @@ def stream_events(chunks: DataFrame, part_size: int = CHUNKS_PER_PART) -> DataFr
         F.lit(TEXT_DELTA).alias("type"),
         F.coalesce("delta", F.lit("")).alias("text"),
     )
-    totals = chunks.groupBy("response_id").agg(F.count(F.lit(1)).alias("n"))
+    parts = assemble_deltas(chunks, part_size)
+    totals = parts.groupBy("response_id").agg(F.sum("chunks").alias("n"))
     fixed = totals.select(
         "response_id",
         F.inline(
@@ -77,7 +78,7 @@ def stream_events(chunks: DataFrame, part_size: int = CHUNKS_PER_PART) -> DataFr
             )
         ),
     ).select("response_id", "sequence_number", first_part.alias("part"), "type", nothing.alias("text"))
-    done = assemble_deltas(chunks, part_size).join(totals, "response_id").select(
+    done = parts.join(totals, "response_id").select(
         "response_id",
         (F.col("n") + 2).alias("sequence_number"),
         F.col("part").cast("long").alias("part"),

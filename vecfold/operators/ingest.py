@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vecfold.functions.content import canonical_json, derived_id, hash_uuid, vector_text
 from vecfold.functions.names import authz_is_valid, default_authz
 from vecfold.functions.vectors import half_overflows, stored_vector
-from vecfold.operators.access import Allowed, visible
+from vecfold.operators.access import Allowed, visible, with_visibility
 from vecfold.operators.search import BadRequest
 from vecfold.schemas import CONTENT_KEY, EMBEDDINGS, JSON_BATCH_ROW
 
@@ -84,6 +84,11 @@ def dedup_batch(prepared: DataFrame) -> DataFrame:
     )
 
 
+def unique_keys(prepared: DataFrame) -> DataFrame:
+    """The content keys of a batch with ``first_pos`` and ``copies``, without the vectors."""
+    return prepared.groupBy(*CONTENT_KEY).agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("copies"))
+
+
 def fan_out(prepared: DataFrame, unique: DataFrame, columns: list[str]) -> DataFrame:
     """Every input position with ``columns`` of its unique row.
 
@@ -115,11 +120,17 @@ def new_rows(unique: DataFrame, batch_id: str, now: Column) -> DataFrame:
     )
 
 
-def insert(state: DataFrame, unique: DataFrame, batch_id: str, now: Column) -> DataFrame:
+def insert(state: DataFrame, prepared: DataFrame, batch_id: str, now: Column) -> DataFrame:
     """The rows an all-or-nothing insert adds; raises when any key is stored already."""
-    if insert_conflicts(unique, state).first() is not None:
+    if insert_conflicts(unique_keys(prepared), state).first() is not None:
         raise Conflict("one or more embeddings already exist, nothing was inserted")
-    return new_rows(unique, batch_id, now)
+    return new_rows(dedup_batch(prepared), batch_id, now)
+
+
+def insert_result(prepared: DataFrame, batch_id: str) -> DataFrame:
+    """Every input position of an insert with the id of its row, which its key and batch fix."""
+    new_id = derived_id(batch_id, *[F.col(c) for c in CONTENT_KEY])
+    return prepared.select("pos", *CONTENT_KEY, new_id.alias("embedding_id"))
 
 
 def match_stored(unique: DataFrame, state: DataFrame) -> DataFrame:
@@ -150,9 +161,12 @@ def upsert_state(state: DataFrame, unique: DataFrame, batch_id: str, now: Column
     )
 
 
-def upsert_result(prepared: DataFrame, unique: DataFrame, state: DataFrame, batch_id: str) -> DataFrame:
-    """Per input position: the id of its row, whether it was new, and its representative."""
-    resolved = resolve_ids(match_stored(unique, state), batch_id)
+def upsert_result(prepared: DataFrame, state: DataFrame, batch_id: str) -> DataFrame:
+    """Per input position: the id of its row, whether it was new, and its representative.
+
+    Only keys and positions move, never vectors.
+    """
+    resolved = resolve_ids(match_stored(unique_keys(prepared), state), batch_id)
     return fan_out(prepared, resolved, ["first_pos", "embedding_id", "stored_id", "action"])
 
 
@@ -171,14 +185,8 @@ def update_by_id(state: DataFrame, updates: DataFrame, allowed: Allowed, now: Co
     """
     fields = ["embedding", "metadata", "authz"]
     merged = updates.groupBy("collection_id", "embedding_id").agg(*[_last_given(c) for c in fields])
-    if isinstance(allowed, DataFrame):
-        seen = state.join(allowed.select("authz"), "authz", "left_semi").select("collection_id", "embedding_id")
-        merged = merged.join(seen, ["collection_id", "embedding_id"], "left_semi")
-        may_change = F.lit(True)
-    else:
-        may_change = F.col("authz").isin(list(allowed)) if allowed else F.lit(False)
-    joined = state.join(merged, ["collection_id", "embedding_id"], "left")
-    given = {c: may_change & F.col(f"new_{c}").isNotNull() for c in fields}
+    joined = with_visibility(state, allowed).join(merged, ["collection_id", "embedding_id"], "left")
+    given = {c: F.col("visible") & F.col(f"new_{c}").isNotNull() for c in fields}
     new_metadata = canonical_json(F.col("new_metadata"))
     changed = given["embedding"] | given["metadata"] | given["authz"]
     return joined.select(
@@ -228,16 +236,16 @@ def put_mixed(
     if update_conflicts(updated).first() is not None:
         raise Conflict("an update would duplicate a stored embedding")
     updated = updated.drop("changed")
-    unique = dedup_batch(without_id)
-    by_key = upsert_result(without_id, unique, updated, batch_id).select("pos", "embedding_id", "action")
+    by_key = upsert_result(without_id, updated, batch_id).select("pos", "embedding_id", "action")
     by_id = with_id.select("pos", "embedding_id", F.lit("updated").alias("action"))
     result = by_key.unionByName(by_id).withColumnRenamed("pos", "input_index").orderBy("input_index")
-    return upsert_state(updated, unique, batch_id, now), result
+    return upsert_state(updated, dedup_batch(without_id), batch_id, now), result
 
 
 def delete_by_ids(state: DataFrame, targets: DataFrame, allowed: Allowed) -> tuple[DataFrame, DataFrame]:
     """(remaining rows, deleted ids) for visible rows named by ``collection_id, embedding_id``."""
-    deleted = visible(state, allowed).select("collection_id", "embedding_id").join(
-        targets.select("collection_id", "embedding_id"), ["collection_id", "embedding_id"], "left_semi"
-    )
-    return state.join(deleted, ["collection_id", "embedding_id"], "left_anti"), deleted
+    row_id = ["collection_id", "embedding_id"]
+    named = targets.select(*row_id).distinct().withColumn("named", F.lit(True))
+    marked = with_visibility(state, allowed).join(named, row_id, "left")
+    goes = F.col("visible") & F.col("named").isNotNull()
+    return marked.where(~goes).select(*state.columns), marked.where(goes).select(*row_id)

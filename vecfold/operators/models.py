@@ -34,9 +34,8 @@ def trusted_models(models: DataFrame, hosts: Sequence[str] | DataFrame) -> DataF
     origin = url_origin(F.col("url"))
     own_url = F.coalesce("url", F.lit("")) != ""
     if isinstance(hosts, DataFrame):
-        allowed = hosts.select(url_origin(F.col("host")).alias("origin")).distinct()
-        named = models.where(own_url).withColumn("origin", origin)
-        kept = named.join(allowed, "origin", "left_semi").drop("origin")
-        return kept.unionByName(models.where(~own_url))
+        trusted = hosts.select(url_origin(F.col("host")).alias("origin"), F.lit(True).alias("trusted")).distinct()
+        checked = models.withColumn("origin", origin).join(trusted, "origin", "left")
+        return checked.where(~own_url | F.col("trusted")).select(*models.columns)
     allowed = [url_origin(F.lit(host)) for host in hosts]
     return models.where(~own_url | origin.isin(allowed)) if allowed else models.where(~own_url)

@@ -4,12 +4,14 @@ The plan is a pruned scan, a projection of ``value`` and one top-k: every task k
 so no vector is shuffled.
 """
 
+import operator
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecfold.functions.content import metadata_value
+from vecfold.functions.content import metadata_fields
 from vecfold.functions.names import collection_path, embedding_path, normalize_name, split_names
 from vecfold.functions.vectors import distance_to, half_query
 from vecfold.operators.access import Allowed, visible
@@ -32,10 +34,15 @@ def check_query(query: Sequence[float], dimensions: int | None = None) -> list[f
 
 def metadata_filter(filters: Mapping[str, str] | None) -> Column:
     """All fields equal as text; a missing field or JSON null never matches."""
-    condition = F.lit(True)
-    for key, wanted in (filters or {}).items():
-        condition = condition & (metadata_value(F.col("metadata"), key) == F.lit(wanted))
-    return condition
+    if not filters:
+        return F.lit(True)
+
+    def matches(fields: Column) -> Column:
+        conditions = [F.element_at(fields, F.lit(key)) == F.lit(wanted) for key, wanted in filters.items()]
+        return reduce(operator.and_, conditions)
+
+    # As the element of an array the metadata is parsed once for all fields.
+    return F.exists(F.array(metadata_fields(F.col("metadata"))), matches)
 
 
 def value_bounds(min_value: float | None, max_value: float | None) -> Column:

@@ -294,7 +294,8 @@ SELECT first_pos, u.collection_id FROM uniq u
 WHERE EXISTS (SELECT 1 FROM emb e WHERE e.collection_id = u.collection_id AND e.raw = u.raw
               AND e.metadata = u.metadata AND e.authz = u.authz)""",
     "insert_result": f"""{_INGEST}
-SELECT pos, vec_id * 2 AS first_pos, collection_id, authz, 36 AS id_length FROM batch""",
+SELECT pos, collection_id, authz, '{{"i":"' || vec_id || '","rev":2}}' AS stored_metadata, 36 AS id_length
+FROM batch""",
     "upsert_result": f"""{_INGEST}
 SELECT pos, first_pos, embedding_id AS stored_id,
        CASE WHEN embedding_id IS NULL THEN 'inserted' ELSE 'touched' END AS action

@@ -451,14 +451,14 @@ def batch_dedup(spark, sf_dir):
 @query
 def batch_fanout(spark, sf_dir):
     prepared = _prepared(spark, sf_dir)
-    return ingest.fan_out(prepared, ingest.dedup_batch(prepared), ["first_pos", "copies"]).select(
+    return ingest.fan_out(prepared, ingest.unique_keys(prepared), ["first_pos", "copies"]).select(
         "pos", "first_pos", "copies"
     )
 
 
 @query
 def insert_conflicts(spark, sf_dir):
-    unique = ingest.dedup_batch(_prepared(spark, sf_dir))
+    unique = ingest.unique_keys(_prepared(spark, sf_dir))
     return ingest.insert_conflicts(unique, fixtures.embeddings(spark, sf_dir)).select("first_pos", "collection_id")
 
 
@@ -467,17 +467,17 @@ def insert_result(spark, sf_dir):
     revised = F.to_json(F.struct(F.lit(2).alias("rev"), metadata_value(F.col("metadata"), "i").alias("i")))
     batch = fixtures.incoming_batch(spark, sf_dir).withColumn("metadata", revised)
     prepared = ingest.prepare_batch(batch, fixtures.collections(spark, sf_dir))
-    unique = ingest.dedup_batch(prepared)
-    added = ingest.insert(fixtures.embeddings(spark, sf_dir), unique, BATCH, _now())
-    keyed = unique.join(added.select(*ingest.CONTENT_KEY, "embedding_id"), ingest.CONTENT_KEY)
-    placed = ingest.fan_out(prepared, keyed, ["first_pos", "embedding_id"])
-    return placed.select("pos", "first_pos", "collection_id", "authz", F.length("embedding_id").alias("id_length"))
+    added = ingest.insert(fixtures.embeddings(spark, sf_dir), prepared, BATCH, _now())
+    placed = ingest.insert_result(prepared, BATCH).join(
+        added.select("embedding_id", F.col("metadata").alias("stored_metadata")), "embedding_id"
+    )
+    return placed.select("pos", "collection_id", "authz", "stored_metadata", F.length("embedding_id").alias("id_length"))
 
 
 @query
 def upsert_result(spark, sf_dir):
     prepared = _prepared(spark, sf_dir)
-    result = ingest.upsert_result(prepared, ingest.dedup_batch(prepared), fixtures.embeddings(spark, sf_dir), BATCH)
+    result = ingest.upsert_result(prepared, fixtures.embeddings(spark, sf_dir), BATCH)
     return result.select("pos", "first_pos", "stored_id", "action")
 
 

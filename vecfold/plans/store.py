@@ -82,12 +82,9 @@ class VectorStore:
         """All-or-nothing bulk insert; gives ``pos, embedding_id`` for every input position."""
         generation, known, prepared, state, touched = self._start(batch)
         access.check_writable(prepared, allowed)
-        unique = ingest.dedup_batch(prepared)
-        added = ingest.insert(state, unique, batch_id, now if now is not None else F.current_timestamp())
+        added = ingest.insert(state, prepared, batch_id, now if now is not None else F.current_timestamp())
         self.tables.commit(known, state.unionByName(added), touched, expect=generation)
-        return ingest.fan_out(prepared, ingest.resolve_ids(ingest.match_stored(unique, state), batch_id), ["embedding_id"]).select(
-            "pos", "embedding_id"
-        )
+        return ingest.insert_result(prepared, batch_id).select("pos", "embedding_id")
 
     def put(self, batch: DataFrame, allowed: Allowed, batch_id: str, now: Column | None = None) -> DataFrame:
         """Bulk put: items with an id update it, the others upsert, in one commit."""

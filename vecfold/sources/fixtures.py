@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 from vecfold.functions.content import hash_uuid, vector_text
 from vecfold.functions.names import collection_path, url_origin
 from vecfold.functions.vectors import stored_vector
+from vecfold.schemas import COLLECTIONS
+from vecfold.session import scratch_path
 
 SERVICE = "vectorstore"
 CREATED = "2024-01-01 00:00:00"
 CHUNK_CHARACTERS = 16
+DIMENSIONS = 64
 
 # What the reading caller of the test queries holds: seven collections and one programme.
 CALLER = [f"/vectorstore/collections/c{n}" for n in range(7)] + ["/programs/p0"]
@@ -31,22 +34,38 @@ def vector_id(vec_id: Column) -> Column:
     return hash_uuid(vec_id.cast("string"))
 
 
-def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _labelled_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One collection per label of the vectors."""
     label = F.col("label")
-    sizes = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.max(F.size("embedding")).alias("dimensions"))
-    return sizes.select(
+    return table(spark, sf_dir, "embeddings").select("label").distinct().select(
         (label + 1).cast("long").alias("id"),
         _name(label).alias("collection_name"),
         F.concat(F.lit("label "), label.cast("string")).alias("description"),
         F.concat(F.lit("model-"), (label % 2).cast("string")).alias("ai_model_name"),
-        "dimensions",
+        F.lit(DIMENSIONS).alias("dimensions"),
         _vector_type(label).alias("vector_type"),
         F.lit(CREATED).cast("timestamp").alias("created_at"),
         F.lit(CREATED).cast("timestamp").alias("updated_at"),
     )
 
 
+_catalogs: dict[tuple[str, str], str] = {}
+
+
+def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog as a stored table, written once per application.
+
+    As in a real store its size is then known when a query is planned, so it is broadcast to the
+    vectors when it is small, and only then.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _catalogs:
+        path = scratch_path(spark, "catalog")
+        _labelled_collections(spark, sf_dir).coalesce(1).write.parquet(path)
+        _catalogs[key] = path
+    return spark.read.schema(COLLECTIONS).parquet(_catalogs[key])
+
+
 def _metadata(vec_id: Column) -> Column:
     return F.to_json(
         F.struct(vec_id.alias("i"), F.concat(F.lit("src"), (vec_id % 7).cast("string")).alias("source"))

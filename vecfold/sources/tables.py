@@ -62,19 +62,9 @@ class Tables:
         folders = self._current().where("folder is not null").select("folder", "id", "vector_type").collect()
         if not folders:
             return self.spark.createDataFrame([], EMBEDDINGS)
-        parts: dict[str, list[str]] = {}
-        for row in folders:
-            parts.setdefault(row.folder, []).append(f"vector_type={row.vector_type}/collection_id={row.id}")
-        frames = [
-            self.spark.read.schema(EMBEDDINGS)
-            .option("basePath", f"{self.root}/embeddings/{folder}")
-            .parquet(*[f"{self.root}/embeddings/{folder}/{part}" for part in kept])
-            for folder, kept in parts.items()
-        ]
-        rows = frames[0]
-        for frame in frames[1:]:
-            rows = rows.unionByName(frame)
-        return rows.select(*EMBEDDINGS.names)
+        base = f"{self.root}/embeddings"
+        paths = [f"{base}/folder={r.folder}/vector_type={r.vector_type}/collection_id={r.id}" for r in folders]
+        return self.spark.read.schema(EMBEDDINGS).option("basePath", base).parquet(*paths).select(*EMBEDDINGS.names)
 
     def commit(
         self,
@@ -95,8 +85,8 @@ class Tables:
         folder = F.col("old_folder")
         if touched is not None and collection_ids:
             name = f"from-{current}-{uuid.uuid4().hex}"
-            self._write_rows(touched, f"{self.root}/embeddings/{name}")
-            written = self.spark.read.schema(EMBEDDINGS).parquet(f"{self.root}/embeddings/{name}")
+            self._write_rows(touched, f"{self.root}/embeddings/folder={name}")
+            written = self.spark.read.schema(EMBEDDINGS).parquet(f"{self.root}/embeddings/folder={name}")
             written = written.select(F.col("collection_id").alias("id"), F.lit(name).alias("new_folder")).distinct()
             rows = rows.join(written, "id", "left")
             folder = F.when(F.col("id").isin(list(collection_ids)), F.col("new_folder")).otherwise(folder)
