@@ -125,4 +125,7 @@ def search_cells_exact(
         lengths = F.array(*[F.lit(float(d)) for d in to_centroid])
         near = F.abs(F.get(lengths, F.col("cell")) - F.col("radius")) <= F.lit(bound)
         rows = rows.where(F.col("cell").isin([int(c) for c in open_cells])).where(near)
+        # The widest of these bounds reaches the scan, where row groups (sorted by radius) drop out.
+        reach = to_centroid[open_cells]
+        rows = rows.where(F.col("radius").between(float(reach.min() - bound), float(reach.max() + bound)))
     return search_rows(rows, query, allowed=allowed, metric=Metric.l2_distance, top_k=top_k, **options)

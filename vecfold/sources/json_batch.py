@@ -14,5 +14,5 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     """Files that each hold one JSON array, as rows with ``path`` and ``pos`` in the array."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return parse_json_batch(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document")))
