@@ -229,34 +229,3 @@ def test_json_sources(spark, tmp_path):
     (tmp_path / "lines" / "b.json").write_text('{"collection_id": 2, "embedding": [1.0], "authz": "/a"}\n')
     line = read_json_lines(spark, str(tmp_path / "lines")).first()
     assert (line.collection_id, line.embedding, line.authz) == (2, [1.0], "/a")
-
-
-def test_hot_keys_split(spark):
-    """A key with a third of the input: copies merge before the shuffle, the fan-out join splits."""
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "10k",
-    }
-    before = {key: spark.conf.get(key, None) for key in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-    try:
-        n = F.col("id")
-        hot = F.when(n % 3 == 0, F.lit(0)).otherwise(n).cast("string")
-        prepared = spark.range(0, 200_000, 1, 8).select(
-            n.alias("pos"), F.lit(1).cast("long").alias("collection_id"), F.md5(hot).alias("embedding_hash"),
-            F.lit("m").alias("metadata_hash"), F.lit("/a").alias("authz"),
-        )
-        fanned = ingest.fan_out(prepared, ingest.unique_keys(prepared), ["first_pos", "copies"])
-        assert fanned.count() == 200_000
-        assert fanned.where("copies > 1").agg(F.min("copies"), F.max("first_pos")).first() == (66667, 0)
-        counted = fanned.groupBy().agg(F.count(F.lit(1)).alias("n"))
-        counted.collect()
-        assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecfold.operators.skew import lookup_join
 from vecfold.schemas import COLLECTIONS_PATH
 
 # A caller's list: literal paths, or a one-column frame of them when it is long.
@@ -50,25 +51,29 @@ def collection_names(allowed: Sequence[str]) -> list[str]:
     return sorted({tail for tail in tails if tail and "/" not in tail})
 
 
+def _held(allowed: DataFrame) -> DataFrame:
+    return allowed.select("authz").distinct()
+
+
 def visible(rows: DataFrame, allowed: Allowed) -> DataFrame:
     """Rows whose ``authz`` the caller may read; an empty list shows nothing."""
     if isinstance(allowed, DataFrame):
-        return rows.join(allowed.select("authz"), "authz", "left_semi")
+        return lookup_join(rows, _held(allowed), ["authz"], "left_semi")
     return rows.where(F.col("authz").isin(list(allowed))) if allowed else rows.where(F.lit(False))
 
 
 def with_visibility(rows: DataFrame, allowed: Allowed) -> DataFrame:
     """All rows with a ``visible`` column."""
     if isinstance(allowed, DataFrame):
-        held = allowed.select("authz").distinct().withColumn("held", F.lit(True))
-        return rows.join(held, "authz", "left").withColumn("visible", F.col("held").isNotNull()).drop("held")
+        held = _held(allowed).withColumn("held", F.lit(True))
+        return lookup_join(rows, held, ["authz"], "left").withColumn("visible", F.col("held").isNotNull()).drop("held")
     return rows.withColumn("visible", F.col("authz").isin(list(allowed)) if allowed else F.lit(False))
 
 
 def write_violations(rows: DataFrame, allowed: Allowed) -> DataFrame:
     """Rows to write whose ``authz`` the caller does not hold; any such row fails the statement."""
     if isinstance(allowed, DataFrame):
-        return rows.join(allowed.select("authz"), "authz", "left_anti")
+        return lookup_join(rows, _held(allowed), ["authz"], "left_anti")
     return rows.where(~F.col("authz").isin(list(allowed))) if allowed else rows
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from vecfold.functions.names import normalize_name
 from vecfold.operators.access import Allowed, NotAllowed, allowed_collections, collection_names
 from vecfold.operators.search import BadRequest
+from vecfold.operators.skew import lookup_join
 from vecfold.schemas import COLLECTIONS
 
 
@@ -23,19 +24,19 @@ def classify_new_collections(requested: DataFrame, catalog: DataFrame, allowed:
     Of several requests for one name the first (by ``pos``) is created, the others conflict.
     """
     named = requested.withColumn("collection_name", normalize_name(F.col("requested_name")))
-    permitted = allowed_names(named.select("collection_name").distinct(), allowed).withColumn("permitted", F.lit(True))
+    valid = named.where("collection_name is not null")
+    names = valid.groupBy("collection_name").agg(F.min("pos").alias("first_pos"))
+    permitted = allowed_names(names, allowed).select("collection_name", F.lit(True).alias("permitted"))
     taken = catalog.select("collection_name", F.lit(True).alias("taken"))
-    first = named.groupBy("collection_name").agg(F.min("pos").alias("first_pos"))
-    joined = named.join(permitted, "collection_name", "left").join(taken, "collection_name", "left").join(
-        first, "collection_name", "left"
-    )
+    facts = names.join(permitted, "collection_name", "left").join(taken, "collection_name", "left")
     outcome = (
-        F.when(F.col("collection_name").isNull(), F.lit("invalid"))
-        .when(F.col("permitted").isNull(), F.lit("forbidden"))
+        F.when(F.col("permitted").isNull(), F.lit("forbidden"))
         .when(F.col("taken").isNotNull() | (F.col("pos") != F.col("first_pos")), F.lit("conflict"))
         .otherwise(F.lit("created"))
     )
-    return joined.withColumn("outcome", outcome).drop("permitted", "taken", "first_pos")
+    judged = lookup_join(valid, facts, ["collection_name"]).withColumn("outcome", outcome)
+    invalid = named.where("collection_name is null").withColumn("outcome", F.lit("invalid"))
+    return judged.select(*invalid.columns).unionByName(invalid)
 
 
 def create_collections(requested: DataFrame, catalog: DataFrame, allowed: Allowed, now: Column) -> DataFrame:

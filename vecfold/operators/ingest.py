@@ -13,6 +13,7 @@ from vecfold.functions.names import authz_is_valid, default_authz
 from vecfold.functions.vectors import half_overflows, stored_vector
 from vecfold.operators.access import Allowed, visible, with_visibility
 from vecfold.operators.search import BadRequest
+from vecfold.operators.skew import lookup_join
 from vecfold.schemas import CONTENT_KEY, EMBEDDINGS, JSON_BATCH_ROW
 
 
@@ -90,12 +91,8 @@ def unique_keys(prepared: DataFrame) -> DataFrame:
 
 
 def fan_out(prepared: DataFrame, unique: DataFrame, columns: list[str]) -> DataFrame:
-    """Every input position with ``columns`` of its unique row.
-
-    ``unique`` has one row per key; a hot key sits on the input side only, where Spark's skew
-    join can split it.
-    """
-    return prepared.select("pos", *CONTENT_KEY).join(unique.select(*CONTENT_KEY, *columns), CONTENT_KEY)
+    """Every input position with ``columns`` of its unique row."""
+    return lookup_join(prepared.select("pos", *CONTENT_KEY), unique.select(*CONTENT_KEY, *columns), CONTENT_KEY)
 
 
 def insert_conflicts(unique: DataFrame, state: DataFrame) -> DataFrame:

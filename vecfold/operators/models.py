@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecfold.functions.names import url_origin
+from vecfold.operators.skew import lookup_join
 
 # Protocol names in order of preference.
 PROTOCOLS = ["openresponses", "openai_chat"]
@@ -26,7 +27,7 @@ def resolve_models(requests: DataFrame, availability: DataFrame) -> DataFrame:
     best = availability.groupBy("model").agg(
         F.coalesce(F.min_by("host", primary), F.min_by("host", "priority")).alias("host")
     )
-    return requests.join(best, "model", "left")
+    return lookup_join(requests, best, ["model"], "left")
 
 
 def trusted_models(models: DataFrame, hosts: Sequence[str] | DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def trusted_models(models: DataFrame, hosts: Sequence[str] | DataFrame) -> DataF
     own_url = F.coalesce("url", F.lit("")) != ""
     if isinstance(hosts, DataFrame):
         trusted = hosts.select(url_origin(F.col("host")).alias("origin"), F.lit(True).alias("trusted")).distinct()
-        checked = models.withColumn("origin", origin).join(trusted, "origin", "left")
+        checked = lookup_join(models.withColumn("origin", origin), trusted, ["origin"], "left")
         return checked.where(~own_url | F.col("trusted")).select(*models.columns)
     allowed = [url_origin(F.lit(host)) for host in hosts]
     return models.where(~own_url | origin.isin(allowed)) if allowed else models.where(~own_url)

@@ -9,6 +9,7 @@ from vecfold.functions.names import embedding_path
 from vecfold.functions.vectors import vector_bytes
 from vecfold.operators.access import Allowed, visible, visible_collections
 from vecfold.operators.search import info_struct
+from vecfold.operators.skew import lookup_join
 from vecfold.schemas import DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE
 
 
@@ -41,9 +42,7 @@ def requested_rows(embeddings: DataFrame, requests: DataFrame, allowed: Allowed)
 
     Ids that do not exist or are hidden vanish. ``input_index`` is the zero-based position.
     """
-    # The table holds an id once, so a popular id only grows the request side, which Spark's
-    # skew join splits.
-    joined = requests.join(visible(embeddings, allowed), "embedding_id")
+    joined = lookup_join(requests, visible(embeddings, allowed), ["embedding_id"])
     return joined.withColumnRenamed("pos", "input_index")
 
 
