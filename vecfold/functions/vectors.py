@@ -19,7 +19,9 @@ ARROW_MIN_DIMENSIONS = 256
 
 
 def vector_literal(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """A constant double array, made in one call however long it is."""
+    numbers = [f"{float(v)!r}D" if np.isfinite(v) else f"double('{float(v)!r}')" for v in values]
+    return F.expr(f"array({','.join(numbers)})")
 
 
 def _sum(array: Column) -> Column:

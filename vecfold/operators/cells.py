@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecfold.functions.vectors import as_matrix
+from vecfold.functions.vectors import as_matrix, vector_literal
 from vecfold.operators.access import Allowed
 from vecfold.operators.search import search_rows
 from vecfold.schemas import DEFAULT_TOP_K, Metric
@@ -122,7 +122,7 @@ def search_cells_exact(
         bound = found.worst * (1 + 1e-9) + 1e-9
         to_centroid = cells.distances(query)
         open_cells = np.flatnonzero((cells.radii >= 0) & (to_centroid - cells.radii <= bound))
-        lengths = F.array(*[F.lit(float(d)) for d in to_centroid])
+        lengths = vector_literal(to_centroid)
         near = F.abs(F.get(lengths, F.col("cell")) - F.col("radius")) <= F.lit(bound)
         rows = rows.where(F.col("cell").isin([int(c) for c in open_cells])).where(near)
         # The widest of these bounds reaches the scan, where row groups (sorted by radius) drop out.

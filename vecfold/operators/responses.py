@@ -169,6 +169,13 @@ def chat_tool_choice(choice: Column) -> Column:
     return F.when(choice.isNotNull(), F.struct(mode.alias("mode"), name.alias("function_name")))
 
 
+def allowed_function_tools(choice: Column) -> Column:
+    """The names of the function tools an allowed-tools choice lists, ``unknown`` where unnamed."""
+    functions = F.filter(choice["tools"], lambda t: t["type"] == "function")
+    names = F.transform(functions, lambda t: F.coalesce(t["name"], F.lit("unknown")))
+    return F.when(choice["type"] == "allowed_tools", names)
+
+
 def normalize_output(output: Column) -> Column:
     """Output items with one vocabulary; unknown types drop, order stays."""
 

@@ -260,6 +260,17 @@ FROM (SELECT * FROM cols WHERE id <= 7 ORDER BY collection_name LIMIT 3 OFFSET 3
     "page_embeddings": f"""{_ROWS}
 SELECT embedding_id, 2 AS page, CASE WHEN count(*) OVER () = 10 THEN 3 END AS next_page, 1 AS prev_page
 FROM (SELECT * FROM seen WHERE collection_id = 1 ORDER BY embedding_id LIMIT 10 OFFSET 10)""",
+    "page_embeddings_after": f"""{_ROWS}
+SELECT embedding_id, authz FROM seen
+WHERE collection_id = 1 AND embedding_id > (SELECT embedding_id FROM emb WHERE vec_id = 0)
+ORDER BY embedding_id LIMIT 10""",
+    "stored_search": _search("cosine", "collection_id = 4", columns="authz, metadata,"),
+    "stored_search_all": _search(
+        "l1", "collection_id IN (3, 6)", columns="collection_name,", query=_HALF_QUERY
+    ),
+    "stored_bulk_read": f"""{_ROWS}, {_REQUESTS}
+SELECT pos AS input_index, embedding_id, 'float16' AS "precision", 172 AS encoded_length
+FROM requests JOIN seen USING (embedding_id) WHERE collection_id = 6""",
     "count_visible": f"{_ROWS} SELECT count(*) AS available_embeddings_count FROM seen WHERE collection_id = 1",
     "collections_with_counts": f"""{_ROWS}
 SELECT id, cols.collection_name, count(seen.vec_id) AS available_embeddings_count
@@ -395,6 +406,24 @@ FROM t""",
 SELECT 'r-' || conv_id || '-' || turn AS id, pos, 'r-' || conv_id || '-' || turn AS call_id,
        CASE WHEN pos = 0 THEN 'lookup' ELSE 'count' END AS name, '{"n": ' || length(text) || '}' AS arguments
 FROM conversations, (SELECT unnest([0, 1]) AS pos) WHERE pos = 0 OR turn % 2 = 0""",
+    "request_tools": """
+SELECT 'r-' || conv_id || '-' || turn AS id, 'lookup_' || role || ',count_' || role AS names,
+       '{"size": ' || length(text) || '}' AS parameters, turn % 2 = 0 AS strict,
+       CASE WHEN turn % 4 = 0 THEN 'required' END AS mode,
+       CASE turn % 4 WHEN 1 THEN 'lookup' WHEN 2 THEN 'lookup_' || role END AS chosen,
+       CASE WHEN turn % 4 = 2 THEN 'lookup_' || role || ',count_' || role END AS allowed
+FROM conversations""",
+    "response_metadata": """
+SELECT 'r-' || conv_id || '-' || turn AS id,
+       CASE WHEN turn % 3 <> 1 THEN 2 ELSE 0 END
+       + CASE WHEN turn % 2 = 0 THEN CASE WHEN turn % 3 <> 1 THEN 1 ELSE 2 END ELSE 0 END AS entries,
+       CASE WHEN turn % 3 <> 1 THEN role END AS role_entry,
+       CASE WHEN turn % 2 = 0 THEN 'caller' WHEN turn % 3 <> 1 THEN 'reply' END AS from_entry,
+       CASE WHEN turn % 2 = 0 THEN turn::varchar END AS turn_entry
+FROM conversations""",
+    "stream_usage": f"""{_with(_CHUNKS)}
+SELECT response_id, seq + 1 AS completion_tokens, length(delta)::int AS last_length FROM chunks
+WHERE seq % 3 = 0 QUALIFY row_number() OVER (PARTITION BY response_id ORDER BY seq DESC) = 1""",
     "normalize_settings": """
 SELECT 'r-' || conv_id || '-' || turn AS id,
        ['completed', 'unknown', 'failed'][1 + turn % 3] AS status,

@@ -399,6 +399,38 @@ def request_counter(spark, sf_dir):
     return requests.count_requests(fixtures.request_log(spark, sf_dir))
 
 
+@query
+def page_embeddings_after(spark, sf_dir):
+    """The page after a known id, here the id of the first vector."""
+    last = fixtures.embeddings(spark, sf_dir).where(metadata_value(F.col("metadata"), "i") == "0").first()
+    page = reads.embeddings_after(fixtures.embeddings(spark, sf_dir), 1, fixtures.CALLER, last.embedding_id, 10)
+    return page.select("embedding_id", "authz")
+
+
+@query
+def stored_search(spark, sf_dir):
+    """A search in the stored tables: only the collection's partition is read."""
+    store = VectorStore(spark, fixtures.stored_root(spark, sf_dir))
+    hits = store.search("c3", fixtures.query_vector(spark, sf_dir), fixtures.CALLER, columns=["authz", "metadata"])
+    return _rounded(hits)
+
+
+@query
+def stored_search_all(spark, sf_dir):
+    store = VectorStore(spark, fixtures.stored_root(spark, sf_dir))
+    query_vector = fixtures.query_vector(spark, sf_dir)
+    hits = store.search_all(query_vector, fixtures.CALLER, names="c5, C2", vector_type="halfvec", metric="l1_distance")
+    return _rounded(hits)
+
+
+@query
+def stored_bulk_read(spark, sf_dir):
+    """Requested rows of one stored collection in order, with their vectors as bytes."""
+    store = VectorStore(spark, fixtures.stored_root(spark, sf_dir))
+    found = store.read_ordered("c5", fixtures.id_requests(spark, sf_dir), fixtures.CALLER)
+    return found.select("input_index", "embedding_id", "precision", F.length("vector_base64").alias("encoded_length"))
+
+
 # Table changes
 
 
@@ -499,10 +531,6 @@ def upsert_state(spark, sf_dir):
     return _state_rows(ingest.upsert_state(fixtures.embeddings(spark, sf_dir), unique, BATCH, _now()))
 
 
-def _all_authz(spark, sf_dir):
-    return fixtures.embeddings(spark, sf_dir).select("authz").distinct()
-
-
 @query
 def update_by_id(spark, sf_dir):
     """Two updates for every row, each of some fields."""
@@ -540,7 +568,7 @@ def put_mixed(spark, sf_dir):
     )
     prepared = ingest.prepare_batch(batch, fixtures.collections(spark, sf_dir))
     _, result = ingest.put_mixed(
-        fixtures.embeddings(spark, sf_dir), prepared, _all_authz(spark, sf_dir), BATCH, _now()
+        fixtures.embeddings(spark, sf_dir), prepared, fixtures.OWNER, BATCH, _now()
     )
     known = F.when(F.col("action") != "inserted", F.col("embedding_id"))
     return result.select("input_index", "action", known.alias("known_id"))
@@ -685,6 +713,43 @@ def tool_calls(spark, sf_dir):
     return responses.completion_tool_calls(fixtures.completions(spark, sf_dir))
 
 
+@query
+def request_tools(spark, sf_dir):
+    """The function tools of each request and its tool choice, in chat form."""
+    requested = fixtures.request_tools(spark, sf_dir)
+    built = requested.select(
+        "id",
+        responses.function_tools(F.col("tools")).alias("tools"),
+        responses.chat_tool_choice(F.col("tool_choice")).alias("choice"),
+        responses.allowed_function_tools(F.col("tool_choice")).alias("allowed"),
+    )
+    return built.select(
+        "id",
+        F.array_join(F.transform("tools", lambda t: t["function"]["name"]), ",").alias("names"),
+        F.get("tools", F.lit(0))["function"]["parameters"].alias("parameters"),
+        F.get("tools", F.lit(0))["function"]["strict"].alias("strict"),
+        F.col("choice.mode").alias("mode"),
+        F.col("choice.function_name").alias("chosen"),
+        F.array_join("allowed", ",").alias("allowed"),
+    )
+
+
+@query
+def response_metadata(spark, sf_dir):
+    rows = fixtures.response_metadata(spark, sf_dir)
+    merged = responses.merged_metadata(F.col("own"), F.col("extra"))
+    return rows.select("id", merged.alias("m")).select(
+        "id",
+        F.size("m").alias("entries"),
+        *[F.element_at("m", F.lit(key)).alias(f"{key}_entry") for key in ("role", "from", "turn")],
+    )
+
+
+@query
+def stream_usage(spark, sf_dir):
+    return deltas.stream_usage(fixtures.usage_chunks(spark, sf_dir)).select("response_id", "usage.*")
+
+
 @query
 def normalize_settings(spark, sf_dir):
     return responses.normalize_settings(fixtures.settings(spark, sf_dir))
@@ -716,13 +781,17 @@ def resolve_models(spark, sf_dir):
 # Streams
 
 
+def _as_stream(spark, sf_dir, name):
+    return read_table_stream(spark, sf_dir, f"{name}.parquet", fixtures.SCHEMAS[name])
+
+
 @query
 def stream_put(spark, sf_dir):
     """The stored vectors put once as a stream, then the incoming batch on top."""
     store = VectorStore(spark, scratch_path(spark, "store"))
     store.tables.commit(fixtures.collections(spark, sf_dir))
-    raw = read_table_stream(spark, sf_dir, "embeddings.parquet")
-    writer = put.put_stream(store, fixtures.batch_of(raw), _all_authz(spark, sf_dir), "feed")
+    raw = _as_stream(spark, sf_dir, "embeddings")
+    writer = put.put_stream(store, fixtures.batch_of(raw), fixtures.OWNER, "feed")
     run_available(writer, scratch_path(spark, "feed-progress"))
     total = F.aggregate("embedding", F.lit(0.0), lambda t, v: t + v.cast("double"))
     return store.tables.embeddings().select("collection_id", "authz", "metadata", F.round(total, 6).alias("vector_sum"))
@@ -730,13 +799,13 @@ def stream_put(spark, sf_dir):
 
 @query
 def stream_deltas(spark, sf_dir):
-    turns = read_table_stream(spark, sf_dir, "conversations.parquet")
+    turns = _as_stream(spark, sf_dir, "conversations")
     pieces = to_table(delta_stream.assemble_stream(fixtures.chunks_of(turns)), "pieces")
     return deltas.assemble_deltas(pieces).select("response_id", "part", "text")
 
 
 @query
 def stream_requests_by_minute(spark, sf_dir):
-    log = fixtures.request_log_of(read_table_stream(spark, sf_dir, "events.parquet"))
+    log = fixtures.request_log_of(_as_stream(spark, sf_dir, "events"))
     minutes = to_table(counter.requests_by_minute(log), "minutes")
     return minutes.withColumn("minute_start", F.col("minute_start").cast("timestamp_ntz"))

@@ -8,6 +8,7 @@ from vecfold.functions.names import collection_path, url_origin
 from vecfold.functions.vectors import stored_vector
 from vecfold.schemas import COLLECTIONS
 from vecfold.session import scratch_path
+from vecfold.sources.tables import Tables
 
 SERVICE = "vectorstore"
 CREATED = "2024-01-01 00:00:00"
@@ -17,9 +18,23 @@ DIMENSIONS = 64
 # What the reading caller of the test queries holds: seven collections and one programme.
 CALLER = [f"/vectorstore/collections/c{n}" for n in range(7)] + ["/programs/p0"]
 
+# What the caller of the put queries holds: everything.
+OWNER = [f"/vectorstore/collections/c{n}" for n in range(10)] + [f"/programs/p{n}" for n in range(3)]
+
+# Schemas of the given tables, so that no read has to infer one.
+SCHEMAS = {
+    "conversations": "conv_id long, turn long, role string, text string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long",
+    "pages": "page_id long, url string, html string",
+    "part": "p_partkey long",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _vector_type(label: Column) -> Column:
@@ -412,3 +427,67 @@ def trusted_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts that serve more than two pages over https."""
     pages = table(spark, sf_dir, "pages").select(url_origin(F.col("url")).alias("host"))
     return pages.where(F.startswith("host", F.lit("https"))).groupBy("host").count().where("count > 2").select("host")
+
+
+def request_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tools of a request per turn, functions and others, and its tool choice in every form."""
+    turn, count = F.col("turn"), F.length("text").cast("string")
+
+    def tool(kind: str, name: str) -> Column:
+        parameters = F.concat(F.lit('{"size": '), count, F.lit("}"))
+        return F.struct(
+            F.lit(kind).alias("type"),
+            F.concat(F.lit(name), F.lit("_"), F.col("role")).alias("name"),
+            F.lit(name).alias("description"),
+            parameters.alias("parameters"),
+            (turn % 2 == 0).alias("strict"),
+        )
+
+    tools = F.array(tool("web_search", "web"), tool("function", "lookup"), tool("function", "count"))
+    no_tools = F.lit(None).cast("array<struct<type:string,name:string>>")
+    named = F.transform(tools, lambda t: F.struct(t["type"].alias("type"), t["name"].alias("name")))
+
+    def choice(mode: Column, kind: Column, name: Column, allowed: Column) -> Column:
+        return F.struct(mode.alias("mode"), kind.alias("type"), name.alias("name"), allowed.alias("tools"))
+
+    unset = F.lit(None).cast("string")
+    made = (
+        F.when(turn % 4 == 0, choice(F.lit("required"), unset, unset, no_tools))
+        .when(turn % 4 == 1, choice(unset, F.lit("function"), F.lit("lookup"), no_tools))
+        .when(turn % 4 == 2, choice(F.lit("auto"), F.lit("allowed_tools"), unset, named))
+    )
+    return conversations(spark, sf_dir).select(_reply_id().alias("id"), tools.alias("tools"), made.alias("tool_choice"))
+
+
+def response_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reply's own metadata and what the caller adds, either of them sometimes missing."""
+    turn = F.col("turn")
+    own = F.create_map(F.lit("role"), F.col("role"), F.lit("from"), F.lit("reply"))
+    extra = F.create_map(F.lit("from"), F.lit("caller"), F.lit("turn"), turn.cast("string"))
+    return conversations(spark, sf_dir).select(
+        _reply_id().alias("id"),
+        F.when(turn % 3 != 1, own).alias("own"),
+        F.when(turn % 2 == 0, extra).alias("extra"),
+    )
+
+
+def usage_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply chunks, some of them with the usage so far."""
+    seq = F.col("seq")
+    usage = F.struct((seq + 1).alias("completion_tokens"), F.length("delta").alias("last_length"))
+    return reply_chunks(spark, sf_dir).withColumn("usage", F.when(seq % 3 == 0, usage))
+
+
+_stores: dict[tuple[str, str], str] = {}
+
+
+def stored_root(spark: SparkSession, sf_dir: str) -> str:
+    """All collections and embeddings in a partitioned store, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        root = scratch_path(spark, "store")
+        catalog = collections(spark, sf_dir)
+        ids = [row.id for row in catalog.select("id").collect()]
+        Tables(spark, root).commit(catalog, embeddings(spark, sf_dir), ids)
+        _stores[key] = root
+    return _stores[key]

@@ -40,9 +40,13 @@ def _hash_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def file_manifest(spark: SparkSession, root: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """The manifest of all files below ``root``."""
+    """The manifest of all files below ``root``, paths as URIs."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    small = files.where(F.col("length") <= whole_file_bytes)
-    large = files.where(F.col("length") > whole_file_bytes).select("path", F.col("length").alias("size"))
+    uri = F.col("_metadata.file_path").alias("path")
+    small = files.where(F.col("length") <= whole_file_bytes).select(uri, "content")
+    large = files.where(F.col("length") > whole_file_bytes).select(uri, F.col("length").alias("size"))
     hashed = large.mapInPandas(_hash_blocks, "path string, size long, commit_id string, etag string")
-    return content_manifest(small, "path", F.col("content")).unionByName(hashed)
+    # A scan passes over files without content; they are in the file listing only.
+    listed = spark.createDataFrame([(path,) for path in files.inputFiles()], "path string")
+    empty = content_manifest(listed.join(files.select(uri), "path", "left_anti"), "path", F.lit(""))
+    return content_manifest(small, "path", F.col("content")).unionByName(hashed).unionByName(empty)

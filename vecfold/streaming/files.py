@@ -6,9 +6,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from vecfold.session import scratch_path
 
 
-def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """New files called ``name`` below ``folder``, in the schema of those there now."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
+def read_table_stream(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """New files called ``name`` below ``folder``."""
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
