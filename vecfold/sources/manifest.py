@@ -42,7 +42,7 @@ def _hash_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def file_manifest(spark: SparkSession, root: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     """The manifest of all files below ``root``, paths as URIs."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    uri = F.col("_metadata.file_path").alias("path")
+    uri = F.input_file_name().alias("path")
     small = files.where(F.col("length") <= whole_file_bytes).select(uri, "content")
     large = files.where(F.col("length") > whole_file_bytes).select(uri, F.col("length").alias("size"))
     hashed = large.mapInPandas(_hash_blocks, "path string, size long, commit_id string, etag string")
