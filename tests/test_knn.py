@@ -86,6 +86,27 @@ def test_many_copies_keep_the_smallest_ids():
     assert list(best.values) == [2.0, 2.0, 2.0]
 
 
+@pytest.mark.parametrize("metric", list(Metric))
+@pytest.mark.parametrize("scale", [1e-22, 1.0, 1e20])
+def test_kernel_against_brute_force(metric, scale):
+    """Batches, near ties and extreme lengths: always the k best of all pairs."""
+    from vecfold.functions.vectors import row_distances
+
+    rng = np.random.default_rng(5)
+    vectors = np.round(rng.normal(size=(900, 5)), 1) * scale
+    vectors[::50] = 0
+    queries = np.vstack([vectors[:20] + scale * 1e-9, np.zeros((1, 5))])
+    ids = np.array([f"v{i:04d}" for i in range(900)], dtype=object)
+    best = BestPerQuery(metric, 6, np.arange(21), queries, None, None)
+    for part in np.array_split(rng.permutation(900), 7):
+        best.add(ids[part], vectors[part])
+    for i, q in enumerate(queries):
+        values = row_distances(metric, vectors, q)
+        keys = np.where(np.isnan(values), np.inf, values)
+        order = np.lexsort((ids.astype(str), keys if metric.ascending else -keys))[:6]
+        assert list(best.ids[best.which == i]) == list(ids[order])
+
+
 def test_plan_has_no_cross_join(rows, queries):
     for options in ({}, GRID):
         text = knn_batch(rows, queries, **options)._jdf.queryExecution().executedPlan().toString()

@@ -39,11 +39,9 @@ def dimension_violations(batch: DataFrame, catalog: DataFrame) -> DataFrame:
     return with_collection(batch, catalog).where(F.size("embedding") != F.col("dimensions"))
 
 
-def check_batch(batch: DataFrame, catalog: DataFrame) -> None:
-    """Reject a batch with an unknown collection, a bad path, length, value or metadata text."""
-    known = catalog.select(F.col("id").alias("collection_id"), "dimensions", "vector_type")
-    rows = batch.join(known, "collection_id", "left")
-    problem = (
+def _problem() -> Column:
+    """What is wrong with an incoming row joined to its collection, null if nothing."""
+    return (
         F.when(F.col("dimensions").isNull(), F.lit("unknown collection"))
         .when(F.size("embedding") != F.col("dimensions"), F.lit("embedding dimension mismatch"))
         .when(F.exists("embedding", lambda v: v.isNull()), F.lit("embedding has a null element"))
@@ -51,30 +49,38 @@ def check_batch(batch: DataFrame, catalog: DataFrame) -> None:
         .when((F.col("vector_type") == "halfvec") & half_overflows(F.col("embedding")), F.lit("out of half range"))
         .when(F.try_parse_json(F.coalesce("metadata", F.lit("{}"))).isNull(), F.lit("metadata is not valid JSON"))
     )
-    bad = rows.select("pos", "collection_id", problem.alias("problem")).where("problem is not null").first()
-    if bad is not None:
-        raise BadRequest(f"item {bad.pos} of collection {bad.collection_id}: {bad.problem}")
 
 
 def prepare_batch(batch: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The batch with defaults, canonical metadata and content keys.
+    """The batch with defaults, canonical metadata and content keys, and a ``problem`` where a row
+    is not acceptable.
 
     The vector's key is taken from the input values, before rounding to stored precision.
     """
-    rows = with_collection(batch, catalog)
-    return rows.select(
+    known = catalog.select(F.col("id").alias("collection_id"), "collection_name", "dimensions", "vector_type")
+    rows = batch.join(known, "collection_id", "left").withColumn("problem", _problem())
+    metadata = F.when(F.col("problem").isNull(), canonical_json(F.col("metadata")))
+    return rows.withColumn("metadata", metadata).select(
         "pos",
         "collection_id",
         "vector_type",
         "embedding",
         hash_uuid(vector_text(F.col("embedding"))).alias("embedding_hash"),
         default_authz(F.col("authz"), F.col("collection_name")).alias("authz"),
-        canonical_json(F.col("metadata")).alias("metadata"),
-        hash_uuid(canonical_json(F.col("metadata"))).alias("metadata_hash"),
+        "metadata",
+        hash_uuid(F.col("metadata")).alias("metadata_hash"),
         *[c for c in batch.columns if c == "embedding_id"],
+        "problem",
     )
 
 
+def check_batch(prepared: DataFrame) -> None:
+    """Reject a batch that has any row with a problem."""
+    bad = prepared.where("problem is not null").select("pos", "collection_id", "problem").first()
+    if bad is not None:
+        raise BadRequest(f"item {bad.pos} of collection {bad.collection_id}: {bad.problem}")
+
+
 def dedup_batch(prepared: DataFrame) -> DataFrame:
     """One row per content key with ``first_pos`` and ``copies``.
 

@@ -21,40 +21,40 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 VECTOR_BLOCK_BYTES = 128 * 1024 * 1024
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024
 
-# Most query-vector pairs, and most numbers of pairs compared one by one, held at once.
-PAIRS_AT_ONCE = 4_000_000
-NUMBERS_AT_ONCE = 16_000_000
+# Vectors, query-vector pairs, and numbers of vectors, worked on at once: small enough for the CPU cache.
+VECTORS_AT_ONCE = 4_096
+PAIRS_AT_ONCE = 400_000
+NUMBERS_AT_ONCE = 65_536
 
-# Matrix products only preselect: everything this close (relative) to the cut is compared exactly.
-TOLERANCE = 1e-6
+# Unit roundoff of float32, in which pairs are preselected.
+SINGLE = 2.0**-24
 
 NEIGHBOURS = "query_id long, embedding_id string, value double"
 
 
-def _approximate(metric: Metric, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    if metric is Metric.l1_distance:
-        return np.stack([np.abs(vectors - q).sum(axis=1) for q in queries])
-    products = queries @ vectors.T
-    if metric is Metric.inner_product:
-        return -products
-    q_norms, v_norms = (np.sqrt(np.sum(m * m, axis=1)) for m in (queries, vectors))
-    if metric is Metric.l2_distance:
-        squares = q_norms[:, None] ** 2 + v_norms[None, :] ** 2 - 2 * products
-        return np.sqrt(np.maximum(squares, 0))
-    norms = q_norms[:, None] * v_norms[None, :]
-    with np.errstate(invalid="ignore", divide="ignore"):
-        similarity = np.where(norms == 0, np.nan, products / norms)
-    return 1.0 - similarity if metric is Metric.cosine_distance else similarity
+def _norms(matrix: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.sum(matrix * matrix, axis=1))
 
 
-def _rank_key(metric: Metric, values: np.ndarray) -> np.ndarray:
-    """Values as ascending sort keys; NaN counts as larger than any number, as in Spark."""
-    keys = np.where(np.isnan(values), np.inf, values)
-    return keys if metric.ascending else -keys
+def _scaled(matrix: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Rows at unit length; rows of zeros stay."""
+    return matrix / np.where(norms == 0, 1.0, norms)[:, None]
+
+
+def _fit_single(*norms: np.ndarray) -> bool:
+    """Whether products of vectors of these lengths stay well inside the range of float32."""
+    lengths = np.concatenate(norms)
+    lengths = lengths[lengths > 0]
+    return lengths.size == 0 or bool(lengths.min() > 1e-15 and lengths.max() < 1e15)
 
 
 class BestPerQuery:
-    """The best k neighbours per query among the vectors seen so far."""
+    """The best k neighbours per query among the vectors seen so far.
+
+    Pairs are preselected by a key that grows with rank and comes from a single-precision matrix
+    product; a pair passes unless its key is worse than the k-th best by more than the product can
+    err. Pairs that pass are compared exactly.
+    """
 
     def __init__(self, metric, k, query_ids, queries, min_value, max_value):
         self.metric, self.k = metric, k
@@ -62,55 +62,129 @@ class BestPerQuery:
         self.lo = -np.inf if min_value is None else min_value
         self.hi = np.inf if max_value is None else max_value
         self.bounded = min_value is not None or max_value is not None
+        self.is_cosine = metric in (Metric.cosine_distance, Metric.cosine_similarity)
+        self.query_norms = _norms(queries) if len(queries) else np.empty(0)
+        self.operand = _scaled(queries, self.query_norms) if self.is_cosine and len(queries) else queries
+        # Key of the k-th best neighbour so far.
+        self.cut = np.full(len(queries), np.inf)
         self.which = np.empty(0, np.int64)
         self.values = np.empty(0, np.float64)
         self.ids = np.empty(0, object)
 
-    def _inside(self, values: np.ndarray, margin: float) -> np.ndarray:
-        if not self.bounded:
-            return np.ones(values.shape, bool)
-        # NaN passes a lower bound and fails an upper one, as in Spark.
-        not_number = np.isnan(values)
-        passes = (values >= self.lo - margin) & (values <= self.hi + margin)
-        return np.where(not_number, np.isinf(self.hi), passes)
+    def _key(self, values: np.ndarray) -> np.ndarray:
+        """Metric values as ascending keys; NaN counts as larger than any number, as in Spark."""
+        if self.metric is Metric.l2_distance:
+            return values * values
+        if self.metric is Metric.cosine_similarity:
+            return np.where(np.isnan(values), -np.inf, -values)
+        if self.metric is Metric.cosine_distance:
+            return np.where(np.isnan(values), np.inf, values - 1.0)
+        return values
+
+    def _key_bounds(self) -> tuple[float, float]:
+        if self.metric is Metric.l2_distance:
+            return max(self.lo, 0.0) ** 2, self.hi**2 if self.hi >= 0 else -np.inf
+        if self.metric is Metric.cosine_similarity:
+            return -self.hi, -self.lo
+        if self.metric is Metric.cosine_distance:
+            return self.lo - 1.0, self.hi - 1.0
+        return self.lo, self.hi
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        if len(ids) == 0 or len(self.queries) == 0:
+        if len(self.queries) == 0:
             return
+        for at in range(0, len(ids), VECTORS_AT_ONCE):
+            self._add(ids[at : at + VECTORS_AT_ONCE], vectors[at : at + VECTORS_AT_ONCE])
+
+    def _add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        norms = _norms(vectors)
+        operand = _scaled(vectors, norms) if self.is_cosine else vectors
+        kind = np.float32 if self.is_cosine or _fit_single(norms, self.query_norms) else np.float64
+        pair = (self.operand.astype(kind, copy=False), operand.astype(kind, copy=False))
+        found = []
         step = max(1, PAIRS_AT_ONCE // len(ids))
         for start in range(0, len(self.queries), step):
-            self._add_block(ids, vectors, start, self.queries[start : start + step])
-
-    def _add_block(self, ids: np.ndarray, vectors: np.ndarray, start: int, queries: np.ndarray) -> None:
-        values = _approximate(self.metric, queries, vectors)
-        finite = np.abs(values[np.isfinite(values)])
-        scale = max(np.abs(vectors).max(), np.abs(queries).max(), finite.max() if finite.size else 0.0, 1.0)
-        margin = TOLERANCE * scale
-        keys = _rank_key(self.metric, values)
-        surely_in = np.where(self._inside(values, -margin), keys, np.inf)
-        if len(ids) > self.k:
-            cut = np.partition(surely_in, self.k - 1, axis=1)[:, self.k - 1 : self.k] + margin
-        else:
-            cut = np.inf
-        rows, columns = np.nonzero((keys <= cut) & self._inside(values, margin))
-        exact = np.empty(len(rows))
+            block = slice(start, min(start + step, len(self.queries)))
+            keys, margin = self._keys(block, vectors, pair, norms)
+            rows, columns = self._preselect(block, keys, margin)
+            rows = rows + start
+            values = self._exact(rows, columns, vectors)
+            # NaN passes a lower bound and fails an upper one, as in Spark.
+            inside = np.where(np.isnan(values), np.isinf(self.hi), (values >= self.lo) & (values <= self.hi))
+            found.append((rows[inside], values[inside], ids[columns[inside]]))
+        self._keep_best(*(np.concatenate(part) for part in zip(*found)))
+
+    def _keys(self, block: slice, vectors: np.ndarray, operands: tuple, norms: np.ndarray):
+        """Keys of all pairs of a block of queries, and per query how far they may be off."""
+        queries = self.queries[block]
+        dimensions = vectors.shape[1]
+        if self.metric is Metric.l1_distance:
+            keys = np.empty((len(queries), len(vectors)))
+            step = max(1, NUMBERS_AT_ONCE // dimensions)
+            for at in range(0, len(vectors), step):
+                part = vectors[at : at + step]
+                for i, q in enumerate(queries):
+                    keys[i, at : at + step] = np.abs(part - q).sum(axis=1)
+            scale = np.abs(queries).sum(axis=1) + np.abs(vectors).sum(axis=1).max()
+            return keys, 1e-12 * scale
+        products = operands[0][block] @ operands[1].T
+        error = 4 * (dimensions + 8) * SINGLE
+        if self.is_cosine:
+            keys = np.negative(products, out=products)
+            undefined = -np.inf if self.metric is Metric.cosine_similarity else np.inf
+            keys[self.query_norms[block] == 0, :] = undefined
+            keys[:, norms == 0] = undefined
+            return keys, np.full(len(queries), error)
+        size = self.query_norms[block]
+        if self.metric is Metric.inner_product:
+            return np.negative(products, out=products), error * size * norms.max()
+        products *= -2
+        products += (norms**2).astype(products.dtype)[None, :]
+        products += (size**2).astype(products.dtype)[:, None]
+        return products, error * (size + norms.max()) ** 2
+
+    def _preselect(self, block: slice, keys: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column of the pairs that may be among the best."""
+        loosely = None
+        considered = keys
+        if self.bounded:
+            lo, hi = self._key_bounds()
+            slack = margin[:, None]
+            undefined = np.isinf(keys) & np.isinf(self.hi)
+            loosely = ((keys >= lo - slack) & (keys <= hi + slack)) | undefined
+            surely = ((keys >= lo + slack) & (keys <= hi - slack)) | undefined
+            considered = np.where(surely, keys, np.inf)
+        cut = self.cut[block]
+        if keys.shape[1] >= self.k and np.isinf(cut).any():
+            cut = np.minimum(cut, np.partition(considered, self.k - 1, axis=1)[:, self.k - 1] + margin)
+        passed = keys <= (cut + margin)[:, None]
+        if loosely is not None:
+            passed &= loosely
+        return np.nonzero(passed)
+
+    def _exact(self, rows: np.ndarray, columns: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        values = np.empty(len(rows))
         step = max(1, NUMBERS_AT_ONCE // vectors.shape[1])
         for at in range(0, len(rows), step):
             pairs = slice(at, at + step)
-            exact[pairs] = row_distances(self.metric, vectors[columns[pairs]], queries[rows[pairs]])
-        inside = self._inside(exact, 0.0)
-        self._keep_best(rows[inside] + start, exact[inside], ids[columns[inside]])
+            values[pairs] = row_distances(self.metric, vectors[columns[pairs]], self.queries[rows[pairs]])
+        return values
 
     def _keep_best(self, which: np.ndarray, values: np.ndarray, ids: np.ndarray) -> None:
+        if len(which) == 0:
+            return
         which = np.concatenate([self.which, which])
         values = np.concatenate([self.values, values])
         ids = np.concatenate([self.ids, ids])
-        order = np.lexsort((ids.astype(str), _rank_key(self.metric, values), which))
+        keys = self._key(values)
+        order = np.lexsort((ids.astype(str), keys, which))
         which = which[order]
-        starts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else np.empty(0, np.int64)
+        starts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
         place = np.arange(len(which)) - np.repeat(starts, np.diff(np.r_[starts, len(which)]))
         kept = order[place < self.k]
         self.which, self.values, self.ids = which[place < self.k], values[kept], ids[kept]
+        last = place == self.k - 1
+        self.cut[which[last]] = keys[order[last]]
 
     def batch(self) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(

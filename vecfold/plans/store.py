@@ -70,9 +70,8 @@ class VectorStore:
     def _start(self, batch: DataFrame) -> tuple[int, DataFrame, DataFrame, DataFrame, list[int]]:
         generation = self.tables.generation()
         known = self.tables.collections()
-        batch = self._materialized(batch, "batch")
-        ingest.check_batch(batch, known)
         prepared = self._materialized(ingest.prepare_batch(batch, known), "prepared")
+        ingest.check_batch(prepared)
         # Collection ids are control data.
         touched = [row[0] for row in prepared.select("collection_id").distinct().collect()]
         state = self.tables.embeddings().where(F.col("collection_id").isin(touched))

@@ -10,7 +10,8 @@ COLLECTION_NAME_PATTERN = "^[a-z0-9_-]+$"
 DEFAULT_TOP_K = 10
 DEFAULT_PAGE_SIZE = 100
 MAX_PAGE_SIZE = 1000
-HALF_MAX = 65504.0
+# Smallest magnitude that no longer rounds to the largest float16, 65504.
+HALF_LIMIT = 65520.0
 
 
 class VectorType(StrEnum):
