@@ -251,7 +251,7 @@ WHERE collection_id = 1""",
 SELECT pos AS input_index, embedding_id, collection_name,
        CASE WHEN vector_type = 'halfvec' THEN 'float16' ELSE 'float32' END AS "precision"
 FROM requests JOIN seen USING (embedding_id) WHERE label < 7""",
-    "resolve_names": f"{_with(_COLS, _ENTRIES)} SELECT request_id, pos, entry, collection_id FROM resolved",
+    "resolve_names": f"{_with(_COLS, _ENTRIES)} SELECT request_id, pos, entry, collection_id::varchar AS collection_id FROM resolved",
     "rejected_requests": f"""{_with(_COLS, _ENTRIES)}
 SELECT DISTINCT request_id FROM resolved WHERE collection_id IS NULL""",
     "page_collections": f"""{_with(_COLS)}
@@ -374,10 +374,10 @@ SELECT 'r-' || conv_id || '-' || turn AS id, conv_id AS created_at, 'completed'
        CASE WHEN turn % 2 = 0 THEN 'flex' ELSE 'default' END AS service_tier, -1 AS top_p,
        choice::varchar AS item_id, CASE WHEN choice = 0 THEN text ELSE '' END AS text,
        CASE WHEN turn % 2 = 0 THEN 'lookup,count' ELSE 'lookup' END AS tools,
-       CASE WHEN turn % 5 <> 4 THEN turn * 10 END::int AS input_tokens,
-       CASE WHEN turn % 5 <> 4 THEN length(text) END::int AS output_tokens,
-       CASE WHEN turn % 5 <> 4 THEN CASE WHEN turn % 2 = 0 THEN turn ELSE -1 END END::int AS cached_tokens,
-       CASE WHEN turn % 5 <> 4 THEN -1 END AS reasoning_tokens
+       CASE WHEN turn % 5 <> 4 THEN turn * 10 END::double AS input_tokens,
+       CASE WHEN turn % 5 <> 4 THEN length(text) END::double AS output_tokens,
+       CASE WHEN turn % 5 <> 4 THEN CASE WHEN turn % 2 = 0 THEN turn ELSE -1 END END::double AS cached_tokens,
+       CASE WHEN turn % 5 <> 4 THEN -1 END::double AS reasoning_tokens
 FROM conversations, (SELECT unnest([0, 1]) AS choice)""",
     "normalize_outputs": """
 WITH t AS (
@@ -399,8 +399,8 @@ SELECT id, conv_id AS created, CASE WHEN failed THEN 'error' ELSE 'stop' END AS
        CASE WHEN NOT failed THEN CASE WHEN turn % 2 = 0 THEN 'lookup' ELSE 'count' END END AS function_name,
        CASE WHEN NOT failed THEN length(text)::varchar END AS function_arguments,
        CASE WHEN NOT failed THEN 'call-' || id END AS tool_call_id,
-       CASE WHEN turn % 2 = 0 THEN turn END::int AS prompt_tokens,
-       CASE WHEN turn % 2 = 0 THEN turn + length(text) END::int AS total_tokens
+       CASE WHEN turn % 2 = 0 THEN turn END::double AS prompt_tokens,
+       CASE WHEN turn % 2 = 0 THEN turn + length(text) END::double AS total_tokens
 FROM t""",
     "tool_calls": """
 SELECT 'r-' || conv_id || '-' || turn AS id, pos, 'r-' || conv_id || '-' || turn AS call_id,

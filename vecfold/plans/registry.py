@@ -295,10 +295,17 @@ def knn_batch_threshold(spark, sf_dir):
     return _rounded(knn.knn_batch(rows, queries, top_k=4, min_value=0.5))
 
 
+_cells_built: dict[tuple[str, str], cells.Cells] = {}
+
+
 def _cells(spark, sf_dir):
-    rows = fixtures.embeddings(spark, sf_dir).where("vector_type = 'vector'")
-    return cells.build_cells(rows.select("collection_id", "embedding_id", "embedding", "authz", "metadata"),
-                             16, scratch_path(spark, "cells"))
+    """The cells of the float32 vectors, built once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _cells_built:
+        rows = fixtures.embeddings(spark, sf_dir).where("vector_type = 'vector'")
+        rows = rows.select("collection_id", "embedding_id", "embedding", "authz", "metadata")
+        _cells_built[key] = cells.build_cells(rows, 16, scratch_path(spark, "cells"))
+    return _cells_built[key]
 
 
 @query
@@ -354,12 +361,14 @@ def bulk_read_any(spark, sf_dir):
 
 @query
 def resolve_names(spark, sf_dir):
-    return search.resolve_names(fixtures.name_requests(spark, sf_dir), fixtures.collections(spark, sf_dir))
+    resolved = search.resolve_names(fixtures.name_requests(spark, sf_dir), fixtures.collections(spark, sf_dir))
+    return resolved.withColumn("collection_id", F.col("collection_id").cast("string"))
 
 
 @query
 def rejected_requests(spark, sf_dir):
-    return search.rejected_requests(resolve_names(spark, sf_dir))
+    resolved = search.resolve_names(fixtures.name_requests(spark, sf_dir), fixtures.collections(spark, sf_dir))
+    return search.rejected_requests(resolved)
 
 
 @query
@@ -666,10 +675,10 @@ def normalize_completions(spark, sf_dir):
         F.col("item.id").alias("item_id"),
         F.get("item.content", F.lit(0))["text"].alias("text"),
         F.array_join(F.transform("tools", lambda t: t["name"]), ",").alias("tools"),
-        F.col("usage.input_tokens").alias("input_tokens"),
-        F.col("usage.output_tokens").alias("output_tokens"),
-        F.col("usage.cached_tokens").alias("cached_tokens"),
-        F.col("usage.reasoning_tokens").alias("reasoning_tokens"),
+        F.col("usage.input_tokens").cast("double").alias("input_tokens"),
+        F.col("usage.output_tokens").cast("double").alias("output_tokens"),
+        F.col("usage.cached_tokens").cast("double").alias("cached_tokens"),
+        F.col("usage.reasoning_tokens").cast("double").alias("reasoning_tokens"),
     )
 
 
@@ -703,8 +712,8 @@ def responses_to_chat(spark, sf_dir):
         F.col("choice.message.function_call.name").alias("function_name"),
         F.col("choice.message.function_call.arguments").alias("function_arguments"),
         F.get("choice.message.tool_calls", F.lit(0))["id"].alias("tool_call_id"),
-        F.col("usage.prompt_tokens").alias("prompt_tokens"),
-        F.col("usage.total_tokens").alias("total_tokens"),
+        F.col("usage.prompt_tokens").cast("double").alias("prompt_tokens"),
+        F.col("usage.total_tokens").cast("double").alias("total_tokens"),
     )
 
 

@@ -31,14 +31,14 @@ class VectorStore:
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
-    def collections(self, allowed: Allowed) -> DataFrame:
-        return access.visible_collections(self.tables.collections(), allowed)
+    def collections(self, allowed: Allowed, generation: int | None = None) -> DataFrame:
+        return access.visible_collections(self.tables.collections(generation), allowed)
 
     def embeddings(self, allowed: Allowed) -> DataFrame:
         return access.visible(self.tables.embeddings(), allowed)
 
-    def collection(self, name: str, allowed: Allowed):
-        row = self.collections(allowed).where(F.col("collection_name") == name.strip().lower()).first()
+    def collection(self, name: str, allowed: Allowed, generation: int | None = None):
+        row = self.collections(allowed, generation).where(F.col("collection_name") == name.strip().lower()).first()
         if row is None:
             raise NotFound(f"collection {name} not found")
         return row
@@ -47,34 +47,37 @@ class VectorStore:
 
     def create_collections(self, requested: DataFrame, allowed: Allowed) -> int:
         """``requested`` has ``pos, requested_name, description, ai_model_name, dimensions, vector_type``."""
-        created = catalog.create_collections(
-            requested, self.tables.collections(), allowed, F.current_timestamp()
-        )
-        return self.tables.commit(created)
+        generation = self.tables.generation()
+        known = self.tables.collections(generation)
+        created = catalog.create_collections(requested, known, allowed, F.current_timestamp())
+        return self.tables.commit(created, expect=generation)
 
     def update_collections(self, updates: DataFrame, allowed: Allowed) -> int:
-        updated = catalog.update_collections(self.tables.collections(), updates, allowed, F.current_timestamp())
-        return self.tables.commit(updated)
+        generation = self.tables.generation()
+        known = self.tables.collections(generation)
+        updated = catalog.update_collections(known, updates, allowed, F.current_timestamp())
+        return self.tables.commit(updated, expect=generation)
 
     def delete_collections(self, names: Sequence[str], allowed: Allowed) -> int:
         """Number of collections deleted, with all their rows."""
-        known = self.tables.collections()
+        generation = self.tables.generation()
+        known = self.tables.collections(generation)
         doomed = catalog.allowed_names(known.where(F.col("collection_name").isin(list(names))), allowed)
         ids = [row.id for row in doomed.select("id").collect()]
         if ids:
-            self.tables.commit(known.where(~F.col("id").isin(ids)))
+            self.tables.commit(known.where(~F.col("id").isin(ids)), expect=generation)
         return len(ids)
 
     # Rows
 
     def _start(self, batch: DataFrame) -> tuple[int, DataFrame, DataFrame, DataFrame, list[int]]:
         generation = self.tables.generation()
-        known = self.tables.collections()
+        known = self.tables.collections(generation)
         prepared = self._materialized(ingest.prepare_batch(batch, known), "prepared")
         ingest.check_batch(prepared)
         # Collection ids are control data.
         touched = [row[0] for row in prepared.select("collection_id").distinct().collect()]
-        state = self.tables.embeddings().where(F.col("collection_id").isin(touched))
+        state = self.tables.embeddings(generation).where(F.col("collection_id").isin(touched))
         return generation, known, prepared, state, touched
 
     def insert(self, batch: DataFrame, allowed: Allowed, batch_id: str, now: Column | None = None) -> DataFrame:
@@ -101,18 +104,20 @@ class VectorStore:
         """Number of visible rows deleted among ``collection_id, embedding_id``."""
         generation = self.tables.generation()
         touched = [row[0] for row in targets.select("collection_id").distinct().collect()]
-        state = self.tables.embeddings().where(F.col("collection_id").isin(touched))
+        state = self.tables.embeddings(generation).where(F.col("collection_id").isin(touched))
         left, deleted = ingest.delete_by_ids(state, targets, allowed)
         count = deleted.count()
         if count:
-            self.tables.commit(self.tables.collections(), left, touched, expect=generation)
+            self.tables.commit(self.tables.collections(generation), left, touched, expect=generation)
         return count
 
     # Reads
 
     def search(self, name: str, query: Sequence[float], allowed: Allowed, **options) -> DataFrame:
+        generation = self.tables.generation()
+        collection = self.collection(name, allowed, generation)
         return search.search_collection(
-            self.tables.embeddings(), self.collection(name, allowed), query, allowed=allowed, **options
+            self.tables.embeddings(generation), collection, query, allowed=allowed, **options
         )
 
     def search_all(
@@ -126,7 +131,8 @@ class VectorStore:
         **options,
     ) -> DataFrame:
         """Search every visible collection, or those of a comma list; an unknown name rejects it."""
-        known = self.collections(allowed)
+        generation = self.tables.generation()
+        known = self.collections(allowed, generation)
         if names:
             request = self.spark.range(1).select(F.lit(0).alias("request_id"), F.lit(names).alias("collections"))
             resolved = search.resolve_names(request, known)
@@ -138,13 +144,13 @@ class VectorStore:
                 raise search.BadRequest("the collections do not share the requested model")
         search.check_eligible(known, vector_type, len(search.check_query(query)))
         return search.search_across(
-            self.tables.embeddings(), known, query, vector_type=vector_type, allowed=allowed, **options
+            self.tables.embeddings(generation), known, query, vector_type=vector_type, allowed=allowed, **options
         )
 
     def read_ordered(self, name: str, ids: Sequence[str] | DataFrame, allowed: Allowed) -> DataFrame:
         """Rows of the requested ids of one collection, in request order, with binary vectors."""
         requested = ids if isinstance(ids, DataFrame) else reads.id_positions(self.spark, ids)
-        found = reads.bulk_read_ordered(
-            self.tables.embeddings(), requested, allowed, self.collection(name, allowed).id
-        )
+        generation = self.tables.generation()
+        collection = self.collection(name, allowed, generation)
+        found = reads.bulk_read_ordered(self.tables.embeddings(generation), requested, allowed, collection.id)
         return reads.binary_vectors(found)

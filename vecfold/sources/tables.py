@@ -48,18 +48,19 @@ class Tables:
                 return 0
             raise
 
-    def _current(self) -> DataFrame:
-        generation = self.generation()
+    def _current(self, generation: int | None = None) -> DataFrame:
+        generation = self.generation() if generation is None else generation
         if generation == 0:
             return self.spark.createDataFrame([], CATALOG)
         return self._generations().where((F.col("generation") == generation) & (F.col("id") != MARKER_ID))
 
-    def collections(self) -> DataFrame:
-        return self._current().select(*COLLECTIONS.names)
+    def collections(self, generation: int | None = None) -> DataFrame:
+        """The catalog, as of now or of a generation read before."""
+        return self._current(generation).select(*COLLECTIONS.names)
 
-    def embeddings(self) -> DataFrame:
+    def embeddings(self, generation: int | None = None) -> DataFrame:
         """All rows of both precisions; filters on collection and precision prune partitions."""
-        folders = self._current().where("folder is not null").select("folder", "id", "vector_type").collect()
+        folders = self._current(generation).where("folder is not null").select("folder", "id", "vector_type").collect()
         if not folders:
             return self.spark.createDataFrame([], EMBEDDINGS)
         base = f"{self.root}/embeddings"
@@ -80,7 +81,7 @@ class Tables:
         current = self.generation()
         if expect is not None and expect != current:
             raise StaleWrite(f"the table is at generation {current}, not {expect}")
-        previous = self._current().select("id", F.col("folder").alias("old_folder"))
+        previous = self._current(current).select("id", F.col("folder").alias("old_folder"))
         rows = catalog.select(*COLLECTIONS.names).join(previous, "id", "left")
         folder = F.col("old_folder")
         if touched is not None and collection_ids:
