@@ -14,6 +14,7 @@ from vecfold.session import local_session  # noqa: E402
 def spark():
     session = local_session(app="vecfold-tests")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     return session
 
 

@@ -154,6 +154,35 @@ def test_partial_update_changes_only_visible_rows(spark, store):
     assert not any(r.changed for r in unchanged.collect())
 
 
+UPDATE = "pos long, collection_id long, embedding_id string, embedding array<double>, metadata string, authz string"
+
+
+def test_update_by_id_in_the_store(spark, store):
+    a, b = ids_by_position(store.put(batch(spark, (1, [1.0, 2.0]), (1, [3.0, 4.0], "/programs/p")), ALLOWED, "b"))
+
+    def update(*row):
+        return spark.createDataFrame([(0, *row)], UPDATE)
+
+    before = content(store)
+    with pytest.raises(NotFound):
+        store.update(update(1, "unknown", [1.0, 1.0], None, None), ALLOWED)
+    with pytest.raises(NotFound):
+        store.update(update(1, b, [1.0, 1.0], None, None), ALLOWED[:1])
+    with pytest.raises(search.BadRequest):
+        store.update(update(1, a, [1.0], None, None), ALLOWED)
+    with pytest.raises(search.BadRequest):
+        store.update(update(1, a, None, "{broken", None), ALLOWED)
+    with pytest.raises(NotAllowed):
+        store.update(update(1, a, None, None, "/not/mine"), ALLOWED)
+    with pytest.raises(ingest.Conflict):
+        store.update(update(1, a, [3.0, 4.0], None, "/programs/p"), ALLOWED)
+    assert content(store) == before
+    assert store.update(update(1, a, None, '{"b":1, "a":2}', " /programs/p "), ALLOWED) == 1
+    rows = {r.embedding_id: r for r in store.tables.embeddings().collect()}
+    assert (rows[a].authz, rows[a].metadata, list(rows[a].embedding)) == ("/programs/p", '{"a":2,"b":1}', [1.0, 2.0])
+    assert store.update(update(1, a, None, None, None), ALLOWED) == 0
+
+
 def test_delete(spark, store):
     a, b = ids_by_position(store.put(batch(spark, (1, [1.0, 2.0]), (1, [3.0, 2.0], "/programs/p")), ALLOWED, "b"))
     targets = spark.createDataFrame([(1, a), (1, b), (1, "unknown"), (1, a)], "collection_id long, embedding_id string")
@@ -176,7 +205,10 @@ def test_delete_collection_takes_every_row(spark, store):
 
 
 def test_update_collection_description(spark, store):
-    changes = spark.createDataFrame([("one", "new text"), ("half", None)], "collection_name string, description string")
+    changes = spark.createDataFrame(
+        [(0, "one", "old text"), (1, "one", "new text"), (2, "one", None), (3, "half", None)],
+        "pos long, collection_name string, description string",
+    )
     store.update_collections(changes, ALLOWED)
     rows = {r.collection_name: r for r in store.collections(ALLOWED).collect()}
     assert rows["one"].description == "new text" and rows["one"].updated_at > rows["one"].created_at

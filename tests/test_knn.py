@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecfold.operators import cells, search
+from vecfold.operators import cells, knn, search
 from vecfold.operators.knn import BestPerQuery, knn_batch
 from vecfold.schemas import Metric
 from vecfold.session import scratch_path
@@ -63,11 +63,21 @@ def test_batch_is_one_search_per_query(rows, queries, metric):
     assert lists(knn_batch(rows, few, metric=metric, top_k=7, **GRID)) == expected
 
 
+@pytest.mark.parametrize("metric", list(Metric))
+def test_seeds_change_nothing(rows, queries, metric, monkeypatch):
+    monkeypatch.setattr(knn, "SEEDED_FROM", 1)
+    plain = lists(knn_batch(rows, queries, metric=metric, top_k=3))
+    assert lists(knn_batch(rows, queries, metric=metric, top_k=3, seed_rows=5)) == plain
+    assert lists(knn_batch(rows, queries, metric=metric, top_k=3, seed_rows=2)) == plain
+
+
 @pytest.mark.parametrize("bounds", [{"min_value": 1.0}, {"max_value": 1.5}, {"min_value": 2.0, "max_value": 2.5}])
-def test_bounds_apply_before_the_cut(rows, queries, bounds):
+def test_bounds_apply_before_the_cut(rows, queries, bounds, monkeypatch):
+    monkeypatch.setattr(knn, "SEEDED_FROM", 1)
     few = queries.where("query_id in (0, 5, 99)")
     expected = one_by_one(rows, few, Metric.l2_distance, 4, **bounds)
     assert lists(knn_batch(rows, few, metric="l2_distance", top_k=4, **bounds)) == expected
+    assert lists(knn_batch(rows, few, metric="l2_distance", top_k=4, seed_rows=5, **bounds)) == expected
     assert lists(knn_batch(rows, few, metric="l2_distance", top_k=4, **bounds, **GRID)) == expected
 
 

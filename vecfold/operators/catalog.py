@@ -69,8 +69,14 @@ def new_collections(classified: DataFrame, catalog: DataFrame, now: Column) -> D
 
 
 def update_collections(catalog: DataFrame, updates: DataFrame, allowed: Allowed, now: Column) -> DataFrame:
-    """The catalog with new descriptions (``collection_name, description``); null changes nothing."""
-    changes = allowed_names(updates, allowed).select("collection_name", F.col("description").alias("new_description"))
+    """The catalog with new descriptions (``pos, collection_name, description``).
+
+    Null changes nothing; of several texts for one name the last counts.
+    """
+    place = F.when(F.col("description").isNotNull(), F.col("pos"))
+    changes = allowed_names(updates, allowed).groupBy("collection_name").agg(
+        F.max_by("description", place).alias("new_description")
+    )
     joined = catalog.join(changes, "collection_name", "left")
     changed = F.col("new_description").isNotNull()
     return joined.select(

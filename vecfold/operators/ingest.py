@@ -74,6 +74,12 @@ def prepare_batch(batch: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
+def check_updates(updates: DataFrame, catalog: DataFrame) -> None:
+    """Reject updates of which any given field is not acceptable."""
+    known = catalog.select(F.col("id").alias("collection_id"), "dimensions", "vector_type")
+    check_batch(updates.join(known, "collection_id", "left").withColumn("problem", _problem()))
+
+
 def check_batch(prepared: DataFrame) -> None:
     """Reject a batch that has any row with a problem."""
     bad = prepared.where("problem is not null").select("pos", "collection_id", "problem").first()

@@ -21,6 +21,11 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 VECTOR_BLOCK_BYTES = 128 * 1024 * 1024
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024
 
+# Vectors compared first, in so many tasks, where a table has so many times as many.
+SEED_ROWS = 20_000
+SEED_TASKS = 32
+SEEDED_FROM = 1_000
+
 # Vectors, query-vector pairs, and numbers of vectors, worked on at once: small enough for the CPU cache.
 VECTORS_AT_ONCE = 4_096
 PAIRS_AT_ONCE = 400_000
@@ -56,7 +61,7 @@ class BestPerQuery:
     err. Pairs that pass are compared exactly.
     """
 
-    def __init__(self, metric, k, query_ids, queries, min_value, max_value):
+    def __init__(self, metric, k, query_ids, queries, min_value, max_value, known_values=None):
         self.metric, self.k = metric, k
         self.query_ids, self.queries = query_ids, queries
         self.lo = -np.inf if min_value is None else min_value
@@ -65,8 +70,10 @@ class BestPerQuery:
         self.is_cosine = metric in (Metric.cosine_distance, Metric.cosine_similarity)
         self.query_norms = _norms(queries) if len(queries) else np.empty(0)
         self.operand = _scaled(queries, self.query_norms) if self.is_cosine and len(queries) else queries
-        # Key of the k-th best neighbour so far.
+        # Key of the k-th best neighbour so far, here or among vectors compared before.
         self.cut = np.full(len(queries), np.inf)
+        if known_values is not None:
+            self.cut = np.where(np.isnan(known_values), self.cut, self._key(known_values))
         self.which = np.empty(0, np.int64)
         self.values = np.empty(0, np.float64)
         self.ids = np.empty(0, object)
@@ -184,7 +191,8 @@ class BestPerQuery:
         kept = order[place < self.k]
         self.which, self.values, self.ids = which[place < self.k], values[kept], ids[kept]
         last = place == self.k - 1
-        self.cut[which[last]] = keys[order[last]]
+        found = which[last]
+        self.cut[found] = np.minimum(self.cut[found], keys[order[last]])
 
     def batch(self) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -201,15 +209,21 @@ def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=object)
 
 
-def _compare_with_all(vectors: DataFrame, queries: DataFrame, metric: Metric, k: int, bounds: tuple) -> DataFrame:
+def _compare_with_all(
+    vectors: DataFrame, query_table: pa.Table, metric: Metric, k: int, bounds: tuple, known_values=None
+) -> DataFrame:
     """Neighbour lists per task, the queries broadcast. Only for query tables of checked size."""
-    table = queries.select("query_id", "embedding").toArrow()
     shared = vectors.sparkSession.sparkContext.broadcast(
-        (table.column("query_id").to_numpy(), as_matrix(table.column("embedding").combine_chunks()))
+        (
+            query_table.column("query_id").to_numpy(),
+            as_matrix(query_table.column("embedding").combine_chunks()),
+            known_values,
+        )
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = BestPerQuery(metric, k, *shared.value, *bounds)
+        query_ids, queries, known = shared.value
+        best = BestPerQuery(metric, k, query_ids, queries, *bounds, known)
         for batch in batches:
             best.add(_ids(batch.column("embedding_id")), as_matrix(batch.column("embedding")))
         yield best.batch()
@@ -217,6 +231,25 @@ def _compare_with_all(vectors: DataFrame, queries: DataFrame, metric: Metric, k:
     return vectors.select("embedding_id", "embedding").mapInArrow(compare, NEIGHBOURS)
 
 
+def _values_to_beat(lists: DataFrame, query_table: pa.Table, metric: Metric, k: int) -> np.ndarray:
+    """Per query the value of its k-th neighbour in the lists, NaN where there are fewer.
+
+    One number per query of a broadcast query table.
+    """
+    last = _ranked(lists, metric).where(F.col("rank") == k).select("query_id", "value").toArrow()
+    place = {query_id: i for i, query_id in enumerate(query_table.column("query_id").to_pylist())}
+    values = np.full(query_table.num_rows, np.nan)
+    for query_id, value in zip(last.column("query_id").to_pylist(), last.column("value").to_pylist()):
+        values[place[query_id]] = value
+    return values
+
+
+def _ranked(lists: DataFrame, metric: Metric) -> DataFrame:
+    value = F.col("value").asc() if metric.ascending else F.col("value").desc()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(value, "embedding_id"))
+    return lists.withColumn("rank", rank)
+
+
 def _compare_in_grid(
     vectors: DataFrame, queries: DataFrame, metric: Metric, k: int, bounds: tuple, vector_blocks: int, query_blocks: int
 ) -> DataFrame:
@@ -261,6 +294,7 @@ def knn_batch(
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     vector_block_bytes: int = VECTOR_BLOCK_BYTES,
     query_block_bytes: int = QUERY_BLOCK_BYTES,
+    seed_rows: int = SEED_ROWS,
 ) -> DataFrame:
     """The ``top_k`` rows of ``vectors`` nearest to each of ``queries (query_id, embedding)``.
 
@@ -273,11 +307,15 @@ def knn_batch(
     bounds = (min_value, max_value)
     query_bytes = _bytes(queries)
     if query_bytes <= max_broadcast_bytes:
-        lists = _compare_with_all(vectors, queries, metric, top_k, bounds)
+        table = queries.select("query_id", "embedding").toArrow()
+        known = None
+        if vectors.count() > SEEDED_FROM * seed_rows:
+            # What some vectors reach bounds the k-th place for all: tasks then hand on few pairs.
+            seeds = vectors.select("embedding_id", "embedding").limit(seed_rows).repartition(SEED_TASKS)
+            known = _values_to_beat(_compare_with_all(seeds, table, metric, top_k, bounds), table, metric, top_k)
+        lists = _compare_with_all(vectors, table, metric, top_k, bounds, known)
     else:
         query_blocks = -(-query_bytes // query_block_bytes)
         vector_blocks = max(1, -(-_bytes(vectors) // vector_block_bytes))
         lists = _compare_in_grid(vectors, queries, metric, top_k, bounds, vector_blocks, query_blocks)
-    value = F.col("value").asc() if metric.ascending else F.col("value").desc()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(value, "embedding_id"))
-    return lists.withColumn("rank", rank).where(F.col("rank") <= top_k)
+    return _ranked(lists, metric).where(F.col("rank") <= top_k)

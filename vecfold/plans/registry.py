@@ -468,7 +468,7 @@ def create_collections(spark, sf_dir):
 def update_collections(spark, sf_dir):
     known = fixtures.collections(spark, sf_dir)
     text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("new "), "description"))
-    changes = known.select("collection_name", text.alias("description"))
+    changes = known.select(F.col("id").alias("pos"), "collection_name", text.alias("description"))
     updated = catalog.update_collections(known, changes, fixtures.CALLER, _now())
     return updated.select("id", "collection_name", "description", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 

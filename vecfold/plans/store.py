@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecfold.functions.names import normalize_authz
 from vecfold.operators import access, catalog, ingest, reads, search
 from vecfold.operators.access import Allowed
 from vecfold.schemas import VectorType
@@ -100,6 +101,28 @@ class VectorStore:
         self.tables.commit(known, new_state, touched, expect=generation)
         return result
 
+    def update(self, updates: DataFrame, allowed: Allowed, now: Column | None = None) -> int:
+        """Partial updates by id (``pos, collection_id, embedding_id, embedding, metadata, authz``, null
+        for what stays); gives the number of rows changed. All are made or none."""
+        generation = self.tables.generation()
+        known = self.tables.collections(generation)
+        updates = updates.withColumn("authz", normalize_authz(F.col("authz")))
+        updates = self._materialized(updates, "updates")
+        ingest.check_updates(updates, known)
+        access.check_writable(updates.where("authz is not null"), allowed)
+        touched = [row[0] for row in updates.select("collection_id").distinct().collect()]
+        state = self.tables.embeddings(generation).where(F.col("collection_id").isin(touched))
+        missing = ingest.missing_ids(state, updates, allowed).first()
+        if missing is not None:
+            raise NotFound(f"embedding {missing.embedding_id} not found")
+        updated = ingest.update_by_id(state, updates, allowed, now if now is not None else F.current_timestamp())
+        if ingest.update_conflicts(updated).first() is not None:
+            raise ingest.Conflict("an update would duplicate a stored embedding")
+        changed = updated.where("changed").count()
+        if changed:
+            self.tables.commit(known, updated.drop("changed"), touched, expect=generation)
+        return changed
+
     def delete_embeddings(self, targets: DataFrame, allowed: Allowed) -> int:
         """Number of visible rows deleted among ``collection_id, embedding_id``."""
         generation = self.tables.generation()
