@@ -13,7 +13,7 @@ from vecfold.functions.names import authz_is_valid, normalize_authz, normalize_n
 from vecfold.functions.vectors import half_round
 from vecfold.operators import access, catalog, cells, deltas, ingest, knn, models, reads, requests, responses, search
 from vecfold.schemas import Metric
-from vecfold.session import scratch_path
+from vecfold.session import materialize, scratch_path
 from vecfold.sources import fixtures, manifest, synthetic
 from vecfold.plans.store import VectorStore
 from vecfold.streaming import counter, put
@@ -444,7 +444,16 @@ def stored_bulk_read(spark, sf_dir):
 
 
 def _prepared(spark, sf_dir):
-    return ingest.prepare_batch(fixtures.incoming_batch(spark, sf_dir), fixtures.collections(spark, sf_dir))
+    """The prepared batch as a put stores it before it goes on."""
+    batch = fixtures.incoming_batch(spark, sf_dir)
+    return materialize(ingest.prepare_batch(batch, fixtures.collections(spark, sf_dir)), "prepared")
+
+
+def _prepared_keys(spark, sf_dir):
+    """Positions and content keys only, for results that need no vectors."""
+    batch = fixtures.incoming_batch(spark, sf_dir)
+    prepared = ingest.prepare_batch(batch, fixtures.collections(spark, sf_dir))
+    return materialize(prepared.select("pos", *ingest.CONTENT_KEY), "keys")
 
 
 @query
@@ -491,7 +500,7 @@ def batch_dedup(spark, sf_dir):
 
 @query
 def batch_fanout(spark, sf_dir):
-    prepared = _prepared(spark, sf_dir)
+    prepared = _prepared_keys(spark, sf_dir)
     return ingest.fan_out(prepared, ingest.unique_keys(prepared), ["first_pos", "copies"]).select(
         "pos", "first_pos", "copies"
     )
@@ -499,7 +508,7 @@ def batch_fanout(spark, sf_dir):
 
 @query
 def insert_conflicts(spark, sf_dir):
-    unique = ingest.unique_keys(_prepared(spark, sf_dir))
+    unique = ingest.unique_keys(_prepared_keys(spark, sf_dir))
     return ingest.insert_conflicts(unique, fixtures.embeddings(spark, sf_dir)).select("first_pos", "collection_id")
 
 
@@ -507,7 +516,7 @@ def insert_conflicts(spark, sf_dir):
 def insert_result(spark, sf_dir):
     revised = F.to_json(F.struct(F.lit(2).alias("rev"), metadata_value(F.col("metadata"), "i").alias("i")))
     batch = fixtures.incoming_batch(spark, sf_dir).withColumn("metadata", revised)
-    prepared = ingest.prepare_batch(batch, fixtures.collections(spark, sf_dir))
+    prepared = materialize(ingest.prepare_batch(batch, fixtures.collections(spark, sf_dir)), "prepared")
     added = ingest.insert(fixtures.embeddings(spark, sf_dir), prepared, BATCH, _now())
     placed = ingest.insert_result(prepared, BATCH).join(
         added.select("embedding_id", F.col("metadata").alias("stored_metadata")), "embedding_id"
@@ -517,7 +526,7 @@ def insert_result(spark, sf_dir):
 
 @query
 def upsert_result(spark, sf_dir):
-    prepared = _prepared(spark, sf_dir)
+    prepared = _prepared_keys(spark, sf_dir)
     result = ingest.upsert_result(prepared, fixtures.embeddings(spark, sf_dir), BATCH)
     return result.select("pos", "first_pos", "stored_id", "action")
 
@@ -575,7 +584,7 @@ def put_mixed(spark, sf_dir):
         F.when(named, F.to_json(F.struct(F.lit(3).alias("rev"), vec_id.alias("i")))).otherwise(F.col("metadata")).alias("metadata"),
         F.when(named, fixtures.vector_id(vec_id)).alias("embedding_id"),
     )
-    prepared = ingest.prepare_batch(batch, fixtures.collections(spark, sf_dir))
+    prepared = materialize(ingest.prepare_batch(batch, fixtures.collections(spark, sf_dir)), "prepared")
     _, result = ingest.put_mixed(
         fixtures.embeddings(spark, sf_dir), prepared, fixtures.OWNER, BATCH, _now()
     )

@@ -13,7 +13,7 @@ from vecfold.functions.names import normalize_authz
 from vecfold.operators import access, catalog, ingest, reads, search
 from vecfold.operators.access import Allowed
 from vecfold.schemas import VectorType
-from vecfold.session import scratch_path
+from vecfold.session import materialize
 from vecfold.sources.tables import Tables
 
 
@@ -26,12 +26,6 @@ class VectorStore:
         self.spark = spark
         self.tables = Tables(spark, root)
 
-    def _materialized(self, frame: DataFrame, name: str) -> DataFrame:
-        """The frame written once to the shared folder: a batch is read by several checks."""
-        path = scratch_path(self.spark, name)
-        frame.write.parquet(path)
-        return self.spark.read.schema(frame.schema).parquet(path)
-
     def collections(self, allowed: Allowed, generation: int | None = None) -> DataFrame:
         return access.visible_collections(self.tables.collections(generation), allowed)
 
@@ -74,7 +68,7 @@ class VectorStore:
     def _start(self, batch: DataFrame) -> tuple[int, DataFrame, DataFrame, DataFrame, list[int]]:
         generation = self.tables.generation()
         known = self.tables.collections(generation)
-        prepared = self._materialized(ingest.prepare_batch(batch, known), "prepared")
+        prepared = materialize(ingest.prepare_batch(batch, known), "prepared")
         ingest.check_batch(prepared)
         # Collection ids are control data.
         touched = [row[0] for row in prepared.select("collection_id").distinct().collect()]
@@ -107,7 +101,7 @@ class VectorStore:
         generation = self.tables.generation()
         known = self.tables.collections(generation)
         updates = updates.withColumn("authz", normalize_authz(F.col("authz")))
-        updates = self._materialized(updates, "updates")
+        updates = materialize(updates, "updates")
         ingest.check_updates(updates, known)
         access.check_writable(updates.where("authz is not null"), allowed)
         touched = [row[0] for row in updates.select("collection_id").distinct().collect()]
