@@ -4,9 +4,8 @@ import pytest
 from compare import compare, duck
 
 import __spark_entry__ as entry_points
-
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+from vecfold.plans.oracle import SQL
+from vecfold.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +18,11 @@ def test_every_sql_has_a_query():
     assert set(QUERIES) - set(SQL) == {"search_ivf_probes"}
 
 
+def test_entry_points_offer_all_queries():
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(SQL) <= set(entry_points.oracle_sql()) <= set(entry_points.queries())
+
+
 def test_entry(spark):
     rows = entry_points.entry(spark).collect()
     assert len(rows) == 10
