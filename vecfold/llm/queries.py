@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecfold.llm import ngram_join
+from vecfold.llm import decontamination, ngram_join
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,39 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "n_shingles", "component_id")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op10_decontamination": op10_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_decontamination": r"""
+        WITH spelled AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+        ), items AS (
+            SELECT item_id, words, len(words) AS n, least(13, len(words)) AS width FROM (
+                SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark)
+            WHERE len(words) > 0
+        ), item_windows AS (
+            SELECT item_id, width, array_to_string(words[start:start + width - 1], ' ') AS phrase
+            FROM (SELECT *, unnest(range(1, n - width + 2)) AS start FROM items)
+        ), doc_windows AS (
+            SELECT doc_id, width, start, array_to_string(words[start:start + width - 1], ' ') AS phrase FROM (
+                SELECT doc_id, words, width, unnest(range(1, len(words) - width + 2)) AS start
+                FROM spelled, (SELECT DISTINCT width FROM items) WHERE len(words) >= width)
+        ), hits AS (SELECT doc_id, start, item_id, width FROM doc_windows JOIN item_windows USING (width, phrase)
+        ), positions AS (SELECT DISTINCT doc_id, unnest(range(start, start + width)) AS position FROM hits
+        ), counted AS (SELECT doc_id, count(*) AS n_hit FROM positions GROUP BY doc_id
+        ), named AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hits GROUP BY doc_id)
+        SELECT doc_id, coalesce(len(words), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+            sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+            coalesce(n_hit > 0 AND 20 * n_hit >= len(words), false) AS contaminated
+        FROM spelled LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
+}
