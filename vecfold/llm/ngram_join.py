@@ -11,10 +11,11 @@ percent * union``.
 3. A prefix shingle that is in at most RARE prefixes is indexed by itself. If all shared ones are
    frequent, two of them fall into one of ``spare`` blocks of hash values, so frequent shingles are
    indexed as pairs within a block, and only for sets that have more than ``spare`` of them.
-4. Sets with a signature in common are compared: first with one hub per signature, then, when
-   components have formed, the members of different components, bucket by bucket. Buckets over
-   PAIRWISE members retire one hub a round and never emit their pairs. Comparisons count the whole
-   sets' common shingles exactly.
+4. Sets with a signature in common are compared with hubs of its bucket: one in the first turn, then
+   some that grow in number. Members of the hub's component are passed over, hubs retire, buckets
+   within one component close, and members whose shingles do not occur often enough in other
+   components leave. So a group of near copies takes one comparison per member, not all pairs, and
+   no link between components is lost. Comparisons count the whole sets' common shingles exactly.
 
 Nulls: a null text has no words; a null doc_id never is a component's id unless no member has one.
 Rows that repeat an id are separate rows with the same id. Extra columns are ignored.
@@ -33,7 +34,8 @@ from vecfold.llm.components import components
 from vecfold.llm.tables import small, stored
 
 RARE = 16
-PAIRWISE = 24
+# Hubs of a bucket in the second turn; each later turn has twice as many.
+FIRST_HUBS = 32
 
 
 def errors(n: int, percent: int) -> int:
@@ -136,34 +138,48 @@ def _similar_sizes(a: str, b: str, percent: int):
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
+def _with_partners(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members that may still have a partner in another component.
+
+    A partner holds ``percent`` of a set's shingles, so that many must occur in other components.
+    """
+    left = stored(members.select("vertex", "root").distinct(), "open")
+    tokens = sets.join(left, "vertex").select("vertex", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    across = tokens.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("token")
+    found = tokens.join(across, "token").groupBy("vertex", "n").agg(F.count(F.lit(1)).alias("found")).where(100 * F.col("found") >= percent * F.col("n"))
+    return members.join(stored(found.select("vertex"), "partners"), "vertex", "left_semi")
+
+
 def set_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(vertex, root) of linked vertices; members: signature, vertex, n, root (at first the vertex itself)."""
-    links, roots = None, None
+    links, roots, turn = None, None, 0
     while True:
+        by_vertex = [F.bit_xor(F.xxhash64("vertex", F.lit(i))) for i in (1, 2)]
         buckets = members.groupBy("signature").agg(
             F.count(F.lit(1)).alias("size"), F.min("root").alias("least"), F.max("root").alias("most"), F.min("vertex").alias("hub"),
-            F.min_by("n", "vertex").alias("hub_n"), F.min_by("root", "vertex").alias("hub_root"),
+            by_vertex[0].alias("who"), by_vertex[1].alias("who2"),
         ).where("least < most")
-        open_ = stored(members.join(buckets.drop("least", "most"), "signature"), "buckets")
+        # Signatures with the same members need one comparison.
+        buckets = buckets.groupBy("size", "hub", "who", "who2").agg(F.min("signature").alias("signature")).select("signature", "size", "hub")
+        open_ = stored(members.join(buckets, "signature"), "buckets")
         if open_.isEmpty():
             return roots
-        of_hub = open_.where((F.col("vertex") != F.col("hub")) & (F.col("root") != F.col("hub_root")) & _similar_sizes("n", "hub_n", percent))
-        pairs = of_hub.select(F.col("hub").alias("a"), F.col("vertex").alias("b"))
-        if links is not None:
-            # Components have formed: buckets of few members compare what lies in different ones.
-            few = open_.where(F.col("size") <= PAIRWISE).select("signature", "vertex", "n", "root")
-            other = few.select("signature", F.col("vertex").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-            met = few.join(other, "signature").where((F.col("vertex") < F.col("b")) & (F.col("root") != F.col("root_b")) & _similar_sizes("n", "n_b", percent))
-            pairs = pairs.where(F.col("size") > PAIRWISE).union(met.select(F.col("vertex").alias("a"), "b"))
-            open_ = open_.where(F.col("size") > PAIRWISE)
-        pairs = stored(pairs.distinct(), "pairs")
+        # One hub a bucket in the first turn, then so many that small buckets compare all that is left.
+        hubs = max(1, FIRST_HUBS << turn >> 1) if turn else 1
+        chosen = F.col("vertex") == F.col("hub") if not turn else F.pmod(F.xxhash64("vertex", F.lit(turn)), F.col("size")) < hubs
+        is_hub = open_.withColumn("is_hub", chosen | (F.col("vertex") == F.col("hub")))
+        of_hub = is_hub.where("is_hub").select("signature", F.col("vertex").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+        met = is_hub.join(of_hub, "signature").where(
+            (F.col("root") != F.col("root_a")) & _similar_sizes("n", "n_a", percent) & (~F.col("is_hub") | (F.col("a") < F.col("vertex")))
+        )
+        pairs = stored(met.select("a", F.col("vertex").alias("b")).distinct(), "pairs")
         new = _links(pairs, sets, percent)
         links = stored(new if links is None else links.union(new), "links")
         roots = stored(components(links), "roots")
-        rest = open_.where(F.col("vertex") != F.col("hub")).select("signature", "vertex", "n")
-        members = stored(
-            rest.join(roots, "vertex", "left").select("signature", "vertex", "n", F.coalesce("root", "vertex").alias("root")), "members"
-        )
+        rest = is_hub.where("not is_hub").select("signature", "vertex", "n")
+        members = rest.join(roots, "vertex", "left").select("signature", "vertex", "n", F.coalesce("root", "vertex").alias("root"))
+        members = stored(_with_partners(stored(members, "rest"), sets, percent), "members")
+        turn += 1
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:

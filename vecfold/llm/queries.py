@@ -1,8 +1,9 @@
 """The queries of the operators, each over its whole tables, and their SQL."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vecfold.llm import decontamination, ngram_join
+from vecfold.llm import decontamination, ngram_join, quality_rules, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +19,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), vocabulary or public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_token_counts": op6_token_counts,
     "op10_decontamination": op10_decontamination,
 }
 
