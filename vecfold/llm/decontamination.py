@@ -15,7 +15,7 @@ listed. Items that repeat an id are one item. Extra columns are ignored.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecfold.llm.tables import small, stored
+from vecfold.llm.tables import small, stored, without
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -147,4 +147,4 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     Rows of one id go together when one of them is contaminated; rows without id are judged as one document.
     """
     dirty = stored(contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("dirty")).distinct(), "dirty")
-    return docs.join(small(dirty), F.col("doc_id").eqNullSafe(F.col("dirty")), "left_anti")
+    return without(docs, dirty)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vecfold.llm import batches
 from vecfold.llm.components import components
-from vecfold.llm.tables import small, stored
+from vecfold.llm.tables import stored, within, without
 
 RARE = 16
 # Hubs of a bucket in the second turn; each later turn has twice as many.
@@ -203,8 +203,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     common = signatures.groupBy("signature").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("signature")
     members = stored(signatures.join(common, "signature").distinct().withColumn("root", F.col("vertex")), "members")
     wanted = stored(members.select("vertex").distinct().join(vertices.select("vertex", "label", "set_high", "set_low"), "vertex"), "wanted")
-    wanted_ids = stored(wanted.select(F.col("label").alias("doc_id")).distinct(), "wanted-ids")
-    texts = docs.select("doc_id", "text").join(small(wanted_ids).select(F.col("doc_id").alias("wanted")), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    wanted_ids = stored(wanted.select(F.col("label").alias("wanted")).distinct(), "wanted-ids")
+    texts = within(docs.select("doc_id", "text"), wanted_ids)
     whole = shingle_sets(texts, width, None).select("set_high", "set_low", "shingles").dropDuplicates(["set_high", "set_low"])
     sets = stored(whole.join(wanted, ["set_high", "set_low"]).select("vertex", "shingles"), "whole-sets")
     roots = set_components(members, sets, percent)
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     if roots is not None:
         least = named.join(roots, "vertex").groupBy("root").agg(F.min("label").alias("component"))
         named = named.join(roots.join(least, "root").select("vertex", "component"), "vertex", "left")
-        named = named.withColumn("label", F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("label")))
+        named = named.withColumn("label", F.coalesce("component", "label"))
     named = stored(named.select("set_high", "set_low", "label"), "labels")
     return (
         every.select("doc_id", "n_shingles", "set_high", "set_low")
@@ -224,9 +224,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
 def one_of_each(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """``docs`` without near duplicates: the row with its component's id stays, whole and unchanged.
 
-    Rows that repeat an id and a set count as one document; rows without id stay when their component has none.
+    Rows that repeat the id that stays all stay; rows without id stay when their component has no id.
     """
     classes = near_duplicates(docs, width, percent).select("doc_id", "component_id")
-    gone = stored(classes.where(F.col("doc_id").isNull() & F.col("component_id").isNotNull() | (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct(), "gone")
-    kept = docs.join(small(gone).select(F.col("doc_id").alias("gone")), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    return kept
+    copy = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return without(docs, stored(classes.where(copy).select(F.col("doc_id").alias("gone")).distinct(), "gone"))

@@ -2,14 +2,24 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vecfold.llm import decontamination, ngram_join, quality_rules, token_counts
+from vecfold.llm import decontamination, mixing, ngram_join, quality_rules, sharding, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(sharding.measured(documents(spark, sf_dir)), shards=8, seed=1)
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), copy="copy").select("doc_id", "source", "lang", "copy", F.octet_length("text").cast("long").alias("n_bytes"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = ngram_join.near_duplicates(documents(spark, sf_dir), width=4, percent=85)
     return classes.select("doc_id", "n_shingles", "component_id")
@@ -28,6 +38,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_mixing": op2_mixing,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
@@ -35,6 +47,22 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_mixing": r"""
+        WITH sizes AS (SELECT source, sum(coalesce(strlen(text), 0) + 1)::DOUBLE AS size FROM documents GROUP BY source
+        ), weights AS (SELECT source, size, pow(size, 0.7) AS weight FROM sizes
+        ), rates AS (
+            SELECT source, round(least(weight * (SELECT sum(size) FROM weights) / ((SELECT sum(weight) FROM weights) * size), 24.0), 9) AS rate FROM weights
+        ), terms AS (
+            SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS upto
+            FROM (SELECT source, k, exp(-rate + CASE WHEN k > 0 THEN k * ln(rate) ELSE 0 END - lgamma(k + 1)) AS p FROM rates, range(0, 65) t(k))
+        ), drawn AS (
+            SELECT doc_id, source, lang, text, ('0x' || substr(md5('copies 1' || chr(1) || coalesce(doc_id::VARCHAR, chr(0)) || chr(1) || coalesce(source, chr(0))), 1, 13))::BIGINT
+                / 4503599627370496.0 AS u FROM documents
+        ), counted AS (
+            SELECT d.doc_id, d.source, d.lang, d.text, (SELECT count(*) FROM terms t WHERE t.source IS NOT DISTINCT FROM d.source AND t.upto <= d.u) AS copies FROM drawn d
+        )
+        SELECT doc_id, source, lang, unnest(range(1, copies + 1))::INTEGER AS copy, strlen(text)::BIGINT AS n_bytes FROM counted WHERE copies > 0
+    """,
     "op10_decontamination": r"""
         WITH spelled AS (
             SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

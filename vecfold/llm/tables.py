@@ -29,3 +29,15 @@ def uniform(*values: Column | str) -> Column:
 def in_learning_folds(doc_id: Column) -> Column:
     """True for documents models may learn from: crc32 of the id as text is not 0 modulo 5."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 != 0, F.lit(False))
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id (null included) is not in the one column of the stored table ``ids``."""
+    gone = small(ids)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[ids.columns[0]]), "left_anti")
+
+
+def within(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id (null included) is in the one column of the stored table ``ids``."""
+    wanted = small(ids)
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted[ids.columns[0]]), "left_semi")
