@@ -127,10 +127,11 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32), allowed)
 
 
-def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch: float = SWITCH, transitions: np.ndarray | None = None) -> np.ndarray:
     """Best labels of sequences that lie one after the other in ``scores`` (words x labels).
 
-    All sequences of a slice advance together, longest first, word by word.
+    All sequences of a slice advance together, longest first, word by word. A change of label costs
+    ``switch``, or each pair of labels has a score of its own in ``transitions``.
     """
     labels = np.zeros(len(scores), np.int64)
     if not len(scores):
@@ -147,12 +148,17 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch:
         if k < len(state):
             final[k : len(state)] = state[k:].argmax(axis=1)
             state = state[:k]
-        best = state.argmax(axis=1)
-        change = state[np.arange(k), best][:, None] - switch
-        stay = state >= change
         at = starts[:k] + t
-        came[at] = np.where(stay, own, best[:, None])
-        state = np.where(stay, state, change) + scores[at]
+        if transitions is None:
+            best = state.argmax(axis=1)
+            change = state[np.arange(k), best][:, None] - switch
+            stay = state >= change
+            came[at] = np.where(stay, own, best[:, None])
+            state = np.where(stay, state, change) + scores[at]
+        else:
+            paths = state[:, :, None] + transitions
+            came[at] = paths.argmax(axis=1)
+            state = paths.max(axis=1) + scores[at]
     final[: len(state)] = state.argmax(axis=1)
     now = np.zeros(len(starts), np.int64)
     for t in range(int(lengths[0]) - 1, -1, -1):
