@@ -35,7 +35,9 @@ from vecfold.llm.tables import stored, within, without
 
 RARE = 16
 # Hubs of a bucket in the second turn; each later turn has twice as many.
-FIRST_HUBS = 32
+FIRST_HUBS = 64
+# Buckets of more members with the same least vertex become one bucket, whose pairs hold all of theirs.
+MERGED = 64
 
 
 def errors(n: int, percent: int) -> int:
@@ -126,60 +128,93 @@ def _signatures(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.Dat
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """Those pairs (a, b) whose whole sets are similar enough."""
     of = lambda name: sets.select(F.col("vertex").alias(name), F.col("shingles").alias(f"set_{name}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a")
     common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     union = F.size("set_a").cast("long") + F.size("set_b") - common
-    return both.where(100 * common >= percent * union).select("a", "b")
+    return both.where(100 * common >= percent * union).drop("set_a", "set_b")
 
 
-def _similar_sizes(a: str, b: str, percent: int):
-    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+def _can_link(common, n, other_n, percent: int):
+    """Whether sets of n and other_n shingles can be similar with at most ``common`` in common."""
+    return (100 * n >= percent * other_n) & (100 * other_n >= percent * n) & ((100 + percent) * common >= percent * (n + other_n))
 
 
 def _with_partners(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members that may still have a partner in another component.
+    """Members that may still have a partner in another component, with ``common``.
 
-    A partner holds ``percent`` of a set's shingles, so that many must occur in other components.
+    That is how many of a set's shingles occur in other components: no partner shares more, and one
+    shares at least ``percent`` of them.
     """
-    left = stored(members.select("vertex", "root").distinct(), "open")
+    left = members.select("vertex", "root").distinct()
     tokens = sets.join(left, "vertex").select("vertex", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     across = tokens.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("token")
-    found = tokens.join(across, "token").groupBy("vertex", "n").agg(F.count(F.lit(1)).alias("found")).where(100 * F.col("found") >= percent * F.col("n"))
-    return members.join(stored(found.select("vertex"), "partners"), "vertex", "left_semi")
+    found = tokens.join(across, "token").groupBy("vertex", "n").agg(F.count(F.lit(1)).alias("common"))
+    return members.join(found.where(100 * F.col("common") >= percent * F.col("n")).select("vertex", "common"), "vertex")
 
 
-def set_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _merged(members: DataFrame) -> DataFrame:
+    """Large buckets with the same least vertex as one: near copies share many signatures."""
+    large = members.groupBy("signature").agg(F.count(F.lit(1)).alias("size"), F.min("vertex").alias("hub")).where(F.col("size") > MERGED)
+    renamed = members.join(large.select("signature", (-F.col("hub") - 1).alias("merged")), "signature", "left")
+    return renamed.withColumn("signature", F.coalesce("merged", "signature")).drop("merged").distinct()
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(root, to): each root with an edge and a lesser root of its component, two steps away at most.
+
+    What it leaves apart is only compared again; the components themselves are found at the end.
+    """
+    both = edges.select(F.col("root_a").alias("root"), F.col("root_b").alias("to")).union(edges.select(F.col("root_b").alias("root"), F.col("root_a").alias("to")))
+    least = both.groupBy("root").agg(F.least(F.min("to"), F.col("root")).alias("to"))
+    onward = least.select(F.col("root").alias("to"), F.col("to").alias("onward"))
+    return least.join(onward, "to").select("root", F.col("onward").alias("to"))
+
+
+def set_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """(vertex, root) of linked vertices; members: signature, vertex, n, root (at first the vertex itself)."""
-    links, roots, turn = None, None, 0
+    links, turn = [], 0
+    members = stored(_merged(_with_partners(members, sets, percent)), "members")
     while True:
         by_vertex = [F.bit_xor(F.xxhash64("vertex", F.lit(i))) for i in (1, 2)]
-        buckets = members.groupBy("signature").agg(
-            F.count(F.lit(1)).alias("size"), F.min("root").alias("least"), F.max("root").alias("most"), F.min("vertex").alias("hub"),
-            by_vertex[0].alias("who"), by_vertex[1].alias("who2"),
-        ).where("least < most")
+        by_root = members.groupBy("signature", "root").agg(
+            F.count(F.lit(1)).alias("of_root"), F.min("vertex").alias("hub"), F.min("n").alias("least_n"), by_vertex[0].alias("who"), by_vertex[1].alias("who2")
+        )
+        buckets = by_root.groupBy("signature").agg(
+            (F.sum("of_root") - F.max("of_root")).alias("others"), F.max_by("root", "of_root").alias("main"), F.min("hub").alias("hub"),
+            F.min("least_n").alias("least_n"), F.bit_xor("who").alias("who"), F.bit_xor("who2").alias("who2"), F.count(F.lit(1)).alias("roots"),
+        ).where("roots > 1")
         # Signatures with the same members need one comparison.
-        buckets = buckets.groupBy("size", "hub", "who", "who2").agg(F.min("signature").alias("signature")).select("signature", "size", "hub")
-        open_ = stored(members.join(buckets, "signature"), "buckets")
+        buckets = buckets.groupBy("hub", "who", "who2").agg(F.min_by(F.struct("signature", "others", "main", "least_n"), "signature").alias("one")).select("one.*", "hub")
+        # One hub a bucket in the first turn, then so many outside of its largest component that small
+        # buckets compare all that is left: when those have retired, one component remains.
+        outside = F.pmod(F.xxhash64("vertex", F.lit(turn)), F.col("others")) < (FIRST_HUBS << turn >> 1)
+        chosen = (F.col("root") != F.col("main")) & outside if turn else F.lit(False)
+        smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100))
+        hopeful = members.join(buckets, "signature").where((100 + percent) * F.col("common") >= percent * (F.col("n") + smallest))
+        open_ = stored(hopeful.withColumn("is_hub", chosen | (F.col("vertex") == F.col("hub"))).drop("hub", "others", "main", "least_n"), "buckets")
         if open_.isEmpty():
-            return roots
-        # One hub a bucket in the first turn, then so many that small buckets compare all that is left.
-        hubs = max(1, FIRST_HUBS << turn >> 1) if turn else 1
-        chosen = F.col("vertex") == F.col("hub") if not turn else F.pmod(F.xxhash64("vertex", F.lit(turn)), F.col("size")) < hubs
-        is_hub = open_.withColumn("is_hub", chosen | (F.col("vertex") == F.col("hub")))
-        of_hub = is_hub.where("is_hub").select("signature", F.col("vertex").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-        met = is_hub.join(of_hub, "signature").where(
-            (F.col("root") != F.col("root_a")) & _similar_sizes("n", "n_a", percent) & (~F.col("is_hub") | (F.col("a") < F.col("vertex")))
+            break
+        of_hub = open_.where("is_hub").select("signature", F.col("vertex").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("common").alias("common_a"))
+        met = open_.join(of_hub, "signature").where(
+            (F.col("root") != F.col("root_a")) & _can_link(F.least("common", "common_a"), F.col("n"), F.col("n_a"), percent) & (~F.col("is_hub") | (F.col("a") < F.col("vertex")))
         )
-        pairs = stored(met.select("a", F.col("vertex").alias("b")).distinct(), "pairs")
-        new = _links(pairs, sets, percent)
-        links = stored(new if links is None else links.union(new), "links")
-        roots = stored(components(links), "roots")
-        rest = is_hub.where("not is_hub").select("signature", "vertex", "n")
-        members = rest.join(roots, "vertex", "left").select("signature", "vertex", "n", F.coalesce("root", "vertex").alias("root"))
-        members = stored(_with_partners(stored(members, "rest"), sets, percent), "members")
+        pairs = met.select("a", F.col("vertex").alias("b"), "root_a", F.col("root").alias("root_b")).distinct()
+        edges = stored(_links(pairs, sets, percent).select("root_a", "root_b").distinct(), "links")
+        links.append(edges)
+        # Hubs retire, the others take their component's root.
+        rest = open_.where("not is_hub").select("signature", "vertex", "n", "root")
+        rest = rest.join(_contracted(edges), "root", "left").select("signature", "vertex", "n", F.coalesce("to", "root").alias("root"))
+        members = _with_partners(stored(rest, "rest"), sets, percent)
+        members = stored(members if turn else _merged(members), "members")
         turn += 1
+    if not links:
+        return None
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    return stored(components(every.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), "roots")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
