@@ -28,16 +28,15 @@ def test_chat_requests(spark):
     assert rows[3].messages == [] and [tuple(m) for m in rows[4].messages] == [("user", "None")]
 
 
-def test_long_conversations_come_in_parts(spark):
-    turns = spark.range(10).select(
+def test_a_long_conversation_is_one_list(spark):
+    turns = spark.range(5000).select(
         F.lit(7).alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, F.lit("system")).otherwise(F.lit("tool")).alias("role"),
         F.col("id").cast("string").alias("text"),
     )
-    parts = responses.assemble_conversations(turns.repartition(4), part_size=4).orderBy("part").collect()
-    assert [len(p.messages) for p in parts] == [4, 4, 2]
-    assert [m.content for p in parts for m in p.messages] == [str(n) for n in range(10)]
-    assert [m.role for m in parts[0].messages] == ["system", "user", "user", "user"]
+    (whole,) = responses.assemble_conversations(turns.repartition(4)).collect()
+    assert [m.content for m in whole.messages] == [str(n) for n in range(5000)]
+    assert [m.role for m in whole.messages[:3]] == ["system", "user", "user"]
 
 
 def raw_items(spark, *items):

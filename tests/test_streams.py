@@ -16,21 +16,34 @@ from vecfold.streaming.files import read_table_stream, run_available, to_table
 CHUNK = "response_id string, seq long, delta string"
 
 
-def test_texts_come_in_parts_in_order(spark):
-    chunks = spark.range(0, 1000, 1, 7).select(
+def test_a_long_response_is_one_text(spark):
+    n = 30_000
+    chunks = spark.range(0, n, 1, 7).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("r"), F.col("id"))).alias("response_id"),
         F.when(F.col("id") % 3 == 0, F.col("id") / 3).otherwise(F.lit(0)).cast("long").alias("seq"),
         F.concat(F.col("id").cast("string"), F.lit(",")).alias("delta"),
     )
-    parts = deltas.assemble_deltas(chunks, part_size=100)
-    hot = parts.where("response_id = 'hot'").orderBy("part").collect()
-    assert [p.chunks for p in hot] == [100, 100, 100, 34]
-    assert "".join(p.text for p in hot) == "".join(f"{n}," for n in range(0, 1000, 3))
-    events = deltas.stream_events(chunks, part_size=100).where("response_id = 'hot'")
-    numbers = [r.sequence_number for r in events.select("sequence_number").distinct().orderBy("sequence_number").collect()]
-    assert numbers == list(range(334 + 4))
-    done = events.where(F.col("type") == deltas.TEXT_DONE).orderBy("part").collect()
-    assert [d.text for d in done] == [p.text for p in hot]
+    want = "".join(f"{i}," for i in range(0, n, 3))
+    hot = deltas.assemble_deltas(chunks).where("response_id = 'hot'").collect()
+    assert [(r.chunks, r.text) for r in hot] == [(10_000, want)]
+    events = deltas.stream_events(chunks).where("response_id = 'hot'")
+    numbers = [r.sequence_number for r in events.select("sequence_number").orderBy("sequence_number").collect()]
+    assert numbers == list(range(10_000 + 4))
+    done = events.where(F.col("type") == deltas.TEXT_DONE).collect()
+    assert [(d.sequence_number, d.text) for d in done] == [(10_002, want)]
+
+
+def test_stored_chunks_equal_the_batch(spark, tmp_path):
+    schema = CHUNK + ", is_last boolean"
+    batches = [
+        [("a", 1, "B", False), ("a", 0, "A", False), ("b", 2, "!", True), ("open", 0, "x", False)],
+        [("a", 0, "A", False), ("a", 3, "D", True), ("b", 0, "x", False), ("gap", 5, "end", True)],
+        [("a", 2, "C", False), ("b", 1, None, False), ("a", 4, "after", False)],
+    ]
+    path = str(tmp_path / "stored")
+    run_available(delta_stream.append_stream(write_batches(spark, tmp_path, batches, schema), path), str(tmp_path / "progress"))
+    got = {r.response_id: (r.chunks, r.text) for r in delta_stream.assemble_closed(spark.read.parquet(path)).collect()}
+    assert got == {"a": (4, "ABCD"), "b": (3, "x!")}
 
 
 def test_a_chunk_without_text_is_empty(spark):
@@ -113,12 +126,12 @@ def test_streamed_puts_equal_one_put_and_replays_change_nothing(spark, sf_dir, t
     assert {r.embedding_id for r in many.tables.embeddings().collect()} == ids
 
 
-def test_minutes_stay_open_until_late(spark, sf_dir):
+def test_all_minutes_come_out(spark, sf_dir, tmp_path):
     stream = read_table_stream(spark, sf_dir, "events.parquet", fixtures.SCHEMAS["events"])
-    minutes = to_table(counter.requests_by_minute(fixtures.request_log_of(stream)), "minutes")
-    counted = minutes.agg(F.sum("requests")).first()[0]
-    total = fixtures.request_log(spark, sf_dir).where("path <> '/docs/'").count()
-    assert 0 < counted < total
+    path = str(tmp_path / "minutes")
+    run_available(counter.minute_counts_stream(fixtures.request_log_of(stream), path), str(tmp_path / "progress"))
+    counted = counter.requests_by_minute(spark.read.parquet(path)).agg(F.sum("requests")).first()[0]
+    assert counted == fixtures.request_log(spark, sf_dir).where("path <> '/docs/'").count()
 
 
 def test_file_manifest(spark, tmp_path):

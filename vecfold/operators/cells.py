@@ -20,10 +20,6 @@ from vecfold.operators.access import Allowed
 from vecfold.operators.search import search_rows
 from vecfold.schemas import DEFAULT_TOP_K, Metric
 
-# Centroids are trained on about this many rows; every row is assigned to a cell.
-TRAINING_ROWS = 1_000_000
-
-
 @dataclass(frozen=True)
 class Cells:
     """Centroids with the largest distance of a row to each (-1 for an empty cell)."""
@@ -39,11 +35,9 @@ class Cells:
         return np.sqrt(np.sum((self.centroids - np.asarray(query, np.float64)) ** 2, axis=1))
 
 
-def train_centroids(rows: DataFrame, cells: int, seed: int = 0, training_rows: int = TRAINING_ROWS) -> np.ndarray:
-    total = rows.count()
+def train_centroids(rows: DataFrame, cells: int, seed: int = 0) -> np.ndarray:
+    """Centroids of all rows; the clustering runs distributed."""
     training = rows.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    if total > training_rows:
-        training = training.sample(training_rows / total, seed)
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(training)
     return np.array(model.clusterCenters(), dtype=np.float64)
 

@@ -1,10 +1,10 @@
 """Reply streams logged as chunks (``response_id, seq, delta``): final texts and event lists.
 
-Chunks of one response count from 0. Texts are built in parts of bounded size, so a response
-that makes up a large share of all chunks is spread over tasks like any other data.
+Chunks of one response count from 0. Texts are joined in parts first, so a response that makes up a
+large share of all chunks is spread over tasks like any other data; the parts give one text.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Event types of the reply stream protocol.
@@ -14,7 +14,7 @@ TEXT_DELTA = "response.output_text.delta"
 TEXT_DONE = "response.output_text.done"
 ITEM_DONE = "response.output_item.done"
 
-# Most chunks joined into one piece of text.
+# Chunks joined at a time, before the parts of a response are.
 CHUNKS_PER_PART = 4096
 
 
@@ -36,56 +36,50 @@ def number_chunks(chunks: DataFrame, bucket: int = CHUNKS_PER_PART) -> DataFrame
 
 
 def assemble_deltas(chunks: DataFrame, part_size: int = CHUNKS_PER_PART) -> DataFrame:
-    """The text of each response in order; one row unless it has more than ``part_size`` chunks.
+    """The whole text of each response, one row whatever its number of chunks.
 
-    Longer responses continue in further parts. A chunk without text counts as empty.
+    Texts are joined in parts of ``part_size`` chunk numbers first, which spreads a long response over
+    tasks; its parts then meet in a row that holds no more than the text itself. A text that does not
+    fit into a cell (2 GB) fails the job. A chunk without text counts as empty.
     """
     rows = chunks.select(
         "response_id",
         F.floor(F.col("seq") / part_size).alias("part"),
         F.struct("seq", F.coalesce("delta", F.lit("")).alias("delta")).alias("chunk"),
     )
-    grouped = rows.groupBy("response_id", "part").agg(F.sort_array(F.collect_list("chunk")).alias("ordered"))
-    text = F.array_join(F.transform("ordered", lambda c: c["delta"]), "")
-    return grouped.select("response_id", "part", F.size("ordered").alias("chunks"), text.alias("text"))
+    parts = rows.groupBy("response_id", "part").agg(F.sort_array(F.collect_list("chunk")).alias("ordered"))
+    parts = parts.select(
+        "response_id",
+        F.size("ordered").cast("long").alias("chunks"),
+        F.struct("part", F.array_join(F.transform("ordered", lambda c: c["delta"]), "").alias("text")).alias("part"),
+    )
+    whole = parts.groupBy("response_id").agg(
+        F.sum("chunks").cast("int").alias("chunks"), F.sort_array(F.collect_list("part")).alias("parts")
+    )
+    return whole.select("response_id", "chunks", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
 
 
 def stream_events(chunks: DataFrame, part_size: int = CHUNKS_PER_PART) -> DataFrame:
     """The event list of each response: item added, part added, deltas, text done, item done.
 
-    Positions follow from the chunk numbers, so only the counts and texts are grouped. ``part``
-    is 0 but for the done text of a response longer than ``part_size`` chunks.
+    Positions follow from the chunk numbers, so only the texts are grouped, once.
     """
-    text = F.col("text")
     nothing = F.lit(None).cast("string")
-    first_part = F.lit(0).cast("long")
     deltas = chunks.select(
         "response_id",
         (F.col("seq") + 2).cast("long").alias("sequence_number"),
-        first_part.alias("part"),
         F.lit(TEXT_DELTA).alias("type"),
         F.coalesce("delta", F.lit("")).alias("text"),
     )
-    parts = assemble_deltas(chunks, part_size)
-    totals = parts.groupBy("response_id").agg(F.sum("chunks").alias("n"))
-    fixed = totals.select(
-        "response_id",
-        F.inline(
-            F.array(
-                F.struct(F.lit(0).cast("long").alias("sequence_number"), F.lit(ITEM_ADDED).alias("type")),
-                F.struct(F.lit(1).cast("long").alias("sequence_number"), F.lit(PART_ADDED).alias("type")),
-                F.struct((F.col("n") + 3).alias("sequence_number"), F.lit(ITEM_DONE).alias("type")),
-            )
-        ),
-    ).select("response_id", "sequence_number", first_part.alias("part"), "type", nothing.alias("text"))
-    done = parts.join(totals, "response_id").select(
-        "response_id",
-        (F.col("n") + 2).alias("sequence_number"),
-        F.col("part").cast("long").alias("part"),
-        F.lit(TEXT_DONE).alias("type"),
-        text.alias("text"),
+
+    def event(number: Column, kind: str, text: Column = nothing) -> Column:
+        return F.struct(number.cast("long").alias("sequence_number"), F.lit(kind).alias("type"), text.alias("text"))
+
+    n = F.col("chunks")
+    around = F.array(
+        event(F.lit(0), ITEM_ADDED), event(F.lit(1), PART_ADDED), event(n + 2, TEXT_DONE, F.col("text")), event(n + 3, ITEM_DONE)
     )
-    return deltas.unionByName(fixed).unionByName(done)
+    return deltas.unionByName(assemble_deltas(chunks, part_size).select("response_id", F.inline(around)))
 
 
 def stream_usage(chunks: DataFrame) -> DataFrame:

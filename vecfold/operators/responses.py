@@ -1,7 +1,7 @@
 """Normalisation of logged model requests and replies, one row per logged object.
 
 Nested parts are handled with array expressions inside the row, so these jobs never shuffle;
-only the assembly of a conversation from its turns groups rows, in bounded parts.
+only the assembly of a conversation from its turns groups rows, in parts and then whole.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,7 @@ REASONING_SUMMARIES = ["concise", "detailed", "auto"]
 UNKNOWN_NUMBER = -1
 CHAT_ARGUMENTS_FIELD = "__openai_chat_function_args__"
 
-# Most messages of one conversation held in one row.
+# Turns sorted at a time, before the parts of a conversation are joined.
 MESSAGES_PER_PART = 1024
 
 
@@ -51,19 +51,20 @@ def chat_requests(bodies: DataFrame) -> DataFrame:
 
 
 def assemble_conversations(turns: DataFrame, part_size: int = MESSAGES_PER_PART) -> DataFrame:
-    """Turns (``conv_id, turn, role, text``) as message lists in turn order.
+    """Turns (``conv_id, turn, role, text``) as one message list per conversation, in turn order.
 
-    Turns count from 0 and a ``system`` turn 0 holds the instructions. A conversation longer than
-    ``part_size`` turns continues in further parts, so no group outgrows a task.
+    Turns count from 0 and a ``system`` turn 0 holds the instructions. Messages are sorted in parts of
+    ``part_size`` turns, which spreads a long conversation over tasks, and the parts joined.
     """
     rows = turns.select(
         "conv_id",
         F.floor(F.col("turn") / part_size).alias("part"),
         F.struct("turn", chat_role(F.col("role")).alias("role"), F.col("text").alias("content")).alias("message"),
     )
-    grouped = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("message")).alias("ordered"))
-    messages = F.transform("ordered", lambda m: _message(m["role"], m["content"]))
-    return grouped.select("conv_id", "part", messages.alias("messages"))
+    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("message")).alias("ordered"))
+    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "ordered"))).alias("parts"))
+    messages = F.transform(F.flatten(F.transform("parts", lambda p: p["ordered"])), lambda m: _message(m["role"], m["content"]))
+    return whole.select("conv_id", messages.alias("messages"))
 
 
 def item_status(status: Column) -> Column:

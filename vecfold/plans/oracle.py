@@ -366,7 +366,7 @@ SELECT 'r-' || conv_id || '-' || turn AS request_id, 'm' AS model,
                ELSE role || ': ' || text || chr(10) || role || ': ' || text END AS messages
 FROM conversations""",
     "assemble_conversations": """
-SELECT conv_id, 0::bigint AS part, count(*)::int AS message_count,
+SELECT conv_id, count(*)::int AS message_count,
        string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS messages
 FROM conversations GROUP BY conv_id""",
     "normalize_completions": """
@@ -439,16 +439,16 @@ SELECT 'r-' || conv_id || '-' || turn AS id,
        CASE WHEN turn % 4 = 0 THEN turn ELSE -1 END::int AS top_logprobs
 FROM conversations""",
     "assemble_deltas": f"""{_with(_CHUNKS)}
-SELECT response_id, 0::bigint AS part, count(*)::int AS chunks, string_agg(delta, '' ORDER BY seq) AS text
+SELECT response_id, count(*)::int AS chunks, string_agg(delta, '' ORDER BY seq) AS text
 FROM chunks GROUP BY response_id""",
     "stream_events": f"""{_with(_CHUNKS)}, done AS (
   SELECT response_id, count(*) AS n, any_value(text) AS text FROM chunks GROUP BY response_id)
-SELECT response_id, 0::bigint AS sequence_number, 0::bigint AS part, 'response.output_item.added' AS type, NULL AS text
+SELECT response_id, 0::bigint AS sequence_number, 'response.output_item.added' AS type, NULL AS text
 FROM done
-UNION ALL SELECT response_id, 1, 0, 'response.content_part.added', NULL FROM done
-UNION ALL SELECT response_id, seq + 2, 0, 'response.output_text.delta', delta FROM chunks
-UNION ALL SELECT response_id, n + 2, 0, 'response.output_text.done', text FROM done
-UNION ALL SELECT response_id, n + 3, 0, 'response.output_item.done', NULL FROM done""",
+UNION ALL SELECT response_id, 1, 'response.content_part.added', NULL FROM done
+UNION ALL SELECT response_id, seq + 2, 'response.output_text.delta', delta FROM chunks
+UNION ALL SELECT response_id, n + 2, 'response.output_text.done', text FROM done
+UNION ALL SELECT response_id, n + 3, 'response.output_item.done', NULL FROM done""",
     "number_chunks": f"{_with(_CHUNKS)} SELECT response_id, seq, delta FROM chunks",
     "resolve_models": """
 WITH best AS (
@@ -462,10 +462,9 @@ FROM part LEFT JOIN best ON model = p_partkey""",
 SELECT u.collection_id, u.authz, u.metadata, round(list_sum(e.v), 6) AS vector_sum
 FROM uniq u JOIN emb e ON e.vec_id = u.first_pos // 2""",
     "stream_deltas": """
-SELECT 'r-' || conv_id || '-' || turn AS response_id, 0::bigint AS part, text FROM conversations""",
+SELECT 'r-' || conv_id || '-' || turn AS response_id, text FROM conversations""",
     "stream_requests_by_minute": f"""{_with(_LOG)}, minutes AS (
   SELECT date_trunc('minute', ts) AS minute_start, status_code FROM log)
 SELECT minute_start, status_code, count(*) AS requests FROM minutes
-WHERE minute_start + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM log) - INTERVAL 10 MINUTE
 GROUP BY minute_start, status_code""",
 }

@@ -672,7 +672,7 @@ def chat_requests(spark, sf_dir):
 @query
 def assemble_conversations(spark, sf_dir):
     built = responses.assemble_conversations(fixtures.conversations(spark, sf_dir))
-    return built.select("conv_id", "part", F.size("messages").alias("message_count"), _joined("messages").alias("messages"))
+    return built.select("conv_id", F.size("messages").alias("message_count"), _joined("messages").alias("messages"))
 
 
 @query
@@ -818,12 +818,15 @@ def stream_put(spark, sf_dir):
 @query
 def stream_deltas(spark, sf_dir):
     turns = _as_stream(spark, sf_dir, "conversations")
-    pieces = to_table(delta_stream.assemble_stream(fixtures.chunks_of(turns)), "pieces")
-    return deltas.assemble_deltas(pieces).select("response_id", "part", "text")
+    path = scratch_path(spark, "chunks")
+    run_available(delta_stream.append_stream(fixtures.chunks_of(turns), path), scratch_path(spark, "chunks-progress"))
+    return delta_stream.assemble_closed(spark.read.parquet(path)).select("response_id", "text")
 
 
 @query
 def stream_requests_by_minute(spark, sf_dir):
     log = fixtures.request_log_of(_as_stream(spark, sf_dir, "events"))
-    minutes = to_table(counter.requests_by_minute(log), "minutes")
+    path = scratch_path(spark, "minutes")
+    run_available(counter.minute_counts_stream(log, path), scratch_path(spark, "minutes-progress"))
+    minutes = counter.requests_by_minute(spark.read.parquet(path))
     return minutes.withColumn("minute_start", F.col("minute_start").cast("timestamp_ntz"))

@@ -1,6 +1,8 @@
 """Reply streams put together as they arrive.
 
-The state of a response is its next chunk number and the chunks that came early. Text is given
+``append_stream`` stores chunks as they come and ``assemble_closed`` puts closed responses together:
+no state, no order of arrival, and no response passes through one task. ``assemble_stream`` gives text
+out with less delay: the state of a response is its next chunk number and the chunks that came early. Text is given
 out as soon as it is in order, so the state does not grow with the response.
 """
 
@@ -8,8 +10,34 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from vecfold.operators.deltas import assemble_deltas
+
+def append_stream(chunks: DataFrame, path: str) -> DataStreamWriter:
+    """Raw chunks ``response_id, seq, delta, is_last`` of every micro-batch, in a folder of its number."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.select("response_id", "seq", "delta", "is_last").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return chunks.writeStream.foreachBatch(write)
+
+
+def assemble_closed(stored: DataFrame) -> DataFrame:
+    """Texts of the responses whose chunks are all there up to the last one.
+
+    Repeated chunks count once. Responses still open stay stored and come with a later call; chunks
+    after the last one are ignored.
+    """
+    chunks = stored.groupBy("response_id", "seq").agg(F.first("delta").alias("delta"), F.max("is_last").alias("is_last"))
+    ends = chunks.where("is_last").groupBy("response_id").agg(F.min("seq").alias("end"))
+    within = chunks.join(ends, "response_id").where(F.col("seq") <= F.col("end"))
+    closed = assemble_deltas(within).join(ends, "response_id")
+    return closed.where(F.col("chunks") == F.col("end") + 1).select("response_id", "chunks", "text")
+
+
 PIECES = "response_id string, seq long, delta string, is_last boolean"
 STATE = "next_seq long, early_seq array<long>, early_delta array<string>, early_last array<boolean>"
 
