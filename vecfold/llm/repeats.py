@@ -33,7 +33,8 @@ from vecfold.llm.tables import small, stored
 
 GRAM = 128
 STEP = 16
-HOT = 512
+# Runs of a bucket that a task may gather: some 6 MB of bytes.
+HOT = 8192
 BATCH_BYTES = 4_000_000
 
 
