@@ -244,9 +244,69 @@ def test_search_and_ordered_read_prune_partitions(spark, store):
         store.search_all([3.0, 2.0, 1.0], ALLOWED)
 
 
-def test_canonical_json(spark):
-    rows = spark.createDataFrame([('{"b": [1, {"z": 1, "a": null}], "a": 1.50}',), (None,)], "m string")
-    assert [r[0] for r in rows.select(canonical_json(F.col("m"))).collect()] == ['{"a":1.5,"b":[1,{"a":null,"z":1}]}', "{}"]
+def test_canonical_json_loses_nothing(spark):
+    cases = {
+        '{"b": [1, {"z": 1, "a": null}], "a": 1.50}': '{"a":1.50,"b":[1,{"a":null,"z":1}]}',
+        None: "{}",
+        '{"n": 123456789012345678901234567890123456789012345, "e": 1e-400, "f": -0.0, "g": 1E5}':
+            '{"e":1e-400,"f":-0.0,"g":1E5,"n":123456789012345678901234567890123456789012345}',
+        '{"é": "\\u00e9\\n", "a": {"d": true, "c": "x"}}': '{"a":{"c":"x","d":true},"é":"é\\n"}',
+        "[1,2]": None, "1": None, "null": None, "{": None, '{"a":1,"a":2}': None, '{"a":NaN}': None,
+    }
+    rows = spark.createDataFrame([(m,) for m in cases], "m string")
+    assert [r[0] for r in rows.select(canonical_json(F.col("m"))).collect()] == list(cases.values())
+
+
+def test_numbers_written_differently_stay_two_rows(spark, store):
+    result = store.insert(batch(spark, (1, [1.0, 2.0], None, '{"a": 1.0}'), (1, [1.0, 2.0], None, '{"a":1}'), (1, [1.0, 2.0], None, '{ "a" : 1 }')), ALLOWED, "b")
+    assert len({r.embedding_id for r in result.collect()}) == 2
+    assert sorted(r[4] for r in content(store)) == ['{"a":1.0}', '{"a":1}']
+
+
+@pytest.mark.parametrize("vector", [[float("nan"), 1.0], [float("inf"), 1.0], [1e300, 1.0]])
+def test_values_that_cannot_be_stored_are_refused(spark, store, vector):
+    with pytest.raises(search.BadRequest, match="cannot be stored"):
+        store.insert(batch(spark, (1, vector)), ALLOWED, "b")
+
+
+def test_metadata_must_be_an_object(spark, store):
+    with pytest.raises(search.BadRequest, match="not a JSON object"):
+        store.insert(batch(spark, (1, [1.0, 2.0], None, "[1,2]")), ALLOWED, "b")
+
+
+def test_writes_stop_at_hidden_collections(spark, store):
+    row = batch(spark, (1, [1.0, 2.0], "/programs/p"))
+    hidden = ["/programs/p", "/vectorstore/collections/half"]
+    for write in (store.insert, store.put):
+        with pytest.raises(NotFound):
+            write(row, hidden, "b")
+    with pytest.raises(NotFound):
+        store.put(row, ALLOWED, "b", create_allowed=hidden)
+    with pytest.raises(NotAllowed):
+        store.put(row, ALLOWED, "b", create_allowed=["/vectorstore/collections/one"])
+    with pytest.raises(NotFound):
+        store.delete_embeddings(spark.createDataFrame([(1, "x")], "collection_id long, embedding_id string"), hidden)
+    assert content(store) == []
+
+
+def test_nothing_visible_is_an_empty_result(store):
+    assert store.search_all([1.0, 2.0], ["/programs/p"]).count() == 0
+
+
+def test_a_failed_write_leaves_no_trace_and_one_of_two_wins(spark, store):
+    tables = store.tables
+    before = tables.generation()
+    broken = tables.collections().withColumn("dimensions", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        tables.commit(broken)
+    assert tables.generation() == before
+    catalog = tables.collections()
+    assert tables.commit(catalog, expect=before) == before + 1
+    with pytest.raises(StaleWrite):
+        tables.commit(catalog, expect=before)
+    with pytest.raises(StaleWrite):
+        tables._publish(before, "late")
+    assert tables.generation() == before + 1 and tables.collections().count() == catalog.count()
 
 
 def test_json_sources(spark, tmp_path):

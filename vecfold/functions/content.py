@@ -1,7 +1,11 @@
 """Content keys and JSON text: hashes in uuid form, canonical JSON, text lookup in metadata."""
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hash_uuid(text: Column) -> Column:
@@ -9,9 +13,54 @@ def hash_uuid(text: Column) -> Column:
     return F.regexp_replace(F.md5(text), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
+class _Number(str):
+    """A number as it was written."""
+
+
+def _object(pairs: list[tuple]) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("a key repeats")
+    return found
+
+
+def _constant(name: str):
+    raise ValueError(f"{name} is no JSON number")
+
+
+def _write(value) -> str:
+    if isinstance(value, _Number):
+        return value
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_write(value[k])}" for k in sorted(value)) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_write, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def canonical_text(text: str | None) -> str | None:
+    """JSON with sorted keys and no blanks; numbers keep their own text. None if it is no object."""
+    try:
+        value = json.loads("{}" if text is None else text, parse_int=_Number, parse_float=_Number, parse_constant=_constant, object_pairs_hook=_object)
+        written = _write(value)
+        written.encode()  # a lone surrogate cannot be stored
+        return written if isinstance(value, dict) else None
+    except (ValueError, RecursionError):
+        return None
+
+
+@F.arrow_udf(T.StringType())
+def _canonical(texts: pa.Array) -> pa.Array:
+    return pa.array([canonical_text(t) for t in texts.to_pylist()], pa.string())
+
+
 def canonical_json(text: Column) -> Column:
-    """The same JSON value with keys sorted at every level and no blanks; null means ``{}``."""
-    return F.to_json(F.parse_json(F.coalesce(text, F.lit("{}"))))
+    """The same JSON object with keys sorted at every level and no blanks; null means ``{}``.
+
+    Every number keeps the text it was given as, so ``1.0`` and ``1`` differ and no digit is lost.
+    Null for anything that is no object, repeats a key in an object, or is no JSON.
+    """
+    return _canonical(text)
 
 
 def metadata_fields(metadata: Column) -> Column:

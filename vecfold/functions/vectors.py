@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,8 +66,13 @@ def distance(metric: Metric | str, x: Column, y: Column, y_norm: Column | None =
 
 def as_matrix(vectors: pa.Array) -> np.ndarray:
     """An Arrow list column of equal-length vectors as a (rows, dimensions) double matrix."""
+    if not len(vectors):
+        return np.empty((0, 0))
+    lengths = pc.unique(pc.list_value_length(vectors)).to_pylist()
+    if len(lengths) > 1 or lengths[0] is None:
+        raise ValueError(f"vectors of one comparison must have one length, not {sorted(map(str, lengths))}")
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(vectors), -1).astype(np.float64) if len(vectors) else np.empty((0, 0))
+    return flat.reshape(len(vectors), -1).astype(np.float64)
 
 
 def row_distances(metric: Metric, x: np.ndarray, y: np.ndarray) -> np.ndarray:

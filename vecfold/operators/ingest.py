@@ -40,14 +40,18 @@ def dimension_violations(batch: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def _problem() -> Column:
-    """What is wrong with an incoming row joined to its collection, null if nothing."""
+    """What is wrong with an incoming row joined to its collection, null if nothing.
+
+    ``canonical`` holds its metadata in canonical form.
+    """
     return (
         F.when(F.col("dimensions").isNull(), F.lit("unknown collection"))
         .when(F.size("embedding") != F.col("dimensions"), F.lit("embedding dimension mismatch"))
         .when(F.exists("embedding", lambda v: v.isNull()), F.lit("embedding has a null element"))
         .when(~authz_is_valid(F.col("authz")), F.lit("authz must start with a slash (/)"))
+        .when(F.exists("embedding", lambda v: F.isnan(v) | (F.abs(v.cast("float")) == float("inf"))), F.lit("embedding has a value that cannot be stored"))
         .when((F.col("vector_type") == "halfvec") & half_overflows(F.col("embedding")), F.lit("out of half range"))
-        .when(F.try_parse_json(F.coalesce("metadata", F.lit("{}"))).isNull(), F.lit("metadata is not valid JSON"))
+        .when(F.col("canonical").isNull(), F.lit("metadata is not a JSON object"))
     )
 
 
@@ -58,8 +62,9 @@ def prepare_batch(batch: DataFrame, catalog: DataFrame) -> DataFrame:
     The vector's key is taken from the input values, before rounding to stored precision.
     """
     known = catalog.select(F.col("id").alias("collection_id"), "collection_name", "dimensions", "vector_type")
-    rows = batch.join(known, "collection_id", "left").withColumn("problem", _problem())
-    metadata = F.when(F.col("problem").isNull(), canonical_json(F.col("metadata")))
+    rows = batch.withColumn("canonical", canonical_json(F.col("metadata"))).join(known, "collection_id", "left")
+    rows = rows.withColumn("problem", _problem())
+    metadata = F.when(F.col("problem").isNull(), F.col("canonical"))
     return rows.withColumn("metadata", metadata).select(
         "pos",
         "collection_id",
@@ -77,6 +82,7 @@ def prepare_batch(batch: DataFrame, catalog: DataFrame) -> DataFrame:
 def check_updates(updates: DataFrame, catalog: DataFrame) -> None:
     """Reject updates of which any given field is not acceptable."""
     known = catalog.select(F.col("id").alias("collection_id"), "dimensions", "vector_type")
+    updates = updates.withColumn("canonical", canonical_json(F.col("metadata")))
     check_batch(updates.join(known, "collection_id", "left").withColumn("problem", _problem()))
 
 
@@ -194,9 +200,10 @@ def update_by_id(state: DataFrame, updates: DataFrame, allowed: Allowed, now: Co
     """
     fields = ["embedding", "metadata", "authz"]
     merged = updates.groupBy("collection_id", "embedding_id").agg(*[_last_given(c) for c in fields])
+    merged = merged.withColumn("new_canonical", canonical_json(F.col("new_metadata")))
     joined = with_visibility(state, allowed).join(merged, ["collection_id", "embedding_id"], "left")
     given = {c: F.col("visible") & F.col(f"new_{c}").isNotNull() for c in fields}
-    new_metadata = canonical_json(F.col("new_metadata"))
+    new_metadata = F.col("new_canonical")
     changed = given["embedding"] | given["metadata"] | given["authz"]
     return joined.select(
         "collection_id",

@@ -309,9 +309,12 @@ def knn_batch(
     if query_bytes <= max_broadcast_bytes:
         table = queries.select("query_id", "embedding").toArrow()
         known = None
-        if vectors.count() > SEEDED_FROM * seed_rows:
+        count = vectors.count()
+        if count > SEEDED_FROM * seed_rows:
             # What some vectors reach bounds the k-th place for all: tasks then hand on few pairs.
-            seeds = vectors.select("embedding_id", "embedding").limit(seed_rows).repartition(SEED_TASKS)
+            # Rows chosen by a hash lie in all files; how many they are does not matter for the result.
+            chosen = F.pmod(F.xxhash64("embedding_id"), F.lit(max(1, count // seed_rows))) == 0
+            seeds = vectors.select("embedding_id", "embedding").where(chosen).repartition(SEED_TASKS)
             known = _values_to_beat(_compare_with_all(seeds, table, metric, top_k, bounds), table, metric, top_k)
         lists = _compare_with_all(vectors, table, metric, top_k, bounds, known)
     else:

@@ -4,6 +4,7 @@ The plan is a pruned scan, a projection of ``value`` and one top-k: every task k
 so no vector is shuffled.
 """
 
+import math
 import operator
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -22,11 +23,20 @@ class BadRequest(Exception):
     """The request is rejected as a whole."""
 
 
+def _half_query(query: Sequence[float]) -> list[float]:
+    rounded = half_query(query)
+    if not all(math.isfinite(v) for v in rounded):
+        raise BadRequest("input is out of half range")
+    return rounded
+
+
 def check_query(query: Sequence[float], dimensions: int | None = None) -> list[float]:
     if isinstance(query, str):
         raise BadRequest("search by text is not supported, pass a vector")
     if not query or not all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in query):
         raise BadRequest("input must be a numeric vector")
+    if not all(math.isfinite(v) for v in query):
+        raise BadRequest("input must be finite numbers")
     if dimensions is not None and len(query) != dimensions:
         raise BadRequest(f"input vector has {len(query)} dimensions, expected {dimensions}")
     return [float(v) for v in query]
@@ -98,7 +108,7 @@ def search_collection(embeddings: DataFrame, collection, query: Sequence[float],
     """Search one collection, given as its catalog row."""
     query = check_query(query, collection.dimensions)
     if collection.vector_type == VectorType.halfvec:
-        query = half_query(query)
+        query = _half_query(query)
     rows = embeddings.where(
         (F.col("vector_type") == collection.vector_type) & (F.col("collection_id") == collection.id)
     )
@@ -139,7 +149,7 @@ def search_across(
     """
     query = check_query(query)
     if vector_type == VectorType.halfvec:
-        query = half_query(query)
+        query = _half_query(query)
     eligible = eligible_collections(catalog, vector_type, len(query)).select(
         F.col("id").alias("collection_id"), "collection_name"
     )

@@ -328,6 +328,14 @@ SELECT embedding_id,
          CASE WHEN visible AND vec_id % 3 = 0 THEN list_reverse(v) ELSE v END, range(1, 65)),
          lambda z: z[1] * z[2])), 6) AS vector_checksum
 FROM (SELECT *, authz IN (SELECT authz FROM allowed) AS visible FROM emb)""",
+    "metadata_numbers": """
+SELECT event_id, '{"a":[1e-400,-0.0,{"b":null,"y":1E' || event_id || '}],"n":12345678901234567890123456789012345' || event_id
+       || ',"z":' || event_id || '.50}' AS canonical
+FROM events""",
+    "batch_problems": f"""{_INGEST}
+SELECT pos, ['embedding has a value that cannot be stored', 'embedding has a value that cannot be stored',
+             'metadata is not a JSON object', NULL][1 + pos % 4] AS problem
+FROM batch""",
     "put_mixed": f"""{_INGEST}, marked AS (SELECT *, pos % 6 = 1 AS named FROM batch),
 state AS (
   SELECT embedding_id, e.collection_id, e.authz, e.raw,

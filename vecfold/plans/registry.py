@@ -619,6 +619,29 @@ def metadata_values(spark, sf_dir):
     )
 
 
+@query
+def metadata_numbers(spark, sf_dir):
+    """Metadata keeps decimals, exponents and long integers as they were written."""
+    key = F.col("event_id").cast("string")
+    text = F.concat(
+        F.lit('{ "z" : '), key, F.lit('.50, "a": [1e-400, -0.0, {"y": 1E'), key, F.lit(', "b": null}], "n": 12345678901234567890123456789012345'), key, F.lit("}")
+    )
+    events = fixtures.table(spark, sf_dir, "events").select("event_id", text.alias("metadata"))
+    return events.select("event_id", canonical_json(F.col("metadata")).alias("canonical"))
+
+
+@query
+def batch_problems(spark, sf_dir):
+    """What is wrong with rows that no collection can store."""
+    kind, rest = F.col("pos") % 4, F.slice("embedding", F.lit(2), F.size("embedding") - 1)
+    batch = fixtures.incoming_batch(spark, sf_dir)
+    batch = batch.withColumns({
+        "embedding": F.when(kind == 0, F.concat(F.array(F.lit(float("nan"))), rest)).when(kind == 1, F.concat(F.array(F.lit(1e300)), rest)).otherwise(F.col("embedding")),
+        "metadata": F.when(kind == 2, F.lit("[1, 2]")).otherwise(F.col("metadata")),
+    })
+    return ingest.prepare_batch(batch, fixtures.collections(spark, sf_dir)).select("pos", "problem")
+
+
 @query
 def normalize_names(spark, sf_dir):
     documents = fixtures.table(spark, sf_dir, "documents").select(

@@ -65,6 +65,14 @@ class VectorStore:
 
     # Rows
 
+    def _gate(self, ids: Sequence[int], known: DataFrame, *lists: Allowed) -> None:
+        """Every collection of a write must be one that each of the caller's lists names."""
+        for allowed in lists:
+            seen = access.visible_collections(known.where(F.col("id").isin(list(ids))), allowed).select("id").collect()
+            hidden = set(ids) - {row.id for row in seen}
+            if hidden:
+                raise NotFound(f"collection {min(hidden)} not found")
+
     def _start(self, batch: DataFrame) -> tuple[int, DataFrame, DataFrame, DataFrame, list[int]]:
         generation = self.tables.generation()
         known = self.tables.collections(generation)
@@ -78,17 +86,27 @@ class VectorStore:
     def insert(self, batch: DataFrame, allowed: Allowed, batch_id: str, now: Column | None = None) -> DataFrame:
         """All-or-nothing bulk insert; gives ``pos, embedding_id`` for every input position."""
         generation, known, prepared, state, touched = self._start(batch)
+        self._gate(touched, known, allowed)
         access.check_writable(prepared, allowed)
         added = ingest.insert(state, prepared, batch_id, now if now is not None else F.current_timestamp())
         self.tables.commit(known, state.unionByName(added), touched, expect=generation)
         return ingest.insert_result(prepared, batch_id).select("pos", "embedding_id")
 
-    def put(self, batch: DataFrame, allowed: Allowed, batch_id: str, now: Column | None = None) -> DataFrame:
-        """Bulk put: items with an id update it, the others upsert, in one commit."""
+    def put(
+        self, batch: DataFrame, allowed: Allowed, batch_id: str, now: Column | None = None, create_allowed: Allowed | None = None
+    ) -> DataFrame:
+        """Bulk put: items with an id update it, the others upsert, in one commit.
+
+        ``allowed`` is the caller's update list. Collections and rows must be in the create list too,
+        which is the same one unless given.
+        """
+        lists = (allowed,) if create_allowed is None else (allowed, create_allowed)
         if "embedding_id" not in batch.columns:
             batch = batch.withColumn("embedding_id", F.lit(None).cast("string"))
         generation, known, prepared, state, touched = self._start(batch)
-        access.check_writable(prepared, allowed)
+        self._gate(touched, known, *lists)
+        for held in lists:
+            access.check_writable(prepared, held)
         new_state, result = ingest.put_mixed(
             state, prepared, allowed, batch_id, now if now is not None else F.current_timestamp()
         )
@@ -105,6 +123,7 @@ class VectorStore:
         ingest.check_updates(updates, known)
         access.check_writable(updates.where("authz is not null"), allowed)
         touched = [row[0] for row in updates.select("collection_id").distinct().collect()]
+        self._gate(touched, known, allowed)
         state = self.tables.embeddings(generation).where(F.col("collection_id").isin(touched))
         missing = ingest.missing_ids(state, updates, allowed).first()
         if missing is not None:
@@ -121,6 +140,7 @@ class VectorStore:
         """Number of visible rows deleted among ``collection_id, embedding_id``."""
         generation = self.tables.generation()
         touched = [row[0] for row in targets.select("collection_id").distinct().collect()]
+        self._gate(touched, self.tables.collections(generation), allowed)
         state = self.tables.embeddings(generation).where(F.col("collection_id").isin(touched))
         left, deleted = ingest.delete_by_ids(state, targets, allowed)
         count = deleted.count()
@@ -157,9 +177,12 @@ class VectorStore:
             if refused is not None:
                 raise search.BadRequest(f"invalid or hidden collection {refused.entry}")
             known = known.join(resolved.select(F.col("collection_id").alias("id")), "id", "left_semi")
-            if ai_model is not None and search.model_conflicts(known, (), F.lit(ai_model)).first() is not None:
-                raise search.BadRequest("the collections do not share the requested model")
-        search.check_eligible(known, vector_type, len(search.check_query(query)))
+            requested = None if ai_model is None else F.lit(ai_model)
+            if search.model_conflicts(known, (), requested).first() is not None:
+                raise search.BadRequest("the collections do not share one model")
+        dimensions = len(search.check_query(query))
+        if not known.isEmpty():  # nothing visible is an empty result, nothing comparable an error
+            search.check_eligible(known, vector_type, dimensions)
         return search.search_across(
             self.tables.embeddings(generation), known, query, vector_type=vector_type, allowed=allowed, **options
         )

@@ -2,14 +2,17 @@
 
 Embeddings are partitioned by ``vector_type`` and ``collection_id``: the choice of precision and
 collection is partition pruning. A change never overwrites files it reads: it writes the touched
-collections to a new folder, then appends one generation of the catalog, which names the folder
-of every collection. The highest generation is the table, so a commit is all or nothing.
+collections to a new folder and the catalog, which names the folder of every collection, to another
+new one. Then it publishes the generation: a pointer file, named by its number and created only if it
+is not there, holds the catalog's folder. The highest pointer is the table, so a commit is all or
+nothing, of two writers one wins, and what a failed write leaves behind is never read.
 """
 
+import time
 import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,11 +21,11 @@ from vecfold.schemas import COLLECTIONS, EMBEDDINGS
 
 # The catalog as stored: its rows plus the folder of each collection's embeddings (null if empty).
 CATALOG = T.StructType(
-    [*COLLECTIONS.fields, T.StructField("folder", T.StringType()), T.StructField("generation", T.LongType())]
+    [*COLLECTIONS.fields, T.StructField("folder", T.StringType())]
 )
 
-# Every generation holds one row with this id, so that an emptied catalog is a generation too.
-MARKER_ID = 0
+# A pointer that is still empty after this time belongs to a writer that died.
+PUBLISHING_SECONDS = 600
 
 
 class StaleWrite(Exception):
@@ -36,23 +39,50 @@ class Tables:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _generations(self) -> DataFrame:
-        return self.spark.read.schema(CATALOG).parquet(f"{self.root}/catalog")
+    def _file(self, path: str):
+        """Spark's own handle of a path and its file system, which may be any that Spark reads."""
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        handle = jvm.Path(path)
+        return handle, handle.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _pointers(self) -> list[tuple[int, int, float]]:
+        """(number, bytes, time of change) of every pointer; one listing, no scan of the catalog."""
+        folder, system = self._file(f"{self.root}/current")
+        if not system.exists(folder):
+            return []
+        found = [(f.getPath().getName(), f.getLen(), f.getModificationTime() / 1000) for f in system.listStatus(folder)]
+        return sorted((int(name), size, at) for name, size, at in found if name.isdigit())
 
     def generation(self) -> int:
         """The current generation, 0 for a table that has none yet."""
+        return max((number for number, size, _ in self._pointers() if size), default=0)
+
+    def _publish(self, current: int, folder: str) -> int:
+        last, size, at = self._pointers()[-1:][0] if self._pointers() else (0, 1, 0.0)
+        if size and last != current:
+            raise StaleWrite(f"the table is at generation {last}, not {current}")
+        if not size and time.time() - at < PUBLISHING_SECONDS:
+            raise StaleWrite("another commit is being published")
+        target, system = self._file(f"{self.root}/current/{last + 1:012d}")
         try:
-            return self._generations().agg(F.coalesce(F.max("generation"), F.lit(0))).first()[0]
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return 0
+            out = system.create(target, False)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error.java_exception):
+                raise StaleWrite("another commit came first") from None
             raise
+        out.write(bytearray(folder.encode()))
+        out.close()
+        return last + 1
 
     def _current(self, generation: int | None = None) -> DataFrame:
         generation = self.generation() if generation is None else generation
         if generation == 0:
             return self.spark.createDataFrame([], CATALOG)
-        return self._generations().where((F.col("generation") == generation) & (F.col("id") != MARKER_ID))
+        pointer, system = self._file(f"{self.root}/current/{generation:012d}")
+        stream = system.open(pointer)
+        folder = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return self.spark.read.schema(CATALOG).parquet(f"{self.root}/catalog/{folder}")
 
     def collections(self, generation: int | None = None) -> DataFrame:
         """The catalog, as of now or of a generation read before."""
@@ -91,21 +121,9 @@ class Tables:
             written = written.select(F.col("collection_id").alias("id"), F.lit(name).alias("new_folder")).distinct()
             rows = rows.join(written, "id", "left")
             folder = F.when(F.col("id").isin(list(collection_ids)), F.col("new_folder")).otherwise(folder)
-        stored = rows.select(*COLLECTIONS.names, folder.alias("folder"))
-        marker = F.struct(
-            *[
-                F.lit({"id": MARKER_ID, "dimensions": 0}.get(f.name, "" if not f.nullable else None))
-                .cast(f.dataType)
-                .alias(f.name)
-                for f in CATALOG.fields[:-1]
-            ]
-        )
-        marker_row = self.spark.range(1).select(marker.alias("m")).select("m.*")
-        # One file per generation, so a reader sees all of it or nothing; the catalog is control
-        # data with a row per collection.
-        target = f"{self.root}/catalog/generation={current + 1}"
-        stored.unionByName(marker_row).coalesce(1).write.mode("errorifexists").parquet(target)
-        return current + 1
+        name = f"{current + 1}-{uuid.uuid4().hex}"
+        rows.select(*COLLECTIONS.names, folder.alias("folder")).write.mode("errorifexists").parquet(f"{self.root}/catalog/{name}")
+        return self._publish(current, name)
 
     @staticmethod
     def _write_rows(rows: DataFrame, target: str) -> None:
