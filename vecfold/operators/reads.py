@@ -85,6 +85,14 @@ def embedding_documents(rows: DataFrame, exclude_info: bool = False) -> DataFram
     return rows.select("embedding_id", F.struct(*parts).alias("document"))
 
 
+def binary_documents(rows: DataFrame, exclude_info: bool = False) -> DataFrame:
+    """Rows (with ``collection_name`` and ``input_index``) as nested documents whose vector is base64 text."""
+    parts = [F.col("vector_base64").alias("vector"), F.col("precision"), F.col("embedding_id"), F.col("input_index")]
+    if not exclude_info:
+        parts.append(info_struct(F.col("collection_name")).alias("info"))
+    return binary_vectors(rows).select("input_index", "embedding_id", "collection_id", F.struct(*parts).alias("document"))
+
+
 def document_json(documents: DataFrame) -> DataFrame:
     """Documents as JSON text, null fields dropped."""
     return documents.withColumn("document", F.to_json("document"))

@@ -271,6 +271,18 @@ ORDER BY embedding_id LIMIT 10""",
     "stored_bulk_read": f"""{_ROWS}, {_REQUESTS}
 SELECT pos AS input_index, embedding_id, 'float16' AS "precision", 172 AS encoded_length
 FROM requests JOIN seen USING (embedding_id) WHERE collection_id = 6""",
+    "stored_read_any": f"""{_ROWS}, {_REQUESTS}
+SELECT pos AS input_index, embedding_id, CASE WHEN vector_type = 'halfvec' THEN 'float16' ELSE 'float32' END AS "precision",
+       (((CASE WHEN vector_type = 'halfvec' THEN 2 ELSE 4 END) * len(v) + 2) // 3 * 4)::int AS encoded_length, authz
+FROM requests JOIN seen USING (embedding_id) WHERE label < 7""",
+    "stored_read_collections": f"""{_ROWS}, {_REQUESTS}
+SELECT DISTINCT collection_id AS id, collection_name FROM requests JOIN seen USING (embedding_id) WHERE label < 7""",
+    "stored_page": f"""{_ROWS}
+SELECT embedding_id, 2 AS page, CASE WHEN count(*) OVER () = 10 THEN 3 END AS next_page, 1 AS prev_page
+FROM (SELECT * FROM seen WHERE collection_id = 1 ORDER BY embedding_id LIMIT 10 OFFSET 10)""",
+    "stored_counts": f"""{_ROWS}
+SELECT id, cols.collection_name, count(seen.vec_id) AS available_embeddings_count
+FROM cols LEFT JOIN seen ON collection_id = id WHERE id <= 7 GROUP BY id, cols.collection_name""",
     "count_visible": f"{_ROWS} SELECT count(*) AS available_embeddings_count FROM seen WHERE collection_id = 1",
     "collections_with_counts": f"""{_ROWS}
 SELECT id, cols.collection_name, count(seen.vec_id) AS available_embeddings_count

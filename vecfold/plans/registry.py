@@ -440,6 +440,39 @@ def stored_bulk_read(spark, sf_dir):
     return found.select("input_index", "embedding_id", "precision", F.length("vector_base64").alias("encoded_length"))
 
 
+@query
+def stored_read_any(spark, sf_dir):
+    """Nested binary documents of requested ids in all stored collections."""
+    store = VectorStore(spark, fixtures.stored_root(spark, sf_dir))
+    documents, _ = store.read_any(fixtures.id_requests(spark, sf_dir), fixtures.CALLER)
+    document = F.col("document")
+    return documents.select(
+        "input_index", "embedding_id", document["precision"].alias("precision"), F.length(document["vector"]).alias("encoded_length"),
+        document["info"]["authz"].alias("authz"),
+    )
+
+
+@query
+def stored_read_collections(spark, sf_dir):
+    """The stored collections that hold any of the requested ids."""
+    store = VectorStore(spark, fixtures.stored_root(spark, sf_dir))
+    _, found = store.read_any(fixtures.id_requests(spark, sf_dir), fixtures.CALLER, exclude_info=True)
+    return found.select("id", "collection_name")
+
+
+@query
+def stored_page(spark, sf_dir):
+    store = VectorStore(spark, fixtures.stored_root(spark, sf_dir))
+    name = store.collections(fixtures.CALLER).where("id = 1").first().collection_name
+    return store.page(name, fixtures.CALLER, 2, 10).select("embedding_id", "page", "next_page", "prev_page")
+
+
+@query
+def stored_counts(spark, sf_dir):
+    store = VectorStore(spark, fixtures.stored_root(spark, sf_dir))
+    return store.counts(fixtures.CALLER).select("id", "collection_name", "available_embeddings_count")
+
+
 # Table changes
 
 

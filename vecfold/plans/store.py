@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vecfold.functions.names import normalize_authz
 from vecfold.operators import access, catalog, ingest, reads, search
 from vecfold.operators.access import Allowed
-from vecfold.schemas import VectorType
+from vecfold.schemas import DEFAULT_PAGE_SIZE, VectorType
 from vecfold.session import materialize
 from vecfold.sources.tables import Tables
 
@@ -194,3 +194,35 @@ class VectorStore:
         collection = self.collection(name, allowed, generation)
         found = reads.bulk_read_ordered(self.tables.embeddings(generation), requested, allowed, collection.id)
         return reads.binary_vectors(found)
+
+    def read_any(self, ids: Sequence[str] | DataFrame, allowed: Allowed, exclude_info: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Nested binary documents of the requested ids in any visible collection, in request order, and
+        the collections they lie in (with their self links)."""
+        requested = ids if isinstance(ids, DataFrame) else reads.id_positions(self.spark, ids)
+        generation = self.tables.generation()
+        known = self.collections(allowed, generation)
+        found = reads.bulk_read_any(self.tables.embeddings(generation), requested, known, allowed)
+        documents = reads.binary_documents(found, exclude_info).orderBy("input_index")
+        return documents, search.collection_documents(search.hit_collections(found, known))
+
+    def get(self, name: str, embedding_id: str, allowed: Allowed) -> DataFrame:
+        """The row with this id of one collection."""
+        generation = self.tables.generation()
+        collection = self.collection(name, allowed, generation)
+        found = reads.embedding_by_id(self.tables.embeddings(generation), collection.id, embedding_id, allowed)
+        if found.isEmpty():
+            raise NotFound(f"embedding {embedding_id} not found")
+        return found
+
+    def page(self, name: str, allowed: Allowed, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+        generation = self.tables.generation()
+        collection = self.collection(name, allowed, generation)
+        return reads.page_embeddings(self.tables.embeddings(generation), collection.id, allowed, page, page_size)
+
+    def page_collections(self, allowed: Allowed, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+        return reads.page_collections(self.tables.collections(), allowed, page, page_size)
+
+    def counts(self, allowed: Allowed) -> DataFrame:
+        """Visible collections with the number of their rows the caller sees."""
+        generation = self.tables.generation()
+        return reads.collections_with_counts(self.tables.collections(generation), self.tables.embeddings(generation), allowed)
