@@ -117,6 +117,14 @@ def test_kernel_against_brute_force(metric, scale):
         assert list(best.ids[best.which == i]) == list(ids[order])
 
 
+def test_vectors_of_other_lengths_fail(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 2.0, 3.0]), ("b", [1.0])], "embedding_id string, embedding array<float>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, embedding array<float>")
+    for options in ({}, GRID):
+        with pytest.raises(Exception, match="one length|mismatch|shapes|align"):
+            knn_batch(vectors, queries, **options).collect()
+
+
 def test_plan_has_no_cross_join(rows, queries):
     for options in ({}, GRID):
         text = knn_batch(rows, queries, **options)._jdf.queryExecution().executedPlan().toString()

@@ -84,12 +84,14 @@ def test_metadata_compares_as_text(rows, catalog, filters, expected):
 
 
 def test_bad_requests(rows, catalog):
-    for query in ("text", [], [1.0], [1.0, "x"]):
+    for query in ("text", [], [1.0], [1.0, "x"], [1.0, float("nan")], [float("inf"), 1.0]):
         with pytest.raises(search.BadRequest):
             search.search_collection(rows, catalog.where("id = 1").first(), query, allowed=["/p"])
     with pytest.raises(search.BadRequest):
         in_one(rows, catalog, top_k=-1)
     assert ids(in_one(rows, catalog, top_k=0)) == []
+    with pytest.raises(search.BadRequest, match="half range"):
+        search.search_across(rows, catalog, [70_000.0, 1.0], vector_type="halfvec", allowed=["/p"])
 
 
 def test_across_is_the_union_of_collections(rows, catalog):

@@ -238,6 +238,7 @@ SELECT query_id, embedding_id, round("value", 6) AS "value",
        row_number() OVER (PARTITION BY query_id ORDER BY pairs."value" DESC, embedding_id)::int AS rank
 FROM pairs WHERE pairs."value" >= 0.5 QUALIFY rank <= 4""",
     "search_ivf": _search("l2", "vector_type = 'vector'"),
+    "search_ivf_all_probes": _search("l2", "vector_type = 'vector'"),
     "half_round_vectors": f"""
 WITH h AS (SELECT vec_id, embedding::double[] AS e, {_HALF_VECTOR.format('embedding')} AS half FROM embeddings),
 d AS (SELECT *, list_transform(list_zip(e, half), lambda z: abs(z[1] - z[2])) AS diff FROM h)

@@ -324,6 +324,14 @@ def search_ivf_probes(spark, sf_dir):
     )
 
 
+@query
+def search_ivf_all_probes(spark, sf_dir):
+    """With every cell probed the approximate search is exact."""
+    built = _cells(spark, sf_dir)
+    query_vector = fixtures.query_vector(spark, sf_dir)
+    return _rounded(cells.search_cells(spark, built, query_vector, allowed=fixtures.CALLER, probes=len(built.centroids)))
+
+
 @query
 def half_round_vectors(spark, sf_dir):
     rows = fixtures.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", half_round(F.col("embedding")).alias("half"))
