@@ -28,8 +28,9 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("none", *KINDS)
 
 # The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+EMAIL_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+EMAIL_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -237,11 +238,24 @@ def _luhn(digits: str) -> bool:
     return not sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of local part, ``@`` and domain, from each ``@`` backwards: linear in any text."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in EMAIL_LOCAL:
+            start -= 1
+        found = EMAIL_DOMAIN.match(text, at) if start < at else None
+        if found:
+            end = found.end()
+            yield start, end
+        at = text.find("@", max(at + 1, end))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns, in order."""
     found = []
-    if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    found += [(start, 0, end) for start, end in _emails(text)]
     if DIGIT.search(text):
         found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
         for m in CARD.finditer(text):
