@@ -12,7 +12,7 @@ percent * union``.
    frequent, two of them fall into one of ``spare`` blocks of hash values, so frequent shingles are
    indexed as pairs within a block, and only for sets that have more than ``spare`` of them.
 4. Sets with a signature in common are compared with hubs of its bucket: one in the first turn, then
-   some that grow in number. Members of the hub's component are passed over, hubs retire, buckets
+   some that grow in number, in blocks where they are many. Members of the hub's component are passed over, hubs retire, buckets
    within one component close, and members whose shingles do not occur often enough in other
    components leave. So a group of near copies takes one comparison per member, not all pairs, and
    no link between components is lost. Comparisons count the whole sets' common shingles exactly.
@@ -36,6 +36,8 @@ from vecfold.llm.tables import stored, within, without
 RARE = 16
 # Hubs of a bucket in the second turn; each later turn has twice as many.
 FIRST_HUBS = 64
+# Shingles of the members of one block.
+BLOCK_TOKENS = 500_000
 # Buckets of more members with the same least vertex become one bucket, whose pairs hold all of theirs.
 MERGED = 64
 
@@ -141,6 +143,38 @@ def _can_link(common, n, other_n, percent: int):
     return (100 * n >= percent * other_n) & (100 * other_n >= percent * n) & ((100 + percent) * common >= percent * (n + other_n))
 
 
+def _compare_block(members: pd.DataFrame, hubs: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (root_a, root_b) between a part of a bucket's members and its hubs."""
+    found = []
+    if len(members) and len(hubs):
+        sizes = members["n"].to_numpy()
+        tokens, place = np.unique(np.concatenate(members["shingles"].to_list()), return_inverse=True)
+        row = np.repeat(np.arange(len(members)), [len(s) for s in members["shingles"]])
+        vertex, root, most, is_hub = (members[c].to_numpy() for c in ("vertex", "root", "common", "is_hub"))
+        for hub in hubs.rename(columns=lambda c: c.removeprefix("hub_")).itertuples():
+            possible = (root != hub.root) & (~is_hub | (vertex > hub.vertex))
+            possible &= (100 + percent) * np.minimum(most, hub.common) >= percent * (sizes + hub.n)
+            if possible.any():
+                own = np.zeros(len(tokens) + 1, np.int64)
+                at = np.searchsorted(tokens, hub.shingles)
+                own[at[np.append(tokens, tokens[-1])[at] == hub.shingles]] = 1
+                common = np.bincount(row, own[place], len(members)).astype(np.int64)
+                linked = possible & (100 * common >= percent * (sizes + hub.n - common))
+                found += [(hub.root, other) for other in np.unique(root[linked]).tolist()]
+    return pd.DataFrame(found, columns=["root_a", "root_b"], dtype="int64")
+
+
+def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of buckets with many hubs, compared in parts of bounded size; only links leave a task."""
+    whole = members.join(sets, "vertex").select("signature", "vertex", "n", "root", "common", "is_hub", "parts", "shingles")
+    left = whole.withColumn("part", F.pmod(F.xxhash64("vertex"), F.col("parts")))
+    right = whole.where("is_hub").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    # Names of their own: both sides come from one frame.
+    right = right.select(*[F.col(c).alias(f"hub_{c}") for c in right.columns])
+    pairs = left.groupBy("signature", "part").cogroup(right.groupBy("hub_signature", "hub_part"))
+    return pairs.applyInPandas(lambda a, b: _compare_block(a, b, percent), "root_a long, root_b long")
+
+
 def _with_partners(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Members that may still have a partner in another component, with ``common``.
 
@@ -179,29 +213,34 @@ def set_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     while True:
         by_vertex = [F.bit_xor(F.xxhash64("vertex", F.lit(i))) for i in (1, 2)]
         by_root = members.groupBy("signature", "root").agg(
-            F.count(F.lit(1)).alias("of_root"), F.min("vertex").alias("hub"), F.min("n").alias("least_n"), by_vertex[0].alias("who"), by_vertex[1].alias("who2")
+            F.count(F.lit(1)).alias("of_root"), F.min("vertex").alias("hub"), F.min("n").alias("least_n"), F.sum("n").alias("tokens"), by_vertex[0].alias("who"), by_vertex[1].alias("who2")
         )
         buckets = by_root.groupBy("signature").agg(
             (F.sum("of_root") - F.max("of_root")).alias("others"), F.max_by("root", "of_root").alias("main"), F.min("hub").alias("hub"),
-            F.min("least_n").alias("least_n"), F.bit_xor("who").alias("who"), F.bit_xor("who2").alias("who2"), F.count(F.lit(1)).alias("roots"),
+            F.min("least_n").alias("least_n"), F.sum("tokens").alias("tokens"), F.bit_xor("who").alias("who"), F.bit_xor("who2").alias("who2"), F.count(F.lit(1)).alias("roots"),
         ).where("roots > 1")
         # Signatures with the same members need one comparison.
-        buckets = buckets.groupBy("hub", "who", "who2").agg(F.min_by(F.struct("signature", "others", "main", "least_n"), "signature").alias("one")).select("one.*", "hub")
+        buckets = buckets.groupBy("hub", "who", "who2").agg(F.min_by(F.struct("signature", "others", "main", "least_n", "tokens"), "signature").alias("one")).select("one.*", "hub")
         # One hub a bucket in the first turn, then so many outside of its largest component that small
         # buckets compare all that is left: when those have retired, one component remains.
         outside = F.pmod(F.xxhash64("vertex", F.lit(turn)), F.col("others")) < (FIRST_HUBS << turn >> 1)
         chosen = (F.col("root") != F.col("main")) & outside if turn else F.lit(False)
         smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100))
         hopeful = members.join(buckets, "signature").where((100 + percent) * F.col("common") >= percent * (F.col("n") + smallest))
-        open_ = stored(hopeful.withColumn("is_hub", chosen | (F.col("vertex") == F.col("hub"))).drop("hub", "others", "main", "least_n"), "buckets")
+        open_ = stored(hopeful.withColumn("is_hub", chosen | (F.col("vertex") == F.col("hub"))).drop("hub", "main", "least_n"), "buckets")
         if open_.isEmpty():
             break
-        of_hub = open_.where("is_hub").select("signature", F.col("vertex").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("common").alias("common_a"))
+        # Few hubs: pairs, each compared once for all its buckets. Many: blocks that give out links alone.
+        many = (F.col("others") > FIRST_HUBS) if turn else F.lit(False)
+        blocks = open_.where(many).withColumn("parts", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("long")).drop("others", "tokens")
+        open_ = open_.drop("tokens")
+        of_hub = open_.where(~many & F.col("is_hub")).select("signature", F.col("vertex").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("common").alias("common_a"))
         met = open_.join(of_hub, "signature").where(
             (F.col("root") != F.col("root_a")) & _can_link(F.least("common", "common_a"), F.col("n"), F.col("n_a"), percent) & (~F.col("is_hub") | (F.col("a") < F.col("vertex")))
         )
         pairs = met.select("a", F.col("vertex").alias("b"), "root_a", F.col("root").alias("root_b")).distinct()
-        edges = stored(_links(pairs, sets, percent).select("root_a", "root_b").distinct(), "links")
+        edges = _links(pairs, sets, percent).select("root_a", "root_b")
+        edges = stored((edges.union(_block_links(blocks, sets, percent)) if turn else edges).distinct(), "links")
         links.append(edges)
         # Hubs retire, the others take their component's root.
         rest = open_.where("not is_hub").select("signature", "vertex", "n", "root")
