@@ -258,8 +258,11 @@ def set_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, set_high, set_low and component_id of every row of ``docs``."""
-    every = stored(shingle_sets(docs, width, percent), "sets")
-    grouped = every.where("n_shingles > 0").groupBy("set_high", "set_low")
+    # Texts are cut twice: once for the narrow table of all rows, once for the prefixes of distinct sets,
+    # which takes less than keeping every row's prefix on disk.
+    prefixes = shingle_sets(docs, width, percent)
+    every = stored(prefixes.drop("shingles"), "sets")
+    grouped = prefixes.where("n_shingles > 0").groupBy("set_high", "set_low")
     vertices = stored(
         grouped.agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("shingles").alias("shingles"))
         .withColumn("vertex", F.monotonically_increasing_id()),
