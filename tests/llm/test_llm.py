@@ -329,6 +329,19 @@ def test_shards_are_exact_and_repeatable(odd, strange, empty):
     assert sharding.shard_rows(empty).count() == 0
 
 
+def test_copies_of_a_row_spread_over_shards_and_slots(spark):
+    copies = spark.range(1600).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    docs = copies.union(spark.range(1600).select("id", F.lit("text").alias("text"))).repartition(3)
+    rows = sharding.shard_rows(docs, 8).where("doc_id is null").collect()
+    shards = Counter(r.shard for r in rows)
+    assert len(rows) == 1600 and len(shards) == 8 and all(120 < n < 280 for n in shards.values())
+    slots = sorted((r.shard, r.slot) for r in rows)
+    following = sum(a[0] == b[0] and b[1] == a[1] + 1 for a, b in zip(slots, slots[1:]))
+    assert 600 < following < 1000  # half of the rows are copies, so half of the copies are followed by one
+    again = sharding.shard_rows(docs.repartition(7), 8).where("doc_id is null").collect()
+    assert sorted((r.shard, r.slot) for r in again) == slots
+
+
 def test_mixtures_reach_their_weights(spark, strange, empty):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("12345").alias("text"), F.when(F.col("id") % 6 == 0, "small").otherwise("large").alias("source"))
     mixed = mixing.mix(docs, {"small": 1.0, "large": 1.0, "none": 5.0}, copy="copy")

@@ -7,7 +7,7 @@ parts that keep every task small. All draws depend on a seed and the counts, all
 hashes of the rows, so a lost executor repeats the same result.
 
 Size is the bytes of the text plus 1; a null text has none. Rows that repeat (same id and text) stay
-separate rows in separate slots. An empty table gives no shards' rows. Law is ``rows``.
+separate rows: they are numbered first, and each number is dealt and placed by draws of its own. An empty table gives no shards' rows. Law is ``rows``.
 """
 
 from math import ceil
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecfold.llm.tables import stored, uniform
+from vecfold.llm.tables import numbered, stored, uniform, with_row
 
 BLOCK_ROWS = 250_000
 MIN_BLOCKS = 4096
@@ -75,11 +75,13 @@ def measured(docs: DataFrame, *more: Column) -> DataFrame:
 
 def place(rows: DataFrame, shards: int, seed: int) -> DataFrame:
     """Rows with doc_id, size and text_crc32, placed in shards and slots."""
-    spark, count = rows.sparkSession, rows.count()
+    given = with_row(rows, "shard-rows")
+    spark, count = rows.sparkSession, given.count()
     blocks = max(MIN_BLOCKS, ceil(count / BLOCK_ROWS))
-    draw = lambda what: uniform(F.lit(f"{what} {seed}"), "doc_id", "text_crc32", "size")
+    draw = lambda what: uniform(F.lit(f"{what} {seed}"), "doc_id", "text_crc32", "size", "_copy")
     in_block = lambda c, n: F.floor(c * n).cast("int")
-    dealt = rows.withColumn("_deal", draw("deal")).withColumn("_block", in_block(F.col("_deal"), blocks))
+    own = given.select("doc_id", "text_crc32", "size", "_row")  # whole rows move only in the exchange
+    dealt = numbered(own, "doc_id", "text_crc32", "size").withColumn("_deal", draw("deal")).withColumn("_block", in_block(F.col("_deal"), blocks))
     counts = {r["_block"]: r["count"] for r in dealt.groupBy("_block").count().collect()}  # one row a block
     matrix, sizes = communication_matrix([counts.get(b, 0) for b in range(blocks)], shards, seed)
     ends = [(b, [int(x) for x in np.cumsum(row)]) for b, row in enumerate(matrix) if b in counts]
@@ -90,8 +92,10 @@ def place(rows: DataFrame, shards: int, seed: int) -> DataFrame:
     chosen = chosen.join(F.broadcast(cuts), "_block").withColumn("shard", shard.cast("int")).drop("_deal", "_block", "_first", "_rank", "_ends")
     # The exchange: rows meet in their shard, which is cut into parts of hash values.
     parts = max(1, blocks // shards)
-    sent = stored(chosen.withColumn("_second", draw("second")).withColumn("_part", in_block(F.col("_second"), parts)), "sharded")
-    held = sent.groupBy("shard", "_part").count().collect()  # one row a part
+    chosen = chosen.withColumn("_second", draw("second")).withColumn("_part", in_block(F.col("_second"), parts))
+    places = stored(chosen.select("_row", "shard", "_part", "_second"), "sharded")
+    sent = given.join(places, "_row")
+    held = places.groupBy("shard", "_part").count().collect()  # one row a part
     before, offset, last = [], 0, None
     for r in sorted(held, key=lambda r: (r["shard"], r["_part"])):
         offset = 0 if r["shard"] != last else offset
@@ -103,4 +107,4 @@ def place(rows: DataFrame, shards: int, seed: int) -> DataFrame:
     slotted = sent.withColumn("_rank", F.row_number().over(within)).join(offsets, ["shard", "_part"])
     return slotted.withColumns({
         "law": F.lit("rows"), "slot": F.col("_offset") + F.col("_rank") - 1, "grown_shard": F.lit(None).cast("int"),
-    }).drop("_second", "_part", "_rank", "_offset")
+    }).drop("_second", "_part", "_rank", "_offset", "_row")

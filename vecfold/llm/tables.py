@@ -1,12 +1,14 @@
 """Small helpers of the operators: scratch tables, joins of checked size, decisions on rows."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecfold.session import materialize
 
 # Rows of a narrow key table that may be broadcast: at most some 50 MB in a task's hash table.
 BROADCAST_ROWS = 500_000
+# Parts in which rows of equal values are numbered, so that no task holds all of a large group.
+GROUP_PARTS = 1024
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
@@ -26,6 +28,26 @@ def uniform(*values: Column | str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def with_row(frame: DataFrame, name: str) -> DataFrame:
+    """The frame stored with ``_row``, a number of each row that later reads and retries repeat."""
+    return stored(frame.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
+def numbered(rows: DataFrame, *values: str) -> DataFrame:
+    """Rows of ``with_row`` with ``_copy``: each row's number among those of equal ``values``.
+
+    The numbers are 0 to n - 1 however the rows are partitioned; only which of n equal rows has which is not
+    fixed by them. A group is numbered in GROUP_PARTS parts, from the counts of the parts before.
+    """
+    keyed = rows.withColumns({"_key": F.xxhash64(*values), "_share": F.pmod(F.xxhash64("_row"), F.lit(GROUP_PARTS))})
+    held = keyed.groupBy("_key", "_share").agg(F.count(F.lit(1)).alias("held"))
+    earlier = Window.partitionBy("_key").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.withColumn("_before", F.sum("held").over(earlier)).where("_before > 0").select("_key", "_share", "_before")
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_key", "_share").orderBy("_row")))
+    copy = F.col("_rank") - 1 + F.coalesce("_before", F.lit(0).cast("long"))
+    return ranked.join(before, ["_key", "_share"], "left").withColumn("_copy", copy).drop("_key", "_share", "_rank", "_before")
+
+
 def in_learning_folds(doc_id: Column) -> Column:
     """True for documents models may learn from: crc32 of the id as text is not 0 modulo 5."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 != 0, F.lit(False))
