@@ -114,6 +114,15 @@ def test_one_of_each_keeps_whole_rows(strange, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_one_of_each_judges_rows_and_not_ids(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = words(rng, 60), words(rng, 60), words(rng, 60)
+    rows = [(5, a), (5, b), (3, b + " end"), (None, b + " more"), (None, c), (None, ""), (None, None), (9, a + " near")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(map(tuple, ngram_join.one_of_each(docs).collect()), key=str)
+    assert kept == sorted([(5, a), (3, b + " end"), (None, c), (None, ""), (None, None)], key=str)
+
+
 # Repeats
 
 
@@ -290,6 +299,12 @@ def test_cleaning_keeps_whole_rows(strange, items):
     assert dirty and kept.count() == strange.count() - strange.where(F.col("doc_id").isin([d for d in dirty if d is not None])).count()
 
 
+def test_cleaning_judges_rows_and_not_ids(spark, items):
+    rows = [(None, "one two three"), (None, "clean words"), (None, None), (None, ""), (4, "one two three"), (4, "other words")]
+    kept = decontamination.clean(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[i] for i in (1, 2, 3, 5)], key=str)
+
+
 def test_proximity_allows_moved_words(spark):
     item = "a0 b1 c2 d3 e4 f5 g6 h7 i8 j9 k10 l11 m12"
     docs = spark.createDataFrame([(1, "x " + item.replace("d3 e4", "e4 new d3")), (2, " ".join(reversed(item.split()))), (3, item)], "doc_id long, text string")
@@ -356,6 +371,15 @@ def test_mixtures_reach_their_weights(spark, strange, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_rows_without_id_draw_for_themselves(spark):
+    texts = F.when(F.col("id") % 2 == 0, "").otherwise(F.concat(F.lit("text "), F.col("id").cast("string")))
+    docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), texts.alias("text"), F.lit("s").alias("source"))
+    mixed = mixing.mix(docs, copy="copy")
+    for some in (mixed.where("text = ''"), mixed.where("text <> ''")):
+        assert some.count() == pytest.approx(1000, abs=150) and some.where("copy = 1").count() == pytest.approx(632, abs=70)
+    assert mixing.mix(docs.repartition(5)).exceptAll(mixed.drop("copy")).count() == 0
+
+
 def test_pipeline_keeps_columns_and_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = [name for name, _ in corpus_pipeline.STAGES]

@@ -15,7 +15,7 @@ listed. Items that repeat an id are one item. Extra columns are ignored.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecfold.llm.tables import small, stored, without
+from vecfold.llm.tables import row_key, small, stored, without_rows
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -144,7 +144,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage; all other rows stay unchanged.
 
-    Rows of one id go together when one of them is contaminated; rows without id are judged as one document.
+    Each row is judged by its own text, also where ids repeat or are null.
     """
-    dirty = stored(contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("dirty")).distinct(), "dirty")
-    return without(docs, dirty)
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    dirty = contamination(keyed, items).where("contaminated").select(F.col("doc_id").alias("dirty_key")).distinct()
+    return without_rows(docs, stored(dirty, "dirty"))

@@ -7,7 +7,8 @@ drawn again alone, and no counter runs over the corpus. Copies are dealt over al
 ordered within them by another hash that includes the copy.
 
 A null source is a source of its own, a null or empty text counts one byte. Rows that repeat an id
-and source draw the same number. A source of weight 0 disappears. Other columns pass unchanged.
+and source draw the same number; rows without id draw by their text and their number among equal ones,
+each for itself. A source of weight 0 disappears. Other columns pass unchanged.
 """
 
 from collections.abc import Mapping
@@ -15,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecfold.llm.tables import small, stored, uniform
+from vecfold.llm.tables import numbered, row_key, small, stored, uniform, with_row
 
 #: Without given weights a source weighs its bytes to this power: small sources gain.
 SMOOTHING = 0.7
@@ -58,7 +59,11 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int =
     """``docs`` with each row as often as drawn, shuffled; ``copy`` names a column for the copy's number."""
     by_source = small(stored(rates(docs, weights), "rates").select(F.col("source").alias("of"), "rate"))
     # Whole rows travel as one column, so their names cannot clash with these.
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("from"))
+    whole = [F.struct("*").alias("row"), F.col("source").alias("from")]
+    rows = docs.where("doc_id is not null").select(*whole, F.col("doc_id").cast("string").alias("id"))
+    nameless = with_row(docs.where("doc_id is null").select(*whole, F.hex(row_key(F.col("source"))).alias("text_key")), "nameless")
+    own = F.concat_ws("\u0001", F.lit("\u0000"), "text_key", "_copy").alias("id")
+    rows = rows.unionByName(numbered(nameless, "text_key").select("row", "from", own))
     joined = rows.join(by_source, F.col("from").eqNullSafe(F.col("of")))
     drawn = joined.select("row", "id", "from", poisson(F.col("rate"), uniform(F.lit(f"copies {seed}"), "id", "from")).alias("copies"))
     copies = drawn.where("copies > 0").select("row", "id", "from", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))

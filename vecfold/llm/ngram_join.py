@@ -26,12 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecfold.llm import batches
 from vecfold.llm.components import components
-from vecfold.llm.tables import stored, within, without
+from vecfold.llm.tables import row_key, stored, within, without_rows
 
 RARE = 16
 # Hubs of a bucket in the second turn; each later turn has twice as many.
@@ -88,12 +88,13 @@ def text_sets(batch_iter, width: int, percent: int | None):
             yield pa.RecordBatch.from_arrays(columns, [*keep, "n_shingles", "set_high", "set_low", "shingles"])
 
 
-def shingle_sets(docs: DataFrame, width: int, percent: int | None) -> DataFrame:
-    """doc_id, n_shingles, 128 bits that stand for the set, and its shingles or their prefix."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
+def shingle_sets(docs: DataFrame, width: int, percent: int | None, *more: Column) -> DataFrame:
+    """doc_id, ``more``, n_shingles, 128 bits that stand for the set, and its shingles or their prefix."""
+    rows = docs.select("doc_id", "text", *more)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    return rows.mapInArrow(
         lambda batch_iter: text_sets(batch_iter, width, percent),
-        f"doc_id {kind}, n_shingles long, set_high long, set_low long, shingles array<long>",
+        f"{kinds}, n_shingles long, set_high long, set_low long, shingles array<long>",
     )
 
 
@@ -256,12 +257,12 @@ def set_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     return stored(components(every.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), "roots")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, set_high, set_low and component_id of every row of ``docs``."""
+def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, *more: Column) -> DataFrame:
+    """doc_id, ``more``, n_shingles, set_high, set_low and component_id of every row of ``docs``."""
     # Texts are cut twice: once for the narrow table of all rows, once for the prefixes of distinct sets,
     # which takes less than keeping every row's prefix on disk.
     prefixes = shingle_sets(docs, width, percent)
-    every = stored(prefixes.drop("shingles"), "sets")
+    every = stored(shingle_sets(docs, width, percent, *more).drop("shingles"), "sets")
     grouped = prefixes.where("n_shingles > 0").groupBy("set_high", "set_low")
     vertices = stored(
         grouped.agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("shingles").alias("shingles"))
@@ -292,17 +293,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
         named = named.withColumn("label", F.coalesce("component", "label"))
     named = stored(named.select("set_high", "set_low", "label"), "labels")
     return (
-        every.select("doc_id", "n_shingles", "set_high", "set_low")
-        .join(named, ["set_high", "set_low"], "left")
-        .select("doc_id", "n_shingles", "set_high", "set_low", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
+        every.join(named, ["set_high", "set_low"], "left")
+        .select(*[c for c in every.columns if c not in ("n_shingles", "set_high", "set_low")], "n_shingles", "set_high", "set_low", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
 
 def one_of_each(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """``docs`` without near duplicates: the row with its component's id stays, whole and unchanged.
 
-    Rows that repeat the id that stays all stay; rows without id stay when their component has no id.
+    Each row is judged by its own id and text, also where ids repeat or are null. Rows of a component that
+    repeat the id that stays all stay; rows without id stay when their component has no id.
     """
-    classes = near_duplicates(docs, width, percent).select("doc_id", "component_id")
+    classes = near_duplicates(docs, width, percent, row_key().alias("row_key"))
     copy = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return without(docs, stored(classes.where(copy).select(F.col("doc_id").alias("gone")).distinct(), "gone"))
+    return without_rows(docs, stored(classes.where(copy).select(F.col("row_key").alias("gone_key")).distinct(), "gone"))

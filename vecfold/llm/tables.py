@@ -53,6 +53,18 @@ def in_learning_folds(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 != 0, F.lit(False))
 
 
+def row_key(*more: Column) -> Column:
+    """128 bits that stand for a row's doc_id and text (and ``more``), null being a value of its own."""
+    parts = [F.coalesce(c.cast("string"), F.lit("\u0000")) for c in (F.col("doc_id"), F.col("text"), *more)]
+    return F.unhex(F.md5(F.concat_ws("\u0001", *parts)))
+
+
+def without_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``row_key`` is not in the one column of the stored table ``keys``."""
+    gone = small(keys)
+    return docs.join(gone, row_key() == gone[keys.columns[0]], "left_anti")
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id (null included) is not in the one column of the stored table ``ids``."""
     gone = small(ids)
