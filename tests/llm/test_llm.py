@@ -371,6 +371,16 @@ def test_mixtures_reach_their_weights(spark, strange, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_high_rates_are_not_cut(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("12345").alias("text"), F.when(F.col("id") < 100, "small").otherwise("large").alias("source"))
+    mixed = mixing.mix(docs, {"small": 0.3, "large": 0.7}, copy="copy")
+    small = [r["n"] for r in mixed.where("source = 'small'").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copy").alias("last")).where("n = last").collect()]
+    assert len(small) == 100 and np.mean(small) == pytest.approx(60, abs=3) and np.var(small) == pytest.approx(60, rel=0.6)
+    assert mixed.count() == pytest.approx(20_000, rel=0.03)
+    one = docs.where("doc_id between 99 and 20000")  # one document of rate 9950, beside all others
+    assert mixing.mix(one, {"small": 0.5, "large": 0.5}).where("source = 'small'").count() == pytest.approx(9950, abs=500)
+
+
 def test_rows_without_id_draw_for_themselves(spark):
     texts = F.when(F.col("id") % 2 == 0, "").otherwise(F.concat(F.lit("text "), F.col("id").cast("string")))
     docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), texts.alias("text"), F.lit("s").alias("source"))
