@@ -280,6 +280,19 @@ def test_the_field_labels_held_out_sentences():
     assert right >= 0.97 * total > 500
 
 
+def test_secrets_of_letters_only_are_found(spark):
+    rng = np.random.default_rng(9)
+    plain = "a " * 30 + "plain sentence about nothing in particular, without any figures"
+    rows, want = [(0, plain)], {0: ""}
+    for i in range(1, 41):
+        secret = "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 16)) if i % 2 else "correcthorsebattery"
+        text = f"{plain} {secret if i % 2 else 'password: ' + secret} and more words"
+        rows.append((i, text))
+        want[i] = f"secret:{text.index(secret)}:{text.index(secret) + len(secret)}"
+    got = {r.doc_id: r.spans for r in personal_data.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == "" and sum(got[i] == want[i] for i in want) >= 40
+
+
 # Decontamination
 
 

@@ -2,8 +2,7 @@
 
 The patterns give the base spans, which always stay. The field adds spans of the same kinds in forms
 that the patterns do not know, and ``secret`` spans (keys, tokens, passwords). It labels words between
-white space. Its sequences are the words around *marked* ones, words with a digit, ``@`` or ``=``;
-words further away are no personal data by definition. Features are the shapes of a word and its
+white space. Its sequences are whole texts, so secrets of letters only are found as well. Features are the shapes of a word and its
 neighbours, its length and the word before; decoding is Viterbi in numpy, all sequences of a slice
 together. The field is trained in the driver from a small labelled table (``labelled_table``) that
 follows from a seed and templates, the same for any corpus.
@@ -45,6 +44,9 @@ TEMPLATES = (
     "{w} {number} {w} {w}", "{w} version {number}. {w}", "{w} {w} {number} {w} {number} {w}", "{w} {year} {w} {w}", "in {year}, {w} {w} {number}%",
     "{w}{junk} {w}{junk} {number}{junk} {w}{junk}", "{w} | {number} | {w} | {year}", "{w} chapter {number} {w} page {number}", "{w} {w} {w} {w} {w}",
     "{w} = {number} {w} {w}", "{w} {w}={number} {w}", "{w} {time} {w} {w}", "{year}-{two}-{two} {w} {time} {w}", "{w} {w} {number}.{number} {w} {w}",
+    "{w} {letters} {w} {w}", "{w} key: {letters}, {w}", "token = {letters} {w} {w}", "{cue} {phrase} {w} {w}", "{w} {cue} {phrase}", "{w} {w}. {cue} {phrase}, {w} {w}",
+    "{w} {w} {long} {w} {long} {w}", "{long} {w} {w} {w} {w} {w}", "{w} {link} {w} {w}", "{w} {compound} {w}: {compound} {w}", "{w} ({w} {w}) \"{w} {w}\" {w}", "{w} - {w}/{w} {w}; {w}'{w} {w}",
+    "{w} {wide} {w} {wide}", "{wide} {wide} {wide} {wide}", "{w} password {w} {w}", "{w} secret {w} {w} key {w}", "{w}: {w} {long}: {long} {w}",
 )
 
 
@@ -70,7 +72,14 @@ def _values(rng: np.random.Generator) -> dict:
         a, b, c = digits(3), digits(3), digits(4)
         return pick(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+49 {a} {b}{c}", f"+33 {a[:1]} {b[:2]} {c[:2]} {a[1:]} {c[2:]}", f"+1-{a}-{b}-{c}", f"{a}.{b}.{c}")
 
+    wide_letters = ["абвгдежзиклмнопрст", "αβγδεζηθικλμνξο", "的一是不了人我在有他这中大来上国", "ابتثجحخدذرز", "कखगघचछजझटठड"]
     return {
+        "letters": lambda: "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 16)),
+        "phrase": lambda: letters(rng.integers(6, 28)), "cue": lambda: pick("password:", "Password:", "passwd:", "pwd:", "passphrase:", "secret:"),
+        "long": lambda: pick(str, str.capitalize)(letters(rng.integers(11, 26))) + pick("", "", ".", ","),
+        "link": lambda: pick("http://www.", "https://", "www.") + letters(rng.integers(4, 12)) + pick(".com", ".org/", ".de/") + pick("", letters(6), letters(5) + ".html"),
+        "compound": lambda: pick("-", "_", "/", ".", "'").join(pick(str, str.capitalize, str.upper)(letters(rng.integers(2, 10))) for _ in range(rng.integers(2, 4))) + pick("", ".", ","),
+        "wide": lambda: "".join(rng.choice(list(pick(*wide_letters)), rng.integers(1, 40))) + pick("", "", ".", ","),
         "w": word, "email": lambda: pick(f"{letters(5)}.{digits(2)}@mail{digits(1)}.example.com", f"{letters(6)}@{letters(5)}.org", f"{letters(2)}{digits(3)}@{letters(4)}.co.{letters(2)}"),
         "ip": lambda: ".".join(str(rng.integers(0, 256)) for _ in range(4)), "card": card, "phone": phone, "secret": secret,
         "pair": lambda: pick("password=", "token=", "api_key=", "secret=") + secret(), "quoted": lambda: f'"{secret()}"',
@@ -79,7 +88,7 @@ def _values(rng: np.random.Generator) -> dict:
     }
 
 
-KIND_OF = {"email": "email", "ip": "ip", "card": "card", "phone": "phone", "secret": "secret", "pair": "secret", "quoted": "secret"}
+KIND_OF = {"email": "email", "ip": "ip", "card": "card", "phone": "phone", "secret": "secret", "pair": "secret", "quoted": "secret", "letters": "secret", "phrase": "secret"}
 
 
 def labelled_rows(times: int = 24, seed: int = 11) -> list[tuple[str, list[str]]]:
@@ -115,22 +124,13 @@ for _i, _mark in enumerate(b"@.+-=_:/\"'()%*,#"):
     CLASS[_mark] = 5 + _i
 MARKED = np.zeros(256, bool)
 MARKED[[*range(48, 58), ord("@"), ord("=")]] = True
-REACH = 2
 N_FEATURES = 7
 
 
 def _features(data: np.ndarray, offsets: np.ndarray):
     """Sequences of a slice: starts and ends of their words, text of each, feature buckets, sequence lengths."""
     starts, ends, text, _ = batches.words_of(data, offsets)
-    marked = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(MARKED[data], out=marked[1:])
-    edge = np.zeros(len(starts) + 1, np.int64)
-    at = np.flatnonzero(marked[ends] > marked[starts])
-    np.add.at(edge, np.maximum(at - REACH, 0), 1)
-    np.add.at(edge, np.minimum(at + REACH + 1, len(starts)), -1)
-    place = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-    starts, ends, text = starts[place], ends[place], text[place]
-    n = len(place)
+    n = len(starts)
     if not n:
         return starts, ends, text, np.zeros((0, N_FEATURES), np.int64), np.zeros(0, np.int64)
     lengths = ends - starts
@@ -148,7 +148,7 @@ def _features(data: np.ndarray, offsets: np.ndarray):
     word = batches.part_hashes(batches.prefix_sums(batches.LOWER[chars]), first, first + lengths)
     digits = np.add.reduceat(classes == 3, first, dtype=np.int64)
     follows = np.zeros(n, bool)
-    follows[1:] = (place[1:] == place[:-1] + 1) & (text[1:] == text[:-1])
+    follows[1:] = text[1:] == text[:-1]
     none = np.uint64(0)
     before = lambda h: np.where(follows, np.roll(h, 1), none)
     after = lambda h: np.where(np.append(follows[1:], False), np.roll(h, -1), none)
@@ -312,10 +312,13 @@ def found_spans(docs: DataFrame, field: Field) -> DataFrame:
                 joins = np.ones(len(labels), bool)
                 joins[np.cumsum(lengths) - lengths] = False
                 first = np.searchsorted(text, np.arange(n + 1))
-                # Base spans hold a digit or an @, so texts without a marked word have none.
-                for i in np.unique(text).tolist():
+                # Base spans hold a digit or an @, so texts without a marked byte have none.
+                marked = np.concatenate([[0], np.cumsum(MARKED[data])])[offsets]
+                worth = np.diff(marked) > 0
+                worth[text[labels > 0]] = True
+                for i in np.flatnonzero(worth).tolist():
                     string = column[begin + i].as_py()
-                    base = base_spans(string)
+                    base = base_spans(string) if marked[i + 1] > marked[i] else []
                     own = slice(first[i], first[i + 1])
                     more = []
                     if labels[own].any():
