@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecfold.llm import decontamination, language, mixing, ngram_join, personal_data, quality_rules, repeats, sharding, token_counts, toxicity
+from vecfold.llm import centroids, decontamination, hard_negatives, language, mixing, ngram_join, personal_data, quality_rules, repeats, sharding, token_counts, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary or public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.summarised(*centroids.clustered(embeddings(spark, sf_dir)))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(embeddings(spark, sf_dir).select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -64,6 +77,8 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -108,4 +123,6 @@ SQL: dict[str, str] = {
             coalesce(n_hit > 0 AND 20 * n_hit >= len(words), false) AS contaminated
         FROM spelled LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id)
     """,
+    "op12_centroid_clustering": centroids.sql(),
+    "op13_hard_negatives": hard_negatives.SQL,
 }
