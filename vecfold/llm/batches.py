@@ -2,8 +2,13 @@
 
 A batch is worked on in slices of bounded size, so the memory of a task follows the longest text
 and not the number of rows. White space and ASCII letters are single bytes in UTF-8, so words and
-lines of the bytes are those of the text. Hashes have 64 bits; two different strings of one
-comparison share one with a chance of about 2**-64.
+lines of the bytes are those of the text.
+
+Two hashes. ``apart_hashes``, for parts that do not overlap (words, lines), multiplies each byte by a
+random 64-bit number of its place in the part: two different strings share a hash only if those numbers
+cancel, a chance of at most 2**-56 whatever the strings are. ``part_hashes``, for parts that overlap, is a
+polynomial modulo 2**64; some long strings always share one, so it serves to group and to guess, and what
+must be equal is compared.
 """
 
 from collections.abc import Iterator
@@ -83,6 +88,29 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values
 
 
+PLACES = mix(np.arange(1, 1 << 16, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+
+
+def places(n: int) -> np.ndarray:
+    """The random number of each of the first n places of a part."""
+    global PLACES
+    if len(PLACES) < n:
+        PLACES = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    return PLACES
+
+
+def apart_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of parts in order that do not overlap; equal strings have equal hashes wherever they are."""
+    lengths = ends - starts
+    upto = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=upto[1:])
+    place = np.arange(upto[-1]) - np.repeat(upto[:-1], lengths)
+    at = place + np.repeat(starts, lengths)
+    sums = np.zeros(upto[-1] + 1, np.uint64)
+    np.cumsum(places(int(lengths.max(initial=0)))[place] * (data[at].astype(np.uint64) + np.uint64(1)), out=sums[1:])
+    return mix(sums[upto[1:]] - sums[upto[:-1]] + lengths.astype(np.uint64) * np.uint64(BASE))
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Sums that give the hash of any part with part_hashes."""
     up, _ = powers(len(data) + 1)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from vecfold.llm import integers
 from vecfold.llm.tables import small, stored
 
-SLAB_ROWS = 20_000  # rows of one tree
+SLAB_ROWS = 8_192  # rows of one tree
 ANCHOR_ROWS = 20_000  # anchors that meet a slab in one task
 LEAF_ROWS = 128
 FANOUT = 16

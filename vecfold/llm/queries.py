@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecfold.llm import centroids, decontamination, hard_negatives, language, mixing, ngram_join, personal_data, quality_rules, repeats, sharding, token_counts, toxicity
+from vecfold.llm import centroids, decontamination, fingerprints, hard_negatives, language, mixing, ngram_join, personal_data, quality_rules, repeats, sharding, token_counts, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary or public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(documents(spark, sf_dir))
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op11_fingerprints": op11_fingerprints,
     "op12_centroid_clustering": op12_centroid_clustering,
     "op13_hard_negatives": op13_hard_negatives,
 }
