@@ -64,7 +64,7 @@ def text_sets(batch_iter, width: int, percent: int | None):
         for first, end, data, offsets in batches.text_slices(batch.column("text")):
             data = batches.LOWER[data]
             starts, ends, _, counts = batches.words_of(data, offsets)
-            hashes = batches.part_hashes(batches.prefix_sums(data), starts, ends)
+            hashes = batches.apart_hashes(data, starts, ends)
             shingles = batches.shingle_hashes(hashes, width)
             last = np.cumsum(counts)
             sizes, high, low, parts = [], [], [], []

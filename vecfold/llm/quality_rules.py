@@ -55,7 +55,6 @@ def counts_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The COUNTS of each text."""
     n = len(offsets) - 1
     starts, ends, text, n_words = batches.words_of(data, offsets)
-    sums = batches.prefix_sums(data)
     of_text = batches.mix(np.arange(n, dtype=np.uint64) + np.uint64(1))
     # Characters of words: bytes that do not continue a character.
     chars = _per_text(~batches.SPACE[data] & ((data & 0xC0) != 0x80), offsets)
@@ -66,10 +65,10 @@ def counts_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     has = first_word < len(starts)
     with_word[has] = starts[first_word[has]] < l_ends[has]
     l_starts, l_ends, l_text = l_starts[with_word], l_ends[with_word], l_text[with_word]
-    _, before = _repeats(batches.part_hashes(sums, l_starts, l_ends) ^ of_text[l_text])
+    _, before = _repeats(batches.apart_hashes(data, l_starts, l_ends) ^ of_text[l_text])
     dup_lines = np.bincount(l_text[before], minlength=n)
     # Words inside windows that occur twice or more in the text.
-    hashes = batches.part_hashes(sums, starts, ends)
+    hashes = batches.apart_hashes(data, starts, ends)
     windows = batches.shingle_hashes(hashes, WINDOW)
     inside = text[: len(windows)] == text[WINDOW - 1 :] if len(windows) else np.zeros(0, bool)
     place = np.flatnonzero(inside)
