@@ -342,7 +342,7 @@ def test_hypergeometric_draws_have_the_right_mean():
 
 
 def test_shards_are_exact_and_repeatable(odd, strange, empty):
-    placed = sharding.place(sharding.measured(odd), 8, 1).collect()
+    placed = sharding.keyed_places(odd, 8, 1).collect()
     by_shard = {}
     for r in placed:
         text = (odd_texts()[r.doc_id] or "").encode()
@@ -350,7 +350,7 @@ def test_shards_are_exact_and_repeatable(odd, strange, empty):
         by_shard.setdefault(r.shard, []).append(r.slot)
     assert max(map(len, by_shard.values())) - min(map(len, by_shard.values())) <= 1
     assert all(sorted(slots) == list(range(len(slots))) for slots in by_shard.values())
-    again = sharding.place(sharding.measured(odd.repartition(7)), 8, 1).collect()
+    again = sharding.keyed_places(odd.repartition(7), 8, 1).collect()
     assert sorted((r.doc_id, r.shard, r.slot) for r in again) == sorted((r.doc_id, r.shard, r.slot) for r in placed)
     rows = sharding.shard_rows(strange)
     assert rows.count() == strange.count() and rows.where("text is null").count() == 2 and len(set(rows.columns)) == len(rows.columns)

@@ -12,7 +12,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.place(sharding.measured(documents(spark, sf_dir)), shards=8, seed=1)
+    placed = sharding.keyed_places(documents(spark, sf_dir), shards=8, seed=1)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

@@ -1,5 +1,6 @@
 """Small helpers of the operators: scratch tables, joins of checked size, decisions on rows."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +34,20 @@ def with_row(frame: DataFrame, name: str) -> DataFrame:
     return stored(frame.withColumn("_row", F.monotonically_increasing_id()), name)
 
 
+def with_key(frame: DataFrame, name: str) -> DataFrame:
+    """The frame with ``_row``, a key of each row that later reads repeat.
+
+    Rows of files have one, the file and the row's place in it; any other frame is stored with a number first.
+    """
+    try:
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index"))
+        return frame.withColumn("_row", place)
+    except AnalysisException:
+        return with_row(frame, name)
+
+
 def numbered(rows: DataFrame, *values: str) -> DataFrame:
-    """Rows of ``with_row`` with ``_copy``: each row's number among those of equal ``values``.
+    """Rows of ``with_row`` or ``with_key`` with ``_copy``: each row's number among those of equal ``values``.
 
     The numbers are 0 to n - 1 however the rows are partitioned; only which of n equal rows has which is not
     fixed by them. A group is numbered in GROUP_PARTS parts, from the counts of the parts before.
