@@ -305,7 +305,7 @@ def test_a_failed_write_leaves_no_trace_and_one_of_two_wins(spark, store):
     with pytest.raises(StaleWrite):
         tables.commit(catalog, expect=before)
     with pytest.raises(StaleWrite):
-        tables._publish(before, "late")
+        tables._publish(before, {"collections": "late"})
     assert tables.generation() == before + 1 and tables.collections().count() == catalog.count()
 
 

@@ -86,6 +86,19 @@ def check_updates(updates: DataFrame, catalog: DataFrame) -> None:
     check_batch(updates.join(known, "collection_id", "left").withColumn("problem", _problem()))
 
 
+def batch_collections(prepared: DataFrame) -> tuple[list[int], bool]:
+    """The collections of a stored batch and whether any item names an id; refuses a batch with a problem.
+
+    One row per collection, which is control data.
+    """
+    problem = F.min(F.when(F.col("problem").isNotNull(), F.struct("pos", "problem"))).alias("bad")
+    named = F.max(F.col("embedding_id").isNotNull()) if "embedding_id" in prepared.columns else F.lit(False)
+    rows = prepared.groupBy("collection_id").agg(problem, named.alias("named")).collect()
+    for row in sorted((r for r in rows if r.bad), key=lambda r: r.bad.pos):
+        raise BadRequest(f"item {row.bad.pos} of collection {row.collection_id}: {row.bad.problem}")
+    return [r.collection_id for r in rows], any(r.named for r in rows)
+
+
 def check_batch(prepared: DataFrame) -> None:
     """Reject a batch that has any row with a problem."""
     bad = prepared.where("problem is not null").select("pos", "collection_id", "problem").first()
@@ -185,7 +198,7 @@ def upsert_result(prepared: DataFrame, state: DataFrame, batch_id: str) -> DataF
     return fan_out(prepared, resolved, ["first_pos", "embedding_id", "stored_id", "action"])
 
 
-def _last_given(column: str) -> Column:
+def last_given(column: str) -> Column:
     """The last non-null value of a field by input position."""
     value = F.col(column)
     return F.max_by(value, F.when(value.isNotNull(), F.col("pos"))).alias(f"new_{column}")
@@ -199,7 +212,7 @@ def update_by_id(state: DataFrame, updates: DataFrame, allowed: Allowed, now: Co
     ``changed``; call :func:`update_conflicts` before committing it.
     """
     fields = ["embedding", "metadata", "authz"]
-    merged = updates.groupBy("collection_id", "embedding_id").agg(*[_last_given(c) for c in fields])
+    merged = updates.groupBy("collection_id", "embedding_id").agg(*[last_given(c) for c in fields])
     merged = merged.withColumn("new_canonical", canonical_json(F.col("new_metadata")))
     joined = with_visibility(state, allowed).join(merged, ["collection_id", "embedding_id"], "left")
     given = {c: F.col("visible") & F.col(f"new_{c}").isNotNull() for c in fields}

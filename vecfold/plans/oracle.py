@@ -318,7 +318,8 @@ SELECT first_pos, u.collection_id FROM uniq u
 WHERE EXISTS (SELECT 1 FROM emb e WHERE e.collection_id = u.collection_id AND e.raw = u.raw
               AND e.metadata = u.metadata AND e.authz = u.authz)""",
     "insert_result": f"""{_INGEST}
-SELECT pos, collection_id, authz, '{{"i":"' || vec_id || '","rev":2}}' AS stored_metadata, 36 AS id_length
+SELECT pos, collection_id, authz, '{{"i":"' || vec_id || '","rev":2}}' AS stored_metadata, 36 AS id_length,
+       count(*) OVER (PARTITION BY collection_id, authz, raw, vec_id) AS positions
 FROM batch""",
     "upsert_result": f"""{_INGEST}
 SELECT pos, first_pos, embedding_id AS stored_id,
@@ -358,6 +359,20 @@ SELECT pos AS input_index, 'updated' AS action, {_uuid('vec_id::varchar')} AS kn
 UNION ALL
 SELECT pos, CASE WHEN s.embedding_id IS NULL THEN 'inserted' ELSE 'touched' END, s.embedding_id
 FROM marked LEFT JOIN state s USING (collection_id, authz, metadata, raw) WHERE NOT named""",
+    "put_mixed_state": f"""{_INGEST}, marked AS (SELECT *, pos % 6 = 1 AS named FROM batch),
+named_ids AS (SELECT DISTINCT vec_id FROM marked WHERE named),
+state AS (
+  SELECT e.vec_id, e.collection_id, e.authz, e.raw, e.v, n.vec_id IS NOT NULL AS updated,
+         CASE WHEN n.vec_id IS NULL THEN e.metadata ELSE '{{"i":' || e.vec_id || ',"rev":3}}' END AS metadata
+  FROM emb e LEFT JOIN named_ids n USING (vec_id)),
+others AS (SELECT collection_id, authz, metadata, raw, min(vec_id) AS vec_id FROM marked WHERE NOT named GROUP BY ALL)
+SELECT s.collection_id, s.authz, s.metadata, round(list_sum(s.v), 6) AS vector_sum, '2024-01-01' AS created,
+       CASE WHEN s.updated OR o.vec_id IS NOT NULL THEN '2024-02-02' ELSE '2024-01-01' END AS updated
+FROM state s LEFT JOIN others o USING (collection_id, authz, metadata, raw)
+UNION ALL
+SELECT o.collection_id, o.authz, o.metadata, round(list_sum(e.v), 6), '2024-02-02', '2024-02-02'
+FROM others o JOIN emb e ON e.vec_id = o.vec_id
+WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.collection_id = o.collection_id AND s.raw = o.raw AND s.metadata = o.metadata AND s.authz = o.authz)""",
     "delete_by_ids": f"""{_ROWS}, {_REQUESTS}
 SELECT embedding_id, collection_id FROM emb
 WHERE NOT (authz IN (SELECT authz FROM allowed) AND embedding_id IN (SELECT embedding_id FROM requests))""",

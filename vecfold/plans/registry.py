@@ -5,16 +5,17 @@ The results hold what can be compared by value: rounded metric values, ids, text
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecfold.functions.content import canonical_json, hash_uuid, metadata_value
 from vecfold.functions.names import authz_is_valid, normalize_authz, normalize_name, strip
 from vecfold.functions.vectors import half_round
-from vecfold.operators import access, catalog, cells, deltas, ingest, knn, models, reads, requests, responses, search
-from vecfold.schemas import Metric
+from vecfold.operators import access, catalog, cells, changes, deltas, ingest, knn, models, reads, requests, responses, search
+from vecfold.schemas import EMBEDDINGS, Metric
 from vecfold.session import materialize, scratch_path
 from vecfold.sources import fixtures, manifest, synthetic
+from vecfold.sources.tables import bucket_of
 from vecfold.plans.store import VectorStore
 from vecfold.streaming import counter, put
 from vecfold.streaming import deltas as delta_stream
@@ -562,7 +563,9 @@ def insert_result(spark, sf_dir):
     placed = ingest.insert_result(prepared, BATCH).join(
         added.select("embedding_id", F.col("metadata").alias("stored_metadata")), "embedding_id"
     )
-    return placed.select("pos", "collection_id", "authz", "stored_metadata", F.length("embedding_id").alias("id_length"))
+    # Every inserted row has an id of its own, and it is the id of all its positions.
+    rows_of_id = F.count(F.lit(1)).over(Window.partitionBy("embedding_id"))
+    return placed.select("pos", "collection_id", "authz", "stored_metadata", F.length("embedding_id").alias("id_length"), rows_of_id.alias("positions"))
 
 
 @query
@@ -612,8 +615,7 @@ def update_by_id(spark, sf_dir):
     )
 
 
-@query
-def put_mixed(spark, sf_dir):
+def _mixed_batch(spark, sf_dir):
     """The incoming batch, every third item naming the id it updates."""
     named = F.col("pos") % 6 == 1
     vec_id = F.floor(F.col("pos") / 2)
@@ -625,7 +627,12 @@ def put_mixed(spark, sf_dir):
         F.when(named, F.to_json(F.struct(F.lit(3).alias("rev"), vec_id.alias("i")))).otherwise(F.col("metadata")).alias("metadata"),
         F.when(named, fixtures.vector_id(vec_id)).alias("embedding_id"),
     )
-    prepared = materialize(ingest.prepare_batch(batch, fixtures.collections(spark, sf_dir)), "prepared")
+    return materialize(ingest.prepare_batch(batch, fixtures.collections(spark, sf_dir)), "prepared")
+
+
+@query
+def put_mixed(spark, sf_dir):
+    prepared = _mixed_batch(spark, sf_dir)
     _, result = ingest.put_mixed(
         fixtures.embeddings(spark, sf_dir), prepared, fixtures.OWNER, BATCH, _now()
     )
@@ -633,6 +640,15 @@ def put_mixed(spark, sf_dir):
     return result.select("input_index", "action", known.alias("known_id"))
 
 
+@query
+def put_mixed_state(spark, sf_dir):
+    """All rows after the mixed put, made from keys and the change table."""
+    state, known = fixtures.embeddings(spark, sf_dir), fixtures.collections(spark, sf_dir)
+    change = changes.put(state.select(*changes.KEYS), _mixed_batch(spark, sf_dir), known, fixtures.OWNER, BATCH, _now())
+    after = changes.rewritten(state.withColumn("bucket", bucket_of(F.lit(8))), change.changes.withColumn("bucket", bucket_of(F.lit(8))), _now())
+    return _state_rows(after.select(*EMBEDDINGS.names).unionByName(change.added))
+
+
 @query
 def delete_by_ids(spark, sf_dir):
     state = fixtures.embeddings(spark, sf_dir)

@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecfold.functions.names import normalize_authz
-from vecfold.operators import access, catalog, ingest, reads, search
+from vecfold.operators import access, catalog, changes, ingest, reads, search
 from vecfold.operators.access import Allowed
-from vecfold.schemas import DEFAULT_PAGE_SIZE, VectorType
+from vecfold.schemas import DEFAULT_PAGE_SIZE, EMBEDDINGS, VectorType
 from vecfold.session import materialize
-from vecfold.sources.tables import Tables
+from vecfold.sources.tables import Tables, bucket_count, bucket_of
 
 
 class NotFound(Exception):
@@ -73,49 +73,96 @@ class VectorStore:
             if hidden:
                 raise NotFound(f"collection {min(hidden)} not found")
 
-    def _start(self, batch: DataFrame) -> tuple[int, DataFrame, DataFrame, DataFrame, list[int]]:
+    def _start(self, batch: DataFrame) -> tuple[int, DataFrame, DataFrame, DataFrame, list[int], bool]:
+        """Generation, catalog, prepared batch, stored keys and ids of the touched collections, and
+        whether any item names an id."""
         generation = self.tables.generation()
         known = self.tables.collections(generation)
         prepared = materialize(ingest.prepare_batch(batch, known), "prepared")
-        ingest.check_batch(prepared)
-        # Collection ids are control data.
-        touched = [row[0] for row in prepared.select("collection_id").distinct().collect()]
-        state = self.tables.embeddings(generation).where(F.col("collection_id").isin(touched))
-        return generation, known, prepared, state, touched
+        touched, named = ingest.batch_collections(prepared)
+        return generation, known, prepared, self._keys(generation, touched), touched, named
+
+    def _keys(self, generation: int, touched: Sequence[int]) -> DataFrame:
+        return self.tables.embeddings(generation, touched).select(*changes.KEYS)
+
+    def _commit(self, generation: int, touched: Sequence[int], change: changes.Change, now: Column, stream: tuple[str, int] | None = None) -> None:
+        """Commit a change: appends its new rows and replaces the buckets of changed ones.
+
+        Collections that outgrow their buckets are written whole. Sizes and numbers of buckets come to
+        the driver, a row per touched collection or bucket.
+        """
+        sizes = self.tables.sizes(touched, generation)
+        more = {}
+        if change.added_keys is not None:
+            more = {r.collection_id: r["count"] for r in change.added_keys.groupBy("collection_id").count().collect()}
+        wanted = {i: bucket_count(sizes[i].rows + n, sizes[i].dimensions) for i, n in more.items()}
+        grown = [i for i, n in wanted.items() if sizes[i].buckets is None or n >= 4 * sizes[i].buckets]
+        held = {i: size.buckets for i, size in sizes.items() if size.buckets is not None}
+        marked, pairs = self.spark.createDataFrame([], changes.MARKED), set()
+        if change.changes is not None and held:
+            known = F.broadcast(self.spark.createDataFrame(list(held.items()), "collection_id long, buckets int"))
+            marked = change.changes.join(known, "collection_id").withColumn("bucket", bucket_of(F.col("buckets"))).drop("buckets")
+            pairs = {(r.collection_id, r.bucket) for r in marked.select("collection_id", "bucket").distinct().collect()}
+        if pairs or more:
+            pairs |= {(i, b) for i, size in sizes.items() for b in size.many or ()}
+            pairs = sorted(p for p in pairs if p[0] not in grown)
+            in_grown = F.col("collection_id").isin(grown)
+            whole = kept = added = None
+            if grown:
+                whole = changes.rewritten(self.tables.bucketed(generation, grown), marked.where(in_grown), now).select(*EMBEDDINGS.names)
+                whole = whole.unionByName(change.added.where(in_grown))
+            if pairs:
+                kept = changes.rewritten(self.tables.bucketed(generation, buckets=pairs), marked, now)
+            if set(more) - set(grown):
+                added = change.added.where(~in_grown)
+            buckets = {**held, **{i: wanted[i] for i in grown}}
+            self.tables.commit(None, whole, grown, generation, buckets=buckets, added=added, replaced=pairs, kept=kept, stream=stream)
+        elif stream is not None:
+            self.tables.commit(expect=generation, stream=stream)
 
     def insert(self, batch: DataFrame, allowed: Allowed, batch_id: str, now: Column | None = None) -> DataFrame:
         """All-or-nothing bulk insert; gives ``pos, embedding_id`` for every input position."""
-        generation, known, prepared, state, touched = self._start(batch)
+        now = F.current_timestamp() if now is None else now
+        generation, known, prepared, keys, touched, _ = self._start(batch)
         self._gate(touched, known, allowed)
         access.check_writable(prepared, allowed)
-        added = ingest.insert(state, prepared, batch_id, now if now is not None else F.current_timestamp())
-        self.tables.commit(known, state.unionByName(added), touched, expect=generation)
-        return ingest.insert_result(prepared, batch_id).select("pos", "embedding_id")
+        change = changes.insert(keys, prepared, batch_id, now)
+        self._commit(generation, touched, change, now)
+        return change.result
 
     def put(
-        self, batch: DataFrame, allowed: Allowed, batch_id: str, now: Column | None = None, create_allowed: Allowed | None = None
+        self,
+        batch: DataFrame,
+        allowed: Allowed,
+        batch_id: str,
+        now: Column | None = None,
+        create_allowed: Allowed | None = None,
+        stream: tuple[str, int] | None = None,
     ) -> DataFrame:
         """Bulk put: items with an id update it, the others upsert, in one commit.
 
         ``allowed`` is the caller's update list. Collections and rows must be in the create list too,
-        which is the same one unless given.
+        which is the same one unless given. ``stream`` is a stream's name and the number of its batch: a
+        batch that is part of the table already changes nothing.
         """
         lists = (allowed,) if create_allowed is None else (allowed, create_allowed)
+        now = F.current_timestamp() if now is None else now
         if "embedding_id" not in batch.columns:
             batch = batch.withColumn("embedding_id", F.lit(None).cast("string"))
-        generation, known, prepared, state, touched = self._start(batch)
+        generation, known, prepared, keys, touched, named = self._start(batch)
         self._gate(touched, known, *lists)
         for held in lists:
             access.check_writable(prepared, held)
-        new_state, result = ingest.put_mixed(
-            state, prepared, allowed, batch_id, now if now is not None else F.current_timestamp()
-        )
-        self.tables.commit(known, new_state, touched, expect=generation)
-        return result
+        change = changes.put(keys, prepared, known, allowed, batch_id, now, named)
+        last = None if stream is None else self.tables.last_batch(stream[0], generation)
+        if last is None or stream[1] > last:
+            self._commit(generation, touched, change, now, stream)
+        return change.result
 
     def update(self, updates: DataFrame, allowed: Allowed, now: Column | None = None) -> int:
         """Partial updates by id (``pos, collection_id, embedding_id, embedding, metadata, authz``, null
         for what stays); gives the number of rows changed. All are made or none."""
+        now = F.current_timestamp() if now is None else now
         generation = self.tables.generation()
         known = self.tables.collections(generation)
         updates = updates.withColumn("authz", normalize_authz(F.col("authz")))
@@ -124,29 +171,23 @@ class VectorStore:
         access.check_writable(updates.where("authz is not null"), allowed)
         touched = [row[0] for row in updates.select("collection_id").distinct().collect()]
         self._gate(touched, known, allowed)
-        state = self.tables.embeddings(generation).where(F.col("collection_id").isin(touched))
-        missing = ingest.missing_ids(state, updates, allowed).first()
+        keys = self._keys(generation, touched)
+        missing = ingest.missing_ids(keys, updates, allowed).first()
         if missing is not None:
             raise NotFound(f"embedding {missing.embedding_id} not found")
-        updated = ingest.update_by_id(state, updates, allowed, now if now is not None else F.current_timestamp())
-        if ingest.update_conflicts(updated).first() is not None:
-            raise ingest.Conflict("an update would duplicate a stored embedding")
-        changed = updated.where("changed").count()
-        if changed:
-            self.tables.commit(known, updated.drop("changed"), touched, expect=generation)
-        return changed
+        change = changes.update(keys, updates, known, allowed)
+        self._commit(generation, touched, change, now)
+        return change.changes.count()
 
     def delete_embeddings(self, targets: DataFrame, allowed: Allowed) -> int:
         """Number of visible rows deleted among ``collection_id, embedding_id``."""
         generation = self.tables.generation()
+        known = self.tables.collections(generation)
         touched = [row[0] for row in targets.select("collection_id").distinct().collect()]
-        self._gate(touched, self.tables.collections(generation), allowed)
-        state = self.tables.embeddings(generation).where(F.col("collection_id").isin(touched))
-        left, deleted = ingest.delete_by_ids(state, targets, allowed)
-        count = deleted.count()
-        if count:
-            self.tables.commit(self.tables.collections(generation), left, touched, expect=generation)
-        return count
+        self._gate(touched, known, allowed)
+        change = changes.delete(self._keys(generation, touched), targets, allowed)
+        self._commit(generation, touched, change, F.current_timestamp())
+        return change.changes.count()
 
     # Reads
 
@@ -154,7 +195,7 @@ class VectorStore:
         generation = self.tables.generation()
         collection = self.collection(name, allowed, generation)
         return search.search_collection(
-            self.tables.embeddings(generation), collection, query, allowed=allowed, **options
+            self.tables.embeddings(generation, [collection.id]), collection, query, allowed=allowed, **options
         )
 
     def search_all(
@@ -182,8 +223,10 @@ class VectorStore:
         dimensions = len(search.check_query(query))
         if not known.isEmpty():  # nothing visible is an empty result, nothing comparable an error
             search.check_eligible(known, vector_type, dimensions)
+        # The folders of eligible collections only.
+        eligible = search.eligible_collections(known, vector_type, dimensions)
         return search.search_across(
-            self.tables.embeddings(generation), known, query, vector_type=vector_type, allowed=allowed, **options
+            self.tables.embeddings(generation, eligible), known, query, vector_type=vector_type, allowed=allowed, **options
         )
 
     def read_ordered(self, name: str, ids: Sequence[str] | DataFrame, allowed: Allowed) -> DataFrame:
@@ -191,7 +234,7 @@ class VectorStore:
         requested = ids if isinstance(ids, DataFrame) else reads.id_positions(self.spark, ids)
         generation = self.tables.generation()
         collection = self.collection(name, allowed, generation)
-        found = reads.bulk_read_ordered(self.tables.embeddings(generation), requested, allowed, collection.id)
+        found = reads.bulk_read_ordered(self.tables.embeddings(generation, [collection.id]), requested, allowed, collection.id)
         return reads.binary_vectors(found)
 
     def read_any(self, ids: Sequence[str] | DataFrame, allowed: Allowed, exclude_info: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -200,7 +243,7 @@ class VectorStore:
         requested = ids if isinstance(ids, DataFrame) else reads.id_positions(self.spark, ids)
         generation = self.tables.generation()
         known = self.collections(allowed, generation)
-        found = reads.bulk_read_any(self.tables.embeddings(generation), requested, known, allowed)
+        found = reads.bulk_read_any(self.tables.embeddings(generation, known), requested, known, allowed)
         documents = reads.binary_documents(found, exclude_info).orderBy("input_index")
         return documents, search.collection_documents(search.hit_collections(found, known))
 
@@ -208,7 +251,7 @@ class VectorStore:
         """The row with this id of one collection."""
         generation = self.tables.generation()
         collection = self.collection(name, allowed, generation)
-        found = reads.embedding_by_id(self.tables.embeddings(generation), collection.id, embedding_id, allowed)
+        found = reads.embedding_by_id(self.tables.embeddings(generation, [collection.id]), collection.id, embedding_id, allowed)
         if found.isEmpty():
             raise NotFound(f"embedding {embedding_id} not found")
         return found
@@ -216,7 +259,7 @@ class VectorStore:
     def page(self, name: str, allowed: Allowed, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
         generation = self.tables.generation()
         collection = self.collection(name, allowed, generation)
-        return reads.page_embeddings(self.tables.embeddings(generation), collection.id, allowed, page, page_size)
+        return reads.page_embeddings(self.tables.embeddings(generation, [collection.id]), collection.id, allowed, page, page_size)
 
     def page_collections(self, allowed: Allowed, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
         return reads.page_collections(self.tables.collections(), allowed, page, page_size)
@@ -224,4 +267,5 @@ class VectorStore:
     def counts(self, allowed: Allowed) -> DataFrame:
         """Visible collections with the number of their rows the caller sees."""
         generation = self.tables.generation()
-        return reads.collections_with_counts(self.tables.collections(generation), self.tables.embeddings(generation), allowed)
+        known = self.collections(allowed, generation)
+        return reads.collections_with_counts(known, self.tables.embeddings(generation, known), allowed)

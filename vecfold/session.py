@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Folders are listed in so many tasks, not one task each.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
     # Without a stack trace for every column expression plans build several times faster.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -25,6 +27,9 @@ def local_session(cores: str = "8", app: str = "vecfold") -> SparkSession:
     return builder.getOrCreate()
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
@@ -34,8 +39,10 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="vecfold-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _local_folders:
+            _local_folders[application] = tempfile.mkdtemp(prefix="vecfold-")
+        folder = _local_folders[application]
     return folder.rstrip("/")
 
 

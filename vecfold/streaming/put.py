@@ -10,13 +10,13 @@ from vecfold.plans.store import VectorStore
 def put_stream(store: VectorStore, batches: DataFrame, allowed: Allowed, name: str) -> DataStreamWriter:
     """A writer that puts each micro-batch of ``batches`` into the store.
 
-    New ids derive from stream name and batch number, so a batch that is replayed after a failure
-    finds its rows stored and only moves their ``updated_at``.
+    A commit records the stream's name and the batch's number, so a batch that is replayed after a
+    failure is recognised and changes nothing. New ids derive from both.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        store.put(batch, allowed, f"{name}-{number}")
+        store.put(batch, allowed, f"{name}-{number}", stream=(name, number))
 
     return batches.writeStream.foreachBatch(put)
