@@ -116,6 +116,16 @@ _QUERY = "q AS (SELECT embedding::double[] AS q FROM embeddings WHERE vec_id = 0
 _HALF_QUERY = f"q AS (SELECT {_HALF_VECTOR.format('embedding')} AS q FROM embeddings WHERE vec_id = 0)"
 
 
+def _all_pairs(metric: str) -> str:
+    order = "DESC" if metric == "cosine" else "ASC"
+    return f"""{_ROWS}, pairs AS (
+  SELECT q.vec_id AS query_id, embedding_id, {_value(metric, "v", "q.embedding::double[]")} AS "value"
+  FROM emb, embeddings q WHERE vector_type = 'vector')
+SELECT query_id, embedding_id, round("value", 6) AS "value",
+       row_number() OVER (PARTITION BY query_id ORDER BY pairs."value" {order}, embedding_id)::int AS rank
+FROM pairs QUALIFY rank <= 10"""
+
+
 def _search(metric, where, k=10, columns="", query=_QUERY, having="true", order=None):
     order = order or ("DESC" if metric == "cosine" else "ASC")
     return f"""{_ROWS}, {query},
@@ -224,12 +234,7 @@ scored AS (SELECT seen.*, {_value("cosine", 'v', 'q')} AS "value" FROM seen, q W
 SELECT embedding_id AS id, 'cosine_similarity' AS distance_metric, round("value", 6) AS "value", 64 AS dimensions,
        {_INFO} AS info
 FROM scored ORDER BY scored."value" DESC, embedding_id LIMIT 10""",
-    "knn_batch_cosine": f"""{_ROWS}, pairs AS (
-  SELECT q.vec_id AS query_id, embedding_id, {_value("cosine", "v", "q.embedding::double[]")} AS "value"
-  FROM emb, embeddings q WHERE vector_type = 'vector')
-SELECT query_id, embedding_id, round("value", 6) AS "value",
-       row_number() OVER (PARTITION BY query_id ORDER BY pairs."value" DESC, embedding_id)::int AS rank
-FROM pairs QUALIFY rank <= 10""",
+    "knn_batch_cosine": _all_pairs("cosine"),
     "knn_batch_threshold": f"""{_ROWS}, qs AS (
   SELECT vec_id AS query_id, {_HALF_VECTOR.format('embedding')} AS q FROM embeddings),
 pairs AS (SELECT query_id, embedding_id, {_value("cosine", "v", "q")} AS "value" FROM emb, qs
@@ -237,6 +242,9 @@ pairs AS (SELECT query_id, embedding_id, {_value("cosine", "v", "q")} AS "value"
 SELECT query_id, embedding_id, round("value", 6) AS "value",
        row_number() OVER (PARTITION BY query_id ORDER BY pairs."value" DESC, embedding_id)::int AS rank
 FROM pairs WHERE pairs."value" >= 0.5 QUALIFY rank <= 4""",
+    "knn_pruned_cosine": _all_pairs("cosine"),
+    "knn_pruned_l2": _all_pairs("l2"),
+    "knn_pruned_inner": _all_pairs("inner"),
     "search_ivf": _search("l2", "vector_type = 'vector'"),
     "search_ivf_all_probes": _search("l2", "vector_type = 'vector'"),
     "half_round_vectors": f"""

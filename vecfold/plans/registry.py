@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vecfold.functions.content import canonical_json, hash_uuid, metadata_value
 from vecfold.functions.names import authz_is_valid, normalize_authz, normalize_name, strip
 from vecfold.functions.vectors import half_round
-from vecfold.operators import access, catalog, cells, changes, deltas, ingest, knn, models, reads, requests, responses, search
+from vecfold.operators import access, catalog, cells, changes, deltas, ingest, knn, models, pruned, reads, requests, responses, search
 from vecfold.schemas import EMBEDDINGS, Metric
 from vecfold.session import materialize, scratch_path
 from vecfold.sources import fixtures, manifest, synthetic
@@ -296,6 +296,26 @@ def knn_batch_threshold(spark, sf_dir):
     return _rounded(knn.knn_batch(rows, queries, top_k=4, min_value=0.5))
 
 
+def _pruned(spark, sf_dir, metric):
+    rows = fixtures.embeddings(spark, sf_dir).where("vector_type = 'vector'")
+    return _rounded(pruned.knn_pruned(rows, fixtures.query_vectors(spark, sf_dir), metric=metric, cell_rows=100))
+
+
+@query
+def knn_pruned_cosine(spark, sf_dir):
+    return _pruned(spark, sf_dir, Metric.cosine_similarity)
+
+
+@query
+def knn_pruned_l2(spark, sf_dir):
+    return _pruned(spark, sf_dir, Metric.l2_distance)
+
+
+@query
+def knn_pruned_inner(spark, sf_dir):
+    return _pruned(spark, sf_dir, Metric.inner_product)
+
+
 _cells_built: dict[tuple[str, str], cells.Cells] = {}
 
 
