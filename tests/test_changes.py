@@ -96,8 +96,7 @@ def test_no_exchange_carries_stored_vectors(spark, store):
     _, known, prepared, keys, touched, named = store._start(batch)
     assert "embedding" not in keys.columns and not named and touched == [1]
     change = changes.put(keys, prepared, known, ALLOWED, "b1", F.current_timestamp())
-    buckets = store.tables.sizes([1], generation)[1].buckets
-    marked = change.changes.withColumn("bucket", bucket_of(F.lit(buckets)))
+    marked = change.changes
     whole = store.tables.bucketed(generation, [1])
     for size_limit in (changes.BROADCAST_BYTES, 2_000):  # in one block, in several
         kept = changes.rewritten(whole, marked, F.current_timestamp(), size_limit)
@@ -109,9 +108,8 @@ def test_no_exchange_carries_stored_vectors(spark, store):
 def test_blocks_and_shuffle_give_the_same(spark, store, monkeypatch):
     store.insert(numbers(spark, 300), ALLOWED, "b0")
     rows, now = store.tables.bucketed(), F.lit("2030-01-01").cast("timestamp")
-    ids = rows.select("collection_id", "embedding_id").orderBy("embedding_id").limit(40)
+    ids = rows.select("collection_id", "embedding_id", "bucket").orderBy("embedding_id").limit(40)
     marked = changes._blank(ids, gone=False).withColumn("gone", F.col("embedding_id") > "8").withColumn("new_metadata", F.when(F.col("embedding_id") < "4", F.lit('{"n":1}')))
-    marked = marked.withColumn("bucket", bucket_of(F.lit(store.tables.sizes([1], store.tables.generation())[1].buckets)))
     whole = sorted(map(str, changes.rewritten(rows, marked, now).collect()))
     blocks = sorted(map(str, changes.rewritten(rows, marked, now, 1_000).collect()))
     monkeypatch.setattr(changes, "MAX_BLOCKS", 1)

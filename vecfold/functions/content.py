@@ -1,8 +1,10 @@
 """Content keys and JSON text: hashes in uuid form, canonical JSON, text lookup in metadata."""
 
 import json
+import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,7 +53,71 @@ def canonical_text(text: str | None) -> str | None:
 
 @F.arrow_udf(T.StringType())
 def _canonical(texts: pa.Array) -> pa.Array:
-    return pa.array([canonical_text(t) for t in texts.to_pylist()], pa.string())
+    # Each distinct text of a batch once; most batches repeat few, often the empty object.
+    encoded = texts.dictionary_encode()
+    written = pa.array([canonical_text(t) for t in encoded.dictionary.to_pylist()], pa.string())
+    return pc.if_else(texts.is_null(), "{}", written.take(encoded.indices))
+
+
+# Strings and brackets: all that has to be seen to find where a value starts and ends.
+_COLON = re.compile(r"\s*:")
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.DOTALL)
+
+
+def field_texts(document: str | None, field: str) -> list[str | None]:
+    """The text of a field's value in every object of a JSON array (or of the one object), cut out unparsed.
+
+    Null where the field is missing. Of a field that repeats the last one counts.
+    """
+    found, depth = [], 0
+    objects = 1 if (document or "").lstrip().startswith("{") else 2
+    name, starts = json.dumps(field), None
+    for mark in _MARKS.finditer(document or ""):
+        token = mark.group()
+        if token in "[{":
+            depth += 1
+            if depth == objects:
+                found.append(None)
+        elif token in "]}":
+            if starts is not None and depth == objects:
+                found[-1], starts = document[starts : mark.start()].strip(), None
+            depth -= 1
+        elif depth == objects and (colon := _COLON.match(document, mark.end())):
+            if starts is not None:
+                found[-1] = document[starts : mark.start()].rstrip().removesuffix(",").strip()
+            starts = colon.end() if token == name else None
+    return found
+
+
+def _stored_text(raw: str | None) -> str | None:
+    """A cut-out value as metadata text: null for none, a string's content, else the value with its numbers kept."""
+    if raw is None or raw == "null":
+        return None
+    try:
+        if raw.startswith('"'):
+            return json.loads(raw)
+    except ValueError:
+        return raw
+    written = canonical_text(raw)
+    return raw if written is None else written
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _metadata_texts(documents: pa.Array) -> pa.Array:
+    return pa.array([[_stored_text(t) for t in field_texts(d, "metadata")] for d in documents.to_pylist()], pa.list_(pa.string()))
+
+
+def metadata_texts(document: Column) -> Column:
+    """The metadata of each row of a JSON document of rows; no digit of a number is lost."""
+    return _metadata_texts(document)
+
+
+def json_with(document: Column, field: str, text: Column) -> Column:
+    """JSON text of a struct with one more field, whose JSON text goes in as it is; null leaves it out."""
+    rest = F.to_json(document)
+    start = F.substring(rest, F.lit(1), F.length(rest) - 1)
+    comma = F.when(rest == "{}", F.lit("")).otherwise(F.lit(","))
+    return F.when(text.isNull(), rest).otherwise(F.concat(start, comma, F.lit(f"{json.dumps(field)}:"), text, F.lit("}")))
 
 
 def canonical_json(text: Column) -> Column:

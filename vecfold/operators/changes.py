@@ -7,7 +7,8 @@ exchange carries a stored vector. Only a change of more than MAX_BLOCKS blocks,
 large collection, is joined by shuffle.
 
 A change table has one row per id: collection_id, embedding_id, the new_ fields (null for what stays),
-``gone`` for rows that are deleted, and touched rows without new fields, whose ``updated_at`` moves.
+``gone`` for rows that are deleted, and the row's ``bucket``. Of touched rows without new fields only
+``updated_at`` moves.
 """
 
 from dataclasses import dataclass
@@ -25,7 +26,8 @@ from vecfold.schemas import CONTENT_KEY, EMBEDDINGS
 from vecfold.session import materialize
 
 ROW_ID = ["collection_id", "embedding_id"]
-KEYS = [*ROW_ID, "embedding_hash", "metadata_hash", "authz"]
+# What is read of stored rows to find a change.
+KEYS = [*ROW_ID, "embedding_hash", "metadata_hash", "authz", "bucket"]
 FIELDS = ["embedding", "embedding_hash", "authz", "metadata", "metadata_hash"]
 KIND = {f.name: f.dataType for f in EMBEDDINGS.fields}
 CHANGES = T.StructType(
@@ -51,7 +53,7 @@ class Change:
 
 def _blank(row_ids: DataFrame, gone: bool) -> DataFrame:
     """Changes of rows that only move or go."""
-    return row_ids.select(*ROW_ID, *[F.lit(None).cast(KIND[c]).alias(f"new_{c}") for c in FIELDS], F.lit(gone).alias("gone"))
+    return row_ids.select(*ROW_ID, *[F.lit(None).cast(KIND[c]).alias(f"new_{c}") for c in FIELDS], F.lit(gone).alias("gone"), "bucket")
 
 
 def merged_updates(updates: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -76,7 +78,8 @@ def found_rows(keys: DataFrame, changes: DataFrame, allowed: Allowed) -> DataFra
     """The keys that the visible rows of a change table will have, as a stored narrow table."""
     new = changes.select(*ROW_ID, "new_embedding_hash", "new_metadata_hash", "new_authz")
     found = visible(keys, allowed).join(new, ROW_ID)
-    return materialize(found.select(*ROW_ID, *[F.coalesce(f"new_{c}", c).alias(c) for c in ("embedding_hash", "metadata_hash", "authz")]), "found")
+    keys_after = [F.coalesce(f"new_{c}", c).alias(c) for c in ("embedding_hash", "metadata_hash", "authz")]
+    return materialize(found.select(*ROW_ID, *keys_after, "bucket"), "found")
 
 
 def refuse_conflicts(keys: DataFrame, found: DataFrame) -> None:
@@ -120,7 +123,8 @@ def put(keys: DataFrame, prepared: DataFrame, catalog: DataFrame, allowed: Allow
     changes = _blank(held, gone=False)
     if updates is not None:
         result = result.unionByName(with_id.select("pos", "embedding_id", F.lit("updated").alias("action")))
-        changes = updates.union(_blank(held.join(updates.select(*ROW_ID), ROW_ID, "left_anti"), gone=False))
+        placed = updates.join(found.select(*ROW_ID, "bucket"), ROW_ID)
+        changes = placed.union(_blank(held.join(updates.select(*ROW_ID), ROW_ID, "left_anti"), gone=False))
     new_keys = unique.join(held.select(*CONTENT_KEY), CONTENT_KEY, "left_anti")
     added = ingest.new_rows(ingest.dedup_batch(without_id.join(held.select(*CONTENT_KEY), CONTENT_KEY, "left_anti")), batch_id, now)
     return Change(changes, added, new_keys, result.withColumnRenamed("pos", "input_index").orderBy("input_index"))
@@ -129,8 +133,9 @@ def put(keys: DataFrame, prepared: DataFrame, catalog: DataFrame, allowed: Allow
 def update(keys: DataFrame, updates: DataFrame, catalog: DataFrame, allowed: Allowed) -> Change:
     """Partial updates of rows that are all visible."""
     changes = materialize(merged_updates(updates, catalog), "changes")
-    refuse_conflicts(keys, found_rows(keys, changes, allowed))
-    return Change(changes)
+    found = found_rows(keys, changes, allowed)
+    refuse_conflicts(keys, found)
+    return Change(changes.join(found.select(*ROW_ID, "bucket"), ROW_ID))
 
 
 def delete(keys: DataFrame, targets: DataFrame, allowed: Allowed) -> Change:

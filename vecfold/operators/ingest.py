@@ -7,8 +7,9 @@ before any commit.
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vecfold.functions.content import canonical_json, derived_id, hash_uuid, vector_text
+from vecfold.functions.content import canonical_json, derived_id, hash_uuid, metadata_texts, vector_text
 from vecfold.functions.names import authz_is_valid, default_authz
 from vecfold.functions.vectors import half_overflows, stored_vector
 from vecfold.operators.access import Allowed, visible, with_visibility
@@ -22,11 +23,18 @@ class Conflict(Exception):
 
 
 def parse_json_batch(documents: DataFrame, column: str = "document") -> DataFrame:
-    """Rows of JSON array documents, each with its ``pos`` in its document."""
-    parsed = F.from_json(F.col(column), f"array<{JSON_BATCH_ROW.simpleString()}>")
+    """Rows of JSON array documents, each with its ``pos`` in its document.
+
+    Metadata is cut out of the document as text, so its numbers stay as they were written.
+    """
+    kind = T.StructType([f for f in JSON_BATCH_ROW.fields if f.name != "metadata"])
+    parsed = F.from_json(F.col(column), f"array<{kind.simpleString()}>")
     others = [c for c in documents.columns if c != column]
-    rows = documents.select(*others, F.posexplode(parsed).alias("pos", "row"))
-    return rows.select(*others, F.col("pos").cast("long").alias("pos"), "row.*")
+    texts = documents.select(*others, parsed.alias("parsed"), metadata_texts(F.col(column)).alias("texts"))
+    rows = texts.select(*others, "texts", F.posexplode("parsed").alias("pos", "row"))
+    metadata = F.get("texts", F.col("pos")).alias("metadata")
+    fields = [metadata if f.name == "metadata" else F.col(f"row.{f.name}") for f in JSON_BATCH_ROW.fields]
+    return rows.select(*others, F.col("pos").cast("long").alias("pos"), *fields)
 
 
 def with_collection(batch: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecfold.functions.content import json_with
 from vecfold.functions.names import embedding_path
 from vecfold.functions.vectors import vector_bytes
 from vecfold.operators.access import Allowed, visible, visible_collections
-from vecfold.operators.search import info_struct
+from vecfold.operators.search import info_json, info_struct
 from vecfold.operators.skew import lookup_join
 from vecfold.schemas import DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE
 
@@ -87,15 +88,23 @@ def embedding_documents(rows: DataFrame, exclude_info: bool = False) -> DataFram
 
 def binary_documents(rows: DataFrame, exclude_info: bool = False) -> DataFrame:
     """Rows (with ``collection_name`` and ``input_index``) as nested documents whose vector is base64 text."""
-    parts = [F.col("vector_base64").alias("vector"), F.col("precision"), F.col("embedding_id"), F.col("input_index")]
+    parts = [F.col("vector_base64"), F.col("precision"), F.col("embedding_id"), F.col("input_index")]
     if not exclude_info:
         parts.append(info_struct(F.col("collection_name")).alias("info"))
     return binary_vectors(rows).select("input_index", "embedding_id", "collection_id", F.struct(*parts).alias("document"))
 
 
 def document_json(documents: DataFrame) -> DataFrame:
-    """Documents as JSON text, null fields dropped."""
-    return documents.withColumn("document", F.to_json("document"))
+    """Documents as JSON text, null fields dropped and metadata as it was written."""
+    if "info" not in documents.schema["document"].dataType.names:
+        return documents.withColumn("document", F.to_json("document"))
+    info = info_json(F.col("document.info"))
+    return documents.withColumn("document", json_with(F.col("document").dropFields("info"), "info", info))
+
+
+# Pages that start so far in are found by counted ranges of keys, PREFIX_STEP letters at a time.
+RANGE_ROWS = 10_000
+PREFIX_STEP = 2
 
 
 def self_links(rows: DataFrame) -> DataFrame:
@@ -109,7 +118,11 @@ def page_of(rows: DataFrame, order: str, page: int, page_size: int) -> DataFrame
     """
     if page < 1 or not 1 <= page_size <= MAX_PAGE_SIZE:
         raise ValueError(f"page must be at least 1 and page_size between 1 and {MAX_PAGE_SIZE}")
-    shown = rows.orderBy(order).offset((page - 1) * page_size).limit(page_size)
+    offset = (page - 1) * page_size
+    if offset >= RANGE_ROWS:
+        rows, before = page_ranges(rows, order, offset, page_size)
+        offset -= before
+    shown = rows.orderBy(order).offset(offset).limit(page_size)
     # The window covers one page, so at most MAX_PAGE_SIZE rows.
     shown = shown.withColumn("on_page", F.count(F.lit(1)).over(Window.partitionBy()))
     return shown.select(
@@ -120,6 +133,43 @@ def page_of(rows: DataFrame, order: str, page: int, page_size: int) -> DataFrame
     )
 
 
+def page_ranges(rows: DataFrame, order: str, offset: int, size: int, range_rows: int | None = None) -> tuple[DataFrame, int]:
+    """The rows of the few ranges of ``order`` that hold the rows from ``offset`` on, and the rows before them.
+
+    A histogram of the first letters of the keys, counted in Spark, tells which prefixes a page lies in;
+    a prefix that still holds many rows is counted by further letters. So no task sorts what lies before
+    the page: ranges of about ``range_rows`` rows meet, or the rows of one key.
+    """
+    limit = RANGE_ROWS if range_rows is None else range_rows
+    prefixes, exact, before = [], [], None
+
+    def descend(prefix: str, start: int, first: int, end: int) -> None:
+        """Ranges of keys with ``prefix``, which begin at row ``start``, that overlap rows first to end."""
+        nonlocal before
+        longer = len(prefix) + PREFIX_STEP
+        head = F.substring(order, 1, longer)
+        counts = rows.where(F.col(order).startswith(prefix)).groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n")).orderBy("head")
+        for head_text, n in [(r["head"], r.n) for r in counts.collect()]:  # a number a prefix
+            if start < end and start + n > first:
+                whole_key = len(head_text) < longer
+                if n > limit and not whole_key and (start < first or start + n > end):
+                    descend(head_text, start, first, end)
+                else:
+                    before = start if before is None else before
+                    (exact if whole_key else prefixes).append(head_text)
+            start += n
+
+    descend("", 0, offset, offset + size)
+    if before is None:
+        return rows.where(F.lit(False)), offset
+    chosen = F.lit(False)
+    for prefix in prefixes:
+        chosen = chosen | F.col(order).startswith(prefix)
+    if exact:
+        chosen = chosen | F.col(order).isin(exact)
+    return rows.where(chosen), before
+
+
 def page_collections(
     catalog: DataFrame, allowed: Allowed, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE
 ) -> DataFrame:

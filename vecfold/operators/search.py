@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecfold.functions.content import metadata_fields
+from vecfold.functions.content import json_with, metadata_fields
 from vecfold.functions.names import collection_path, embedding_path, normalize_name, split_names
 from vecfold.functions.vectors import distance_to, half_query
 from vecfold.operators.access import Allowed, visible
@@ -185,14 +185,23 @@ def rejected_requests(resolved: DataFrame) -> DataFrame:
 
 
 def info_struct(collection_name: Column) -> Column:
+    """What a document says about its row; metadata is its JSON text as stored, see :func:`info_json`."""
     return F.struct(
         "collection_id",
         "authz",
-        F.parse_json("metadata").alias("metadata"),
+        "metadata",
         embedding_path(collection_name, F.col("embedding_id")).alias("self"),
     )
 
 
+def info_json(info: Column) -> Column:
+    """An info struct as JSON, its metadata put in unparsed, so that every number is as it was written."""
+    first = json_with(F.struct(info["collection_id"].alias("collection_id"), info["authz"].alias("authz")), "metadata", info["metadata"])
+    end = F.to_json(F.struct(info["self"].alias("self")))
+    joined = F.concat(F.substring(first, F.lit(1), F.length(first) - 1), F.lit(","), F.substring(end, F.lit(2), F.length(end)))
+    return F.when(info.isNotNull(), F.when(info["self"].isNull(), first).otherwise(joined))
+
+
 def search_documents(hits: DataFrame, metric: Metric | str, exclude_info: bool = False) -> DataFrame:
     """Hits (with ``collection_name, authz, metadata, embedding``) in the nested result shape."""
     parts = [F.col("embedding").alias("vector"), F.col("embedding_id")]

@@ -116,6 +116,11 @@ _QUERY = "q AS (SELECT embedding::double[] AS q FROM embeddings WHERE vec_id = 0
 _HALF_QUERY = f"q AS (SELECT {_HALF_VECTOR.format('embedding')} AS q FROM embeddings WHERE vec_id = 0)"
 
 
+# Metadata of an event with numbers that a parser would change.
+_NUMBERS = """('{"a":[1e-400,-0.0,{"b":null,"y":1E' || event_id || '}],"n":12345678901234567890123456789012345' || event_id
+       || ',"z":' || event_id || '.50}')"""
+
+
 def _all_pairs(metric: str) -> str:
     order = "DESC" if metric == "cosine" else "ASC"
     return f"""{_ROWS}, pairs AS (
@@ -245,6 +250,14 @@ FROM pairs WHERE pairs."value" >= 0.5 QUALIFY rank <= 4""",
     "knn_pruned_cosine": _all_pairs("cosine"),
     "knn_pruned_l2": _all_pairs("l2"),
     "knn_pruned_inner": _all_pairs("inner"),
+    "search_index_exact": _search("l2", "collection_id = 1"),
+    "search_index_probes": f"""{_ROWS}, {_QUERY},
+mids AS (SELECT vec_id AS cell, embedding::double[] AS m FROM embeddings WHERE vec_id < 8),
+placed AS (SELECT seen.*, cell FROM seen, mids WHERE collection_id = 1
+  QUALIFY row_number() OVER (PARTITION BY embedding_id ORDER BY list_distance(v, m), cell) = 1),
+probed AS (SELECT cell FROM mids, q ORDER BY list_distance(m, q), cell LIMIT 2)
+SELECT collection_id, embedding_id, round(list_distance(v, q), 6) AS "value" FROM placed JOIN probed USING (cell), q
+ORDER BY list_distance(v, q), embedding_id LIMIT 10""",
     "search_ivf": _search("l2", "vector_type = 'vector'"),
     "search_ivf_all_probes": _search("l2", "vector_type = 'vector'"),
     "half_round_vectors": f"""
@@ -350,9 +363,15 @@ SELECT embedding_id,
          CASE WHEN visible AND vec_id % 3 = 0 THEN list_reverse(v) ELSE v END, range(1, 65)),
          lambda z: z[1] * z[2])), 6) AS vector_checksum
 FROM (SELECT *, authz IN (SELECT authz FROM allowed) AS visible FROM emb)""",
-    "metadata_numbers": """
-SELECT event_id, '{"a":[1e-400,-0.0,{"b":null,"y":1E' || event_id || '}],"n":12345678901234567890123456789012345' || event_id
-       || ',"z":' || event_id || '.50}' AS canonical
+    "metadata_numbers": f"SELECT event_id, {_NUMBERS} AS canonical FROM events",
+    "json_batch_numbers": f"""
+SELECT event_id, pos, CASE WHEN pos <> 1 THEN 1 END::bigint AS collection_id, CASE WHEN pos <> 1 THEN 'a "metadata": 1.10,' END AS authz,
+       CASE WHEN pos <> 1 THEN 1.5 ELSE 0 END::double AS first, CASE WHEN pos <> 1 THEN {_NUMBERS} END AS metadata
+FROM events, range(3) t(pos)""",
+    "document_numbers": f"""
+SELECT event_id::varchar AS embedding_id,
+       '{{"vector":[1.5],"embedding_id":"' || event_id || '","info":{{"collection_id":1,"authz":"/p \\"x\\"","metadata":' || {_NUMBERS}
+       || ',"self":"/vectorstore/collections/c/embeddings/' || event_id || '"}}}}' AS document
 FROM events""",
     "batch_problems": f"""{_INGEST}
 SELECT pos, ['embedding has a value that cannot be stored', 'embedding has a value that cannot be stored',

@@ -5,6 +5,7 @@ The results hold what can be compared by value: rounded metric values, ids, text
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,7 +112,7 @@ def embedding_documents(spark, sf_dir):
     return documents.select(
         "embedding_id",
         F.size("document.vector").alias("dimensions"),
-        F.to_json("document.info").alias("info"),
+        search.info_json(F.col("document.info")).alias("info"),
     )
 
 
@@ -279,7 +280,7 @@ def search_documents(spark, sf_dir):
         "distance_metric",
         "value",
         F.size("embedding.vector").alias("dimensions"),
-        F.to_json("embedding.info").alias("info"),
+        search.info_json(F.col("embedding.info")).alias("info"),
     )
 
 
@@ -353,6 +354,37 @@ def search_ivf_all_probes(spark, sf_dir):
     return _rounded(cells.search_cells(spark, built, query_vector, allowed=fixtures.CALLER, probes=len(built.centroids)))
 
 
+_indexed: dict[tuple[str, str], VectorStore] = {}
+
+
+def _index(spark, sf_dir):
+    """A store whose first collection is laid out by cells around eight given vectors, and was put to since."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexed:
+        store = VectorStore(spark, scratch_path(spark, "indexed"))
+        known, rows = fixtures.collections(spark, sf_dir), fixtures.embeddings(spark, sf_dir).where("collection_id = 1")
+        late = F.xxhash64("embedding_id") % 3 == 0
+        store.tables.commit(known, rows.where(~late), [1])
+        middles = fixtures.table(spark, sf_dir, "embeddings").where("vec_id < 8").orderBy("vec_id").select("embedding").collect()
+        store.index_collection("c0", fixtures.CALLER, centroids=np.array([r.embedding for r in middles], np.float64))
+        store.add(rows.where(late))
+        _indexed[key] = store
+    return _indexed[key]
+
+
+@query
+def search_index_probes(spark, sf_dir):
+    """The two cells nearest to the query."""
+    query_vector = fixtures.query_vector(spark, sf_dir)
+    return _rounded(_index(spark, sf_dir).search_index("c0", query_vector, fixtures.CALLER, probes=2))
+
+
+@query
+def search_index_exact(spark, sf_dir):
+    query_vector = fixtures.query_vector(spark, sf_dir)
+    return _rounded(_index(spark, sf_dir).search_index("c0", query_vector, fixtures.CALLER, probes=None))
+
+
 @query
 def half_round_vectors(spark, sf_dir):
     rows = fixtures.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", half_round(F.col("embedding")).alias("half"))
@@ -664,8 +696,9 @@ def put_mixed(spark, sf_dir):
 def put_mixed_state(spark, sf_dir):
     """All rows after the mixed put, made from keys and the change table."""
     state, known = fixtures.embeddings(spark, sf_dir), fixtures.collections(spark, sf_dir)
+    state = state.withColumn("bucket", bucket_of(F.lit(8)))
     change = changes.put(state.select(*changes.KEYS), _mixed_batch(spark, sf_dir), known, fixtures.OWNER, BATCH, _now())
-    after = changes.rewritten(state.withColumn("bucket", bucket_of(F.lit(8))), change.changes.withColumn("bucket", bucket_of(F.lit(8))), _now())
+    after = changes.rewritten(state, change.changes, _now())
     return _state_rows(after.select(*EMBEDDINGS.names).unionByName(change.added))
 
 
@@ -696,15 +729,38 @@ def metadata_values(spark, sf_dir):
     )
 
 
-@query
-def metadata_numbers(spark, sf_dir):
-    """Metadata keeps decimals, exponents and long integers as they were written."""
+def _number_texts(spark, sf_dir):
+    """Metadata with decimals, exponents and long integers, one for each event."""
     key = F.col("event_id").cast("string")
     text = F.concat(
         F.lit('{ "z" : '), key, F.lit('.50, "a": [1e-400, -0.0, {"y": 1E'), key, F.lit(', "b": null}], "n": 12345678901234567890123456789012345'), key, F.lit("}")
     )
-    events = fixtures.table(spark, sf_dir, "events").select("event_id", text.alias("metadata"))
-    return events.select("event_id", canonical_json(F.col("metadata")).alias("canonical"))
+    return fixtures.table(spark, sf_dir, "events").select("event_id", text.alias("metadata"))
+
+
+@query
+def metadata_numbers(spark, sf_dir):
+    """Metadata keeps decimals, exponents and long integers as they were written."""
+    return _number_texts(spark, sf_dir).select("event_id", canonical_json(F.col("metadata")).alias("canonical"))
+
+
+@query
+def json_batch_numbers(spark, sf_dir):
+    """So it does in JSON documents of rows, between fields of any order."""
+    row = F.concat(F.lit('{"authz": "a \\"metadata\\": 1.10,", "metadata": '), F.col("metadata"), F.lit(', "embedding": [1.50, 2e0], "collection_id": 1}'))
+    document = F.concat(F.lit("[ "), row, F.lit(', {"embedding": [0]},'), row, F.lit("]"))
+    parsed = ingest.parse_json_batch(_number_texts(spark, sf_dir).select("event_id", document.alias("document")))
+    return parsed.select("event_id", "pos", "collection_id", "authz", F.element_at("embedding", 1).alias("first"), "metadata")
+
+
+@query
+def document_numbers(spark, sf_dir):
+    """And in the documents that answer a request."""
+    rows = _number_texts(spark, sf_dir).select(
+        F.col("event_id").cast("string").alias("embedding_id"), F.lit(1).cast("long").alias("collection_id"), F.lit("c").alias("collection_name"),
+        F.lit('/p "x"').alias("authz"), canonical_json(F.col("metadata")).alias("metadata"), F.array(F.lit(1.5)).alias("embedding"),
+    )
+    return reads.document_json(reads.embedding_documents(rows))
 
 
 @query

@@ -6,15 +6,16 @@ the update list, inserts the create list.
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecfold.functions.names import normalize_authz
-from vecfold.operators import access, catalog, changes, ingest, reads, search
+from vecfold.operators import access, catalog, changes, index, ingest, reads, search
 from vecfold.operators.access import Allowed
-from vecfold.schemas import DEFAULT_PAGE_SIZE, EMBEDDINGS, VectorType
+from vecfold.schemas import CONTENT_KEY, DEFAULT_PAGE_SIZE, DEFAULT_TOP_K, EMBEDDINGS, Metric, VectorType
 from vecfold.session import materialize
-from vecfold.sources.tables import Tables, bucket_count, bucket_of
+from vecfold.sources.tables import Tables, bucket_count
 
 
 class NotFound(Exception):
@@ -83,7 +84,7 @@ class VectorStore:
         return generation, known, prepared, self._keys(generation, touched), touched, named
 
     def _keys(self, generation: int, touched: Sequence[int]) -> DataFrame:
-        return self.tables.embeddings(generation, touched).select(*changes.KEYS)
+        return self.tables.bucketed(generation, touched).select(*changes.KEYS)
 
     def _commit(self, generation: int, touched: Sequence[int], change: changes.Change, now: Column, stream: tuple[str, int] | None = None) -> None:
         """Commit a change: appends its new rows and replaces the buckets of changed ones.
@@ -92,33 +93,104 @@ class VectorStore:
         the driver, a row per touched collection or bucket.
         """
         sizes = self.tables.sizes(touched, generation)
+        indexed = index.read_cells(self.tables.cells(touched, generation))
         more = {}
         if change.added_keys is not None:
             more = {r.collection_id: r["count"] for r in change.added_keys.groupBy("collection_id").count().collect()}
-        wanted = {i: bucket_count(sizes[i].rows + n, sizes[i].dimensions) for i, n in more.items()}
+        wanted = {i: bucket_count(sizes[i].rows + n, sizes[i].dimensions) for i, n in more.items() if i not in indexed}
         grown = [i for i, n in wanted.items() if sizes[i].buckets is None or n >= 4 * sizes[i].buckets]
         held = {i: size.buckets for i, size in sizes.items() if size.buckets is not None}
-        marked, pairs = self.spark.createDataFrame([], changes.MARKED), set()
-        if change.changes is not None and held:
-            known = F.broadcast(self.spark.createDataFrame(list(held.items()), "collection_id long, buckets int"))
-            marked = change.changes.join(known, "collection_id").withColumn("bucket", bucket_of(F.col("buckets"))).drop("buckets")
+        marked, pairs = change.changes, set()
+        if marked is not None:
             pairs = {(r.collection_id, r.bucket) for r in marked.select("collection_id", "bucket").distinct().collect()}
-        if pairs or more:
-            pairs |= {(i, b) for i, size in sizes.items() for b in size.many or ()}
-            pairs = sorted(p for p in pairs if p[0] not in grown)
-            in_grown = F.col("collection_id").isin(grown)
-            whole = kept = added = None
-            if grown:
-                whole = changes.rewritten(self.tables.bucketed(generation, grown), marked.where(in_grown), now).select(*EMBEDDINGS.names)
-                whole = whole.unionByName(change.added.where(in_grown))
-            if pairs:
-                kept = changes.rewritten(self.tables.bucketed(generation, buckets=pairs), marked, now)
-            if set(more) - set(grown):
-                added = change.added.where(~in_grown)
-            buckets = {**held, **{i: wanted[i] for i in grown}}
-            self.tables.commit(None, whole, grown, generation, buckets=buckets, added=added, replaced=pairs, kept=kept, stream=stream)
-        elif stream is not None:
-            self.tables.commit(expect=generation, stream=stream)
+        if not pairs and not more:
+            if stream is not None:
+                self.tables.commit(expect=generation, stream=stream)
+            return
+        marked = self.spark.createDataFrame([], changes.CHANGES) if marked is None else marked
+        pairs |= {(i, b) for i, size in sizes.items() for b in size.many or ()}
+        pairs = sorted(p for p in pairs if p[0] not in grown)
+        of = lambda ids: F.col("collection_id").isin(list(ids))
+        whole = kept = added = cells = None
+        if grown:
+            whole = changes.rewritten(self.tables.bucketed(generation, grown), marked.where(of(grown)), now).select(*EMBEDDINGS.names)
+            whole = whole.unionByName(change.added.where(of(grown)))
+        new = change.added.where(~of(grown)) if set(more) - set(grown) else None
+        if indexed:
+            # Rows with a new vector may change their cell: they leave their bucket and come anew.
+            moving = of(indexed) & F.col("new_embedding").isNotNull()
+            moved = changes.rewritten(self.tables.bucketed(generation, buckets=[p for p in pairs if p[0] in indexed]), marked.where(moving), now)
+            moved = moved.join(F.broadcast(marked.where(moving).select(*changes.ROW_ID)), changes.ROW_ID, "left_semi").select(*EMBEDDINGS.names)
+            marked = marked.withColumn("gone", F.col("gone") | moving)
+            placed = materialize(index.placed(moved if new is None else moved.unionByName(new.where(of(indexed))), indexed), "in-cells")
+            cells = index.widened(self.tables.cells(touched, generation), placed)
+            new = new.where(~of(indexed)) if set(more) - set(grown) - set(indexed) else None
+            added = placed.drop("radius")
+        if new is not None:
+            hashed = self.tables.with_bucket(new, {i: held[i] for i in more if i not in indexed and i not in grown})
+            added = hashed if added is None else added.unionByName(hashed)
+        if pairs:
+            kept = changes.rewritten(self.tables.bucketed(generation, buckets=pairs), marked, now)
+        buckets = {i: wanted[i] for i in grown}
+        self.tables.commit(None, whole, grown, generation, buckets=buckets, added=added, replaced=pairs, kept=kept, stream=stream, cells=cells)
+        if indexed:
+            self._split_cells(list(indexed))
+
+    # Indexes
+
+    def index_collection(
+        self, name: str, allowed: Allowed, metric: Metric | str = Metric.l2_distance, centroids: np.ndarray | None = None, cell_rows: int = index.CELL_ROWS
+    ) -> int:
+        """Lay a collection out by cells, in one commit; gives the number of cells.
+
+        From then on its rows lie in the bucket of the cell with the nearest centroid: puts place theirs,
+        cells that grow too large are split, and searches read the cells of their generation. Centroids are
+        trained on a sample unless given.
+        """
+        generation = self.tables.generation()
+        collection = self.collection(name, allowed, generation)
+        rows = self.tables.embeddings(generation, [collection.id])
+        built = index.build(rows, collection.id, metric, centroids, cell_rows)
+        if built is None:
+            raise search.BadRequest(f"collection {name} has no rows to index")
+        placed, cells = built
+        number = cells.count()
+        self.tables.commit(None, placed.drop("radius"), [collection.id], generation, buckets={collection.id: number}, cells=cells)
+        return number
+
+    def _split_cells(self, ids: Sequence[int]) -> None:
+        """Cut cells of too many rows in two, in a commit of its own."""
+        generation = self.tables.generation()
+        cells = self.tables.cells(ids, generation)
+        held = self.tables.pieces(generation).groupBy("id", "bucket").agg(F.sum("rows").alias("rows"))
+        full = cells.where("radius > 0").join(held.where(F.col("rows") > index.SPLIT_ROWS), ["id", "bucket"]).select("id", "bucket").collect()
+        if full:
+            pairs = [(r.id, r.bucket) for r in full]
+            placed, cells = index.split(self.tables.bucketed(generation, buckets=pairs), cells, pairs)
+            self.tables.commit(expect=generation, replaced=pairs, kept=placed.drop("radius"), cells=cells)
+
+    def search_index(
+        self, name: str, query: Sequence[float], allowed: Allowed, *, probes: int | None = index.PROBES, generation: int | None = None, **options
+    ) -> DataFrame:
+        """Search an indexed collection by the metric of its cells, as of now or of a generation.
+
+        With ``probes`` only so many cells nearest to the query are read, and the result is approximate;
+        with None it is exact, and cells that cannot hold a better row are not read.
+        """
+        generation = self.tables.generation() if generation is None else generation
+        collection = self.collection(name, allowed, generation)
+        cells = index.read_cells(self.tables.cells([collection.id], generation)).get(collection.id)
+        if cells is None:
+            raise search.BadRequest(f"collection {name} has no index")
+        options = {**options, "allowed": allowed, "metric": cells.space.metric}
+
+        def read(numbers: Sequence[int]) -> DataFrame:
+            rows = self.tables.embeddings(generation, buckets=[(collection.id, int(n)) for n in numbers])
+            return search.search_collection(rows, collection, query, **options)
+
+        return index.search(cells, query, read, probes, options.get("top_k", DEFAULT_TOP_K))
+
+    # Rows
 
     def insert(self, batch: DataFrame, allowed: Allowed, batch_id: str, now: Column | None = None) -> DataFrame:
         """All-or-nothing bulk insert; gives ``pos, embedding_id`` for every input position."""
@@ -159,6 +231,12 @@ class VectorStore:
             self._commit(generation, touched, change, now, stream)
         return change.result
 
+    def add(self, rows: DataFrame) -> None:
+        """Append rows of the table's form, for instance from another store; no caller's rights are asked."""
+        generation = self.tables.generation()
+        touched = [r.collection_id for r in rows.select("collection_id").distinct().collect()]
+        self._commit(generation, touched, changes.Change(added=rows, added_keys=rows.select(*CONTENT_KEY)), F.current_timestamp())
+
     def update(self, updates: DataFrame, allowed: Allowed, now: Column | None = None) -> int:
         """Partial updates by id (``pos, collection_id, embedding_id, embedding, metadata, authz``, null
         for what stays); gives the number of rows changed. All are made or none."""

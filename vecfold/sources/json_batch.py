@@ -8,8 +8,8 @@ from vecfold.schemas import JSON_BATCH_ROW
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per line; the schema is given, never inferred."""
-    return spark.read.schema(JSON_BATCH_ROW).json(path)
+    """One JSON object per line; the schema is given, never inferred, and metadata kept as written."""
+    return parse_json_batch(spark.read.text(path).withColumnRenamed("value", "document")).select(*JSON_BATCH_ROW.names)
 
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 Embeddings are partitioned by ``vector_type``, ``collection_id`` and ``bucket``, a hash of the id: the
 choice of precision and collection is partition pruning, and a change writes in proportion to itself.
+(In an indexed collection the bucket is the number of the cell whose centroid is nearest.)
 New rows are appended as files of a folder of their own; changed rows are replaced with their bucket,
 and only the touched buckets are read and written. A collection's buckets follow its size: once it has
 grown fourfold it is dealt out anew, which adds up to a constant per row.
@@ -30,6 +31,8 @@ CATALOG = T.StructType([*COLLECTIONS.fields, T.StructField("buckets", T.IntegerT
 # Rows of a bucket in a folder; ``written`` is the number of buckets of the collection there.
 PIECES = "id long, vector_type string, bucket int, folder string, rows long, written int"
 STREAMS = "stream string, batch long"
+# Cells of indexed collections, whose rows lie in the bucket of the nearest centroid.
+CELLS = "id long, bucket int, metric string, centroid array<double>, radius double"
 STORED = T.StructType([*EMBEDDINGS.fields, T.StructField("bucket", T.IntegerType())])
 
 # A pointer that is still empty after this time belongs to a writer that died.
@@ -124,6 +127,10 @@ class Tables:
     def pieces(self, generation: int | None = None) -> DataFrame:
         return self._part("pieces", PIECES, generation)
 
+    def cells(self, collections: Sequence[int], generation: int | None = None) -> DataFrame:
+        """The cells of those of the collections that are indexed."""
+        return self._part("cells", CELLS, generation).where(F.col("id").isin(list(collections)))
+
     def last_batch(self, stream: str, generation: int | None = None) -> int | None:
         """The last batch of a stream that a commit holds."""
         row = self._part("streams", STREAMS, generation).where(F.col("stream") == stream).first()
@@ -185,6 +192,7 @@ class Tables:
         replaced: Sequence[tuple[int, int]] = (),
         kept: DataFrame | None = None,
         stream: tuple[str, int] | None = None,
+        cells: DataFrame | None = None,
     ) -> int:
         """Store ``catalog``, if it changes, and a change of the rows, computed from generation ``expect``.
 
@@ -192,7 +200,8 @@ class Tables:
         buckets anew. ``added`` are further rows of collections that have buckets, ``kept`` (with their
         ``bucket``) what stays of the (collection, bucket) pairs in ``replaced``. ``buckets`` gives the number
         of buckets of collections with ``whole`` (counted if not given) or ``added`` rows. ``stream`` names a
-        batch that this commit makes part of the table.
+        batch that this commit makes part of the table. ``cells`` are the new cells of the collections
+        they name; rows that come with their ``bucket`` keep it.
         """
         current = self.generation()
         if expect is not None and expect != current:
@@ -211,7 +220,7 @@ class Tables:
         pieces = pieces.select("id", "vector_type", "bucket", "folder", "rows", "written")
         for rows, moved in ((whole, True), (added, True), (kept, False)):
             if rows is not None:
-                rows = self._with_bucket(rows, buckets) if moved else rows
+                rows = self.with_bucket(rows, buckets) if "bucket" not in rows.columns else rows
                 pieces = pieces.union(self._write_rows(rows, f"from-{current}", moved))
         changed = {}
         if catalog is not None or collection_ids:
@@ -221,6 +230,9 @@ class Tables:
         if stream is not None:
             others = self._part("streams", STREAMS, current).where(F.col("stream") != stream[0])
             changed["streams"] = others.union(self.spark.createDataFrame([stream], STREAMS))
+        if cells is not None:
+            others = self._part("cells", CELLS, current).join(cells.select("id").distinct(), "id", "left_anti")
+            changed["cells"] = others.unionByName(cells)
         for part, frame in changed.items():
             folders[part] = f"{part}-{current + 1}-{uuid.uuid4().hex}"
             frame.hint("rebalance").write.mode("errorifexists").parquet(f"{self.root}/catalog/{folders[part]}")
@@ -242,9 +254,9 @@ class Tables:
         sized = counts.join(catalog.where(F.col("id").isin(list(collection_ids))).select("id", "dimensions"), "id")
         return {r.id: bucket_count(r.rows, r.dimensions) for r in sized.collect()}
 
-    def _with_bucket(self, rows: DataFrame, buckets: dict[int, int]) -> DataFrame:
+    def with_bucket(self, rows: DataFrame, buckets: dict[int, int]) -> DataFrame:
         known = F.broadcast(self.spark.createDataFrame(list(buckets.items()), "collection_id long, buckets int"))
-        return rows.select(*EMBEDDINGS.names).join(known, "collection_id").withColumn("bucket", bucket_of(F.col("buckets")))
+        return rows.select(*EMBEDDINGS.names).join(known, "collection_id").withColumn("bucket", bucket_of(F.col("buckets"))).drop("buckets")
 
     def _write_rows(self, rows: DataFrame, name: str, moved: bool) -> DataFrame:
         """Write rows with their bucket; gives the pieces.
