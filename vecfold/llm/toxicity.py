@@ -110,13 +110,23 @@ def _vocabulary(sample: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["word"] for r in best], np.int64).view(np.uint64))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 3) -> Model:
-    """The model from labelled documents of the learning folds; conflicting labels of an id count as toxic."""
+def sampled(docs: DataFrame, labels: DataFrame, rows: int, seed: int) -> DataFrame:
+    """(doc_id, toxic, text) of at most ``rows`` labelled ids of the learning folds, one row an id.
+
+    Of several rows of an id the text with the least md5 counts; conflicting labels count as toxic.
+    """
     known = labels.where("toxic is not null and doc_id is not null").where(in_learning_folds(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     chosen = stored(known.orderBy(uniform(F.lit("toxic"), "doc_id"), "doc_id").limit(rows), "toxicity-labels")
     texts = within(docs.select("doc_id", "text"), chosen.select("doc_id"))
-    sample = stored(texts.join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
+    text = F.coalesce("text", F.lit(""))
+    one = texts.groupBy("doc_id").agg(F.min_by(text, F.md5(text)).alias("text"))
+    return stored(one.join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 3) -> Model:
+    """The model from a sample of labelled documents."""
+    sample = sampled(docs, labels, rows, seed)
     words = _vocabulary(sample)
     if not len(words):
         return Model(words, np.zeros(0), -50.0)
