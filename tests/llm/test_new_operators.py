@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import sys
+import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 from compare import compare, duck  # noqa: E402
 
-from vecfold.llm import batches, centroids, fingerprints, hard_negatives, queries  # noqa: E402
+from vecfold.llm import batches, centroids, fingerprints, hard_negatives, ngram_join, quality_rules, queries, sharding, toxicity  # noqa: E402
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -283,9 +284,61 @@ def test_boxes_bound_products():
     assert max(tree.end[n] - tree.first[n] for n in range(len(tree.lo)) if tree.leaf[n]) <= hard_negatives.LEAF_ROWS
 
 
+# Earlier operators
+
+
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_strings_that_a_polynomial_confuses_stay_apart(spark):
+    """Of 1,024 letters, with one hash modulo 2**64 whatever its base."""
+    one, other = thue_morse(1024)
+    data = np.frombuffer(f"{one} {other}".encode(), np.uint8)
+    rough = batches.part_hashes(batches.prefix_sums(data), np.array([0, 1025]), np.array([1024, 2049]))
+    sound = batches.apart_hashes(data, np.array([0, 1025]), np.array([1024, 2049]))
+    assert rough[0] == rough[1] and sound[0] != sound[1]
+    docs = spark.createDataFrame([(1, f"{one}\n{other}"), (2, f"{one}\n{one}"), (3, f"{other}\n{other}")], "doc_id long, text string")
+    assert {r.doc_id: r.counts.n_dup_lines for r in quality_rules.with_counts(docs).collect()} == {1: 0, 2: 1, 3: 1}
+    joined = ngram_join.near_duplicates(docs.select("doc_id", F.substring_index("text", "\n", 1).alias("text")), 4, 85)
+    assert {r.doc_id: r.component_id for r in joined.collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_toxicity_takes_one_row_of_an_id(spark):
+    ids = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 5][:5]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids] + [(ids[0], f"copy {n % 7}") for n in range(3000)] + [(ids[1], None)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i == ids[0])) for i in ids], "doc_id long, toxic int")
+    sample = toxicity.sampled(docs, labels, 100, 3).collect()
+    assert len(sample) == 5 and sorted(r.doc_id for r in sample) == ids
+    texts = [f"text {ids[0]}"] + [f"copy {n}" for n in range(7)]
+    assert {r.doc_id: r.text for r in sample}[ids[0]] == min(texts, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+
+
+def test_lines_of_the_matrix_are_its_own(spark):
+    rows = np.random.default_rng(4).integers(0, 40, 37).tolist()
+    matrix, sizes = sharding.communication_matrix(rows, 5, 9)
+    assert [sum(line) for line in matrix] == rows and [sum(c) for c in zip(*matrix)] == sizes
+    alone = sharding.Matrix(np.concatenate([[0], np.cumsum(rows)]), 5, 9)
+    assert all(list(alone.line(b)) == matrix[b] for b in (36, 0, 17))
+
+
+def test_sharding_equals_its_columns(spark, sf_dir):
+    """Sizes, checksums and slots of op1 against plain Python."""
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.op1_sharding(spark, sf_dir).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in rows} == {i: (len(t) + 1, zlib.crc32(t)) for i, t in docs.items()}
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 # Whole tables
 
 
-@pytest.mark.parametrize("name", ["op12_centroid_clustering", "op13_hard_negatives"])
+@pytest.mark.parametrize("name", ["op2_mixing", "op12_centroid_clustering", "op13_hard_negatives"])
 def test_queries_equal_sql(spark, sf_dir, name):
     assert compare(queries.QUERIES[name](spark, sf_dir), duck(sf_dir), queries.SQL[name]) is None

@@ -1,6 +1,5 @@
 """The queries of the operators, each over its whole tables, and their SQL."""
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +41,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(documents(spark, sf_dir), length=400)
+    return repeats.without_repeats(documents(spark, sf_dir), length=400).withColumn("has_repeat", F.col("n_removed") > 0)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +49,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    return token_counts.token_counts(documents(spark, sf_dir), vocabulary or public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.token_counts(documents(spark, sf_dir), vocabulary, limit=512)
 
 
 def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,15 +94,19 @@ SQL: dict[str, str] = {
         WITH sizes AS (SELECT source, sum(coalesce(strlen(text), 0) + 1)::DOUBLE AS size FROM documents GROUP BY source
         ), weights AS (SELECT source, size, pow(size, 0.7) AS weight FROM sizes
         ), rates AS (
-            SELECT source, round(least(weight * (SELECT sum(size) FROM weights) / ((SELECT sum(weight) FROM weights) * size), 24.0), 9) AS rate FROM weights
+            SELECT source, rate, greatest(ceil(rate / 24.0), 1)::BIGINT AS draws FROM (
+                SELECT source, round(weight * (SELECT sum(size) FROM weights) / ((SELECT sum(weight) FROM weights) * size), 9) AS rate FROM weights)
         ), terms AS (
             SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS upto
-            FROM (SELECT source, k, exp(-rate + CASE WHEN k > 0 THEN k * ln(rate) ELSE 0 END - lgamma(k + 1)) AS p FROM rates, range(0, 65) t(k))
+            FROM (SELECT source, k, exp(-(rate / draws) + CASE WHEN k > 0 THEN k * ln(rate / draws) ELSE 0 END - lgamma(k + 1)) AS p FROM rates, range(0, 65) t(k))
         ), drawn AS (
-            SELECT doc_id, source, lang, text, ('0x' || substr(md5('copies 1' || chr(1) || coalesce(doc_id::VARCHAR, chr(0)) || chr(1) || coalesce(source, chr(0))), 1, 13))::BIGINT
-                / 4503599627370496.0 AS u FROM documents
+            SELECT rowid AS row, doc_id, source, lang, text, ('0x' || substr(md5(CASE WHEN draws = 1 THEN 'copies 1' ELSE 'copies 1 draw' || chr(1) || draw END
+                || chr(1) || coalesce(doc_id::VARCHAR, chr(0)) || chr(1) || coalesce(source, chr(0))), 1, 13))::BIGINT / 4503599627370496.0 AS u
+            FROM (SELECT d.*, r.draws, unnest(range(1, r.draws + 1)) AS draw FROM (SELECT row_number() OVER () AS rowid, * FROM documents) d JOIN rates r ON r.source IS NOT DISTINCT FROM d.source)
         ), counted AS (
-            SELECT d.doc_id, d.source, d.lang, d.text, (SELECT count(*) FROM terms t WHERE t.source IS NOT DISTINCT FROM d.source AND t.upto <= d.u) AS copies FROM drawn d
+            SELECT doc_id, source, lang, text, sum(n)::BIGINT AS copies FROM (
+                SELECT d.*, (SELECT count(*) FROM terms t WHERE t.source IS NOT DISTINCT FROM d.source AND t.upto <= d.u) AS n FROM drawn d)
+            GROUP BY row, doc_id, source, lang, text
         )
         SELECT doc_id, source, lang, unnest(range(1, copies + 1))::INTEGER AS copy, strlen(text)::BIGINT AS n_bytes FROM counted WHERE copies > 0
     """,
