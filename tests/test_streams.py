@@ -135,8 +135,9 @@ def test_all_minutes_come_out(spark, sf_dir, tmp_path):
 
 
 def test_file_manifest(spark, tmp_path):
-    (tmp_path / "sub").mkdir()
-    contents = {"a.bin": b"abc", "sub/b.bin": b"x" * 5000, "sub/empty": b"", "with space.bin": b"y" * 300}
+    (tmp_path / "sub/more/and more").mkdir(parents=True)
+    (tmp_path / "hollow").mkdir()
+    contents = {"a.bin": b"abc", "sub/b.bin": b"x" * 5000, "sub/empty": b"", "with space%.bin": b"y" * 300, ".hidden": b"h", "sub/more/and more/ü#?": b"z"}
     for name, data in contents.items():
         (tmp_path / name).write_bytes(data)
     for limit in (100, 10**6):
@@ -146,3 +147,14 @@ def test_file_manifest(spark, tmp_path):
             assert rows[name].size == len(data)
             assert rows[name].commit_id == hashlib.sha256(data).hexdigest()
             assert rows[name].etag == hashlib.md5(data).hexdigest()
+    assert manifest.file_manifest(spark, str(tmp_path / "hollow")).count() == 0
+    listed = {unquote(r.path.split(f"{tmp_path.name}/")[1]): r.size for r in manifest.list_files(spark, str(tmp_path)).collect()}
+    assert listed == {name: len(data) for name, data in contents.items()}
+
+
+def test_blocks_give_the_digest_of_the_whole(spark, tmp_path, monkeypatch):
+    data = bytes(range(256)) * 1000
+    (tmp_path / "big").write_bytes(data)
+    monkeypatch.setattr(manifest, "BLOCK_BYTES", 1000)
+    row = manifest.file_manifest(spark, str(tmp_path)).first()
+    assert (row.size, row.commit_id) == (len(data), hashlib.sha256(data).hexdigest())

@@ -193,6 +193,12 @@ FROM emb""",
     "embedding_documents": f"{_ROWS} SELECT embedding_id, 64 AS dimensions, {_INFO} AS info FROM emb",
     "content_manifest": """
 SELECT url AS path, strlen(html) AS size, sha256(html) AS commit_id, md5(html) AS etag FROM pages""",
+    "file_manifest": """
+WITH files AS (
+  SELECT 'a=' || page_id % 5 || '/b=' || page_id % 20 AS folder,
+         string_agg(coalesce(html, '') || chr(10), '' ORDER BY page_id) AS content
+  FROM pages GROUP BY page_id % 5, page_id % 20)
+SELECT folder, strlen(content) AS size, sha256(content) AS commit_id, md5(content) AS etag FROM files""",
     "embedding_by_id": f"""{_ROWS}
 SELECT collection_id, embedding_id, authz, metadata FROM seen WHERE vec_id = 1""",
     "embeddings_by_ids": f"""{_ROWS}, {_REQUESTS}
@@ -526,6 +532,9 @@ SELECT u.collection_id, u.authz, u.metadata, round(list_sum(e.v), 6) AS vector_s
 FROM uniq u JOIN emb e ON e.vec_id = u.first_pos // 2""",
     "stream_deltas": """
 SELECT 'r-' || conv_id || '-' || turn AS response_id, text FROM conversations""",
+    "stream_replies": """
+SELECT 'r-' || conv_id || '-' || turn AS response_id, (1 + turn % 2)::int AS round, coalesce(text, '') AS text
+FROM conversations""",
     "stream_requests_by_minute": f"""{_with(_LOG)}, minutes AS (
   SELECT date_trunc('minute', ts) AS minute_start, status_code FROM log)
 SELECT minute_start, status_code, count(*) AS requests FROM minutes

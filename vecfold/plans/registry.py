@@ -20,6 +20,7 @@ from vecfold.sources.tables import bucket_of
 from vecfold.plans.store import VectorStore
 from vecfold.streaming import counter, put
 from vecfold.streaming import deltas as delta_stream
+from vecfold.streaming.replies import ReplyLog
 from vecfold.streaming.files import read_table_stream, run_available, to_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +122,17 @@ def content_manifest(spark, sf_dir):
     return manifest.content_manifest(fixtures.table(spark, sf_dir, "pages"), "url", F.col("html"))
 
 
+@query
+def file_manifest(spark, sf_dir):
+    """The pages written to files in folders of folders, and the manifest of these files."""
+    root, page = scratch_path(spark, "pages"), F.col("page_id")
+    pages = fixtures.table(spark, sf_dir, "pages").select((page % 5).alias("a"), (page % 20).alias("b"), "page_id", F.coalesce("html", F.lit("")).alias("html"))
+    lines = pages.repartition("a", "b").sortWithinPartitions("a", "b", "page_id").select("a", "b", "html")
+    lines.write.partitionBy("a", "b").option("lineSep", "\n").text(root)
+    files = manifest.file_manifest(spark, root).where(~F.col("path").contains("/_") & ~F.col("path").contains("/."))
+    return files.select(F.regexp_extract("path", "/(a=[0-9]+/b=[0-9]+)/", 1).alias("folder"), "size", "commit_id", "etag")
+
+
 # Filters, policy and catalog visibility
 
 
@@ -979,6 +991,21 @@ def stream_deltas(spark, sf_dir):
     return delta_stream.assemble_closed(spark.read.parquet(path)).select("response_id", "text")
 
 
+@query
+def stream_replies(spark, sf_dir):
+    """Replies closed in two rounds; the first chunk of odd turns comes with the second."""
+    chunks = fixtures.chunks_of(fixtures.conversations(spark, sf_dir))
+    late = F.split("response_id", "-")[2].cast("long") % 2 * F.when(F.col("seq") == 0, 1).otherwise(0)
+    folder, progress = scratch_path(spark, "arriving"), scratch_path(spark, "replies-progress")
+    log = ReplyLog(spark, scratch_path(spark, "replies"))
+    for part in (0, 1):
+        chunks.where(late == part).write.parquet(f"{folder}/part={part}")
+        arriving = spark.readStream.schema(chunks.schema).parquet(f"{folder}/part=*")
+        run_available(log.append(arriving), progress)
+        log.close()
+    return log.closed().select("response_id", "round", "text")
+
+
 @query
 def stream_requests_by_minute(spark, sf_dir):
     log = fixtures.request_log_of(_as_stream(spark, sf_dir, "events"))
