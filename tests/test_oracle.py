@@ -15,7 +15,7 @@ def connection(sf_dir):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"search_ivf_probes"}
+    assert set(QUERIES) - set(SQL) == {"search_codes", "search_ivf_probes"}
 
 
 def test_entry_points_offer_all_queries():

@@ -264,6 +264,8 @@ placed AS (SELECT seen.*, cell FROM seen, mids WHERE collection_id = 1
 probed AS (SELECT cell FROM mids, q ORDER BY list_distance(m, q), cell LIMIT 2)
 SELECT collection_id, embedding_id, round(list_distance(v, q), 6) AS "value" FROM placed JOIN probed USING (cell), q
 ORDER BY list_distance(v, q), embedding_id LIMIT 10""",
+    "search_codes_all": _search("l2", "vector_type = 'vector'"),
+    "search_codes_exact": _search("l2", "vector_type = 'vector'"),
     "search_ivf": _search("l2", "vector_type = 'vector'"),
     "search_ivf_all_probes": _search("l2", "vector_type = 'vector'"),
     "half_round_vectors": f"""

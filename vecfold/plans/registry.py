@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vecfold.functions.content import canonical_json, hash_uuid, metadata_value
 from vecfold.functions.names import authz_is_valid, normalize_authz, normalize_name, strip
 from vecfold.functions.vectors import half_round
-from vecfold.operators import access, catalog, cells, changes, deltas, ingest, knn, models, pruned, reads, requests, responses, search
+from vecfold.operators import access, catalog, cells, changes, codes, deltas, ingest, knn, models, pruned, reads, requests, responses, search
 from vecfold.schemas import EMBEDDINGS, Metric
 from vecfold.session import materialize, scratch_path
 from vecfold.sources import fixtures, manifest, synthetic
@@ -366,6 +366,39 @@ def search_ivf_all_probes(spark, sf_dir):
     return _rounded(cells.search_cells(spark, built, query_vector, allowed=fixtures.CALLER, probes=len(built.centroids)))
 
 
+_coded: dict[tuple[str, str], codes.Codes] = {}
+
+
+def _codes(spark, sf_dir):
+    """The single-precision rows with codes of 16 bytes for 64 numbers."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _coded:
+        rows = fixtures.embeddings(spark, sf_dir).where("vector_type = 'vector'")
+        rows = rows.select("collection_id", "embedding_id", "embedding", "authz", "metadata")
+        _coded[key] = codes.build_codes(rows, 16, scratch_path(spark, "codes"))
+    return _coded[key]
+
+
+@query
+def search_codes(spark, sf_dir):
+    """The 200 rows of least estimate, ranked exactly."""
+    query_vector = fixtures.query_vector(spark, sf_dir)
+    return _rounded(codes.search_codes(spark, _codes(spark, sf_dir), query_vector, allowed=fixtures.CALLER, rerank=200))
+
+
+@query
+def search_codes_exact(spark, sf_dir):
+    query_vector = fixtures.query_vector(spark, sf_dir)
+    return _rounded(codes.search_codes_exact(spark, _codes(spark, sf_dir), query_vector, allowed=fixtures.CALLER))
+
+
+@query
+def search_codes_all(spark, sf_dir):
+    """With all rows re-ranked the approximate search is exact."""
+    query_vector = fixtures.query_vector(spark, sf_dir)
+    return _rounded(codes.search_codes(spark, _codes(spark, sf_dir), query_vector, allowed=fixtures.CALLER, rerank=None))
+
+
 _indexed: dict[tuple[str, str], VectorStore] = {}
 
 
