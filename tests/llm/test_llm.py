@@ -1,6 +1,7 @@
 """The training-data operators against plain Python, on tables with nulls, empty and long texts, copies and clashes."""
 
 import hashlib
+import time
 import sys
 from collections import Counter
 from pathlib import Path
@@ -305,6 +306,27 @@ def test_contamination_equals_brute_force(odd, items, empty):
     assert decontamination.contamination(odd, items.limit(0)).where("n_hit > 0 or contaminated").count() == 0
 
 
+def test_repetitive_texts_and_equal_items(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(["buy", "now"] * 100), " ".join(rng.choice(["a", "b", "c"], 200)), "buy " * 13, "a b", "", None, "now"]
+    items = [(str(i), " ".join(["buy", "now"] * 20)) for i in range(5)] + [("5", "buy"), ("6", "a b"), ("7", texts[1]), (None, "now buy now"), ("9", "buy " * 20), ("1", "b c")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in decontamination.contamination(docs, spark.createDataFrame(items, "item_id string, text string")).collect():
+        n, hit, ids = brute.contamination(texts[r.doc_id], items)
+        ids = sorted({i for i in ids if i not in (None, "None")})
+        assert tuple(r)[1:4] == (n, hit, len(ids)) and r.items_sha256 == hashlib.sha256(",".join(ids).encode()).hexdigest()
+
+
+def test_hits_of_equal_items_do_not_multiply(spark):
+    text = " ".join(["buy", "now", "cheap"] * 70)
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    items = spark.range(50).select(F.col("id").alias("item_id"), F.lit(text).alias("text"))
+    start = time.perf_counter()
+    rows = decontamination.contamination(docs, items).groupBy("n_words", "n_hit", "n_items", "contaminated").count().collect()
+    assert [tuple(r) for r in rows] == [(210, 210, 50, True, 2000)]
+    assert time.perf_counter() - start < 60
+
+
 def test_cleaning_keeps_whole_rows(strange, items):
     kept = decontamination.clean(strange, items)
     assert kept.columns == strange.columns

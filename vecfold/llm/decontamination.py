@@ -1,15 +1,17 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
 ``build_index`` stores one posting (term, document, position) for every word of the documents that
-is a benchmark term, and one end mark per document. ``phrase_hits`` takes each window of 13 item
-words from its rarest term on: postings of that term give alignments of item and document, which the
-second rarest term's postings thin out; only what is left looks at all terms of the item. Frequent
-terms are never joined by themselves.
+is a benchmark term, and one end mark per document. Windows of 13 item words are told apart by their words: a
+window that many items hold, or one item many times, is looked for once. ``phrase_hits`` intersects the lists
+of a window's two rarest terms, adjusted by their offsets; windows that share this pair share the intersection,
+and only places that have both terms look at the other words. Frequent terms are never joined by
+themselves. ``proximity_hits`` finds windows whose words stand near their places.
 
 A word is a run of ASCII letters (lower-cased), digits and characters beyond ASCII. An item of fewer
 than 13 words, but not none, is one window. Null texts have no words. Every row of documents is a
 document of its own, also when ids repeat or are null; hits of items without id count, but are not
-listed. Items that repeat an id are one item. Extra columns are ignored.
+listed. Items that repeat an id are one item. Extra columns are ignored. Empty documents give no rows, an empty
+benchmark no hits. Very long texts are rows like any other: they are unfolded to words before anything is joined.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,71 +55,79 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def windows(placed: DataFrame, frequencies: DataFrame, length: int) -> DataFrame:
-    """(item, start, n_terms, terms): each window's distinct terms with an offset, rarest first.
+def windows(placed: DataFrame, frequencies: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: (window, terms), each distinct window's words as (frequency, offset, term) rarest first,
+    and (window, item, item_id).
 
     Windows with a term that no document has are left out.
     """
     starts = F.explode(F.sequence(F.greatest(F.lit(0), F.col("offset") - length + 1), F.least(F.col("offset"), F.greatest(F.lit(0), F.col("n") - length))))
-    within = placed.select("item", "n", "offset", "term", starts.alias("start")).join(frequencies, "term", "left")
-    rarest = F.array_sort(F.collect_list(F.struct("frequency", "offset", "term")))
-    grouped = within.groupBy("item", "start").agg(rarest.alias("terms"), F.count(F.lit(1)).alias("of"), F.count("frequency").alias("known"))
-    return grouped.where(F.col("of") == F.col("known")).select("item", "start", "terms")
+    within = placed.select("item", "item_id", "offset", "term", starts.alias("start")).join(frequencies, "term", "left")
+    content = F.sort_array(F.collect_list(F.struct("frequency", (F.col("offset") - F.col("start")).alias("offset"), "term")))
+    grouped = within.groupBy("item", "item_id", "start").agg(content.alias("terms"), F.count(F.lit(1)).alias("of"), F.count("frequency").alias("known"))
+    held = stored(grouped.where(F.col("of") == F.col("known")).select("item", "item_id", "terms").distinct(), "windows")
+    spans = stored(held.select("terms").distinct().select(F.monotonically_increasing_id().alias("window"), "terms"), "distinct-windows")
+    return spans, stored(held.join(small(spans), "terms").select("window", "item", "item_id"), "window-items")
 
 
 def alignments(postings: DataFrame, spans: DataFrame) -> DataFrame:
-    """(item, doc, shift): shift is where the item's first word would stand. From the two rarest terms."""
+    """(window, doc, shift): places where a window's two rarest terms stand as in the window; shift is its first word's."""
     first, second = F.col("terms")[0], F.try_element_at(F.col("terms"), F.lit(2))
     seeds = stored(
         spans.select(
-            "item", first["term"].alias("term"), first["offset"].alias("offset"), second["term"].alias("term2"), second["offset"].alias("offset2")
-        ).distinct(),
+            "window", first["term"].alias("term"), first["offset"].alias("offset"),
+            second["term"].alias("term2"), (second["offset"] - first["offset"]).alias("apart"),
+        ),
         "seeds",
     )
-    found = postings.join(small(seeds), "term").select(
-        "item", "doc", (F.col("position") - F.col("offset")).alias("shift"), "term2", (F.col("position") - F.col("offset") + F.col("offset2")).alias("position2")
-    )
-    found = stored(found, "seed-hits")
-    second_terms = small(stored(seeds.where("term2 is not null").select(F.col("term2")).distinct(), "second-terms"))
-    second_postings = postings.join(second_terms, F.col("term") == F.col("term2"), "left_semi").select(F.col("term").alias("term2"), "doc", F.col("position").alias("position2"))
-    both = found.where("term2 is not null").join(second_postings, ["term2", "doc", "position2"], "left_semi")
-    alone = found.where("term2 is null")
-    return stored(both.select("item", "doc", "shift").union(alone.select("item", "doc", "shift")).distinct(), "alignments")
-
-
-def phrase_hits(postings: DataFrame, placed: DataFrame, length: int = WINDOW) -> DataFrame:
-    """(doc, item, first, last): maximal runs of document words inside occurrences of an item's windows."""
-    frequencies = stored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("frequency")), "frequencies")
-    spans = stored(windows(placed, frequencies, length), "windows")
-    aligned = alignments(postings, spans)
-    needed = aligned.join(placed, "item").select("term", "doc", (F.col("shift") + F.col("offset")).alias("position"), "item", "shift", "offset", "n")
-    needed = stored(needed.where("position >= 0"), "needed")
+    pairs = stored(seeds.where("term2 is not null").select("term", "term2", "apart").distinct(), "pairs")
+    found = postings.join(small(pairs), "term").select("term", "term2", "apart", "doc", "position", (F.col("position") + F.col("apart")).alias("position2"))
+    seconds = small(stored(pairs.select("term2").distinct(), "second-terms"))
+    others = postings.join(seconds, F.col("term") == F.col("term2"), "left_semi").select(F.col("term").alias("term2"), "doc", F.col("position").alias("position2"))
+    both = stored(found.join(others, ["term2", "doc", "position2"], "left_semi").select("term", "term2", "apart", "doc", "position"), "pair-hits")
+    shift = (F.col("position") - F.col("offset")).alias("shift")
+    aligned = both.join(small(seeds), ["term", "term2", "apart"]).select("window", "doc", shift)
+    alone = postings.join(small(seeds.where("term2 is null").select("window", "term", "offset")), "term").select("window", "doc", shift)
+    return stored(aligned.union(alone), "alignments")
+
+
+def phrase_hits(postings: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc, window, first, last): occurrences of windows."""
+    size = F.size("terms")
+    known = small(spans.select("window", size.alias("n"), F.slice("terms", 3, F.greatest(size, F.lit(1))).alias("rest")))
+    aligned = alignments(postings, spans).join(known, "window")
+    needed = aligned.where("n > 2").select("doc", "window", "shift", "n", F.explode("rest").alias("word"))
+    needed = needed.select("doc", "window", "shift", "n", F.col("word.term").alias("term"), (F.col("shift") + F.col("word.offset")).alias("position"))
+    needed = stored(needed, "needed")
     matched = postings.select("term", "doc", "position").join(small(needed), ["term", "doc", "position"])
-    along = Window.partitionBy("doc", "item", "shift").orderBy("offset")
-    runs = matched.withColumn("run", F.col("offset") - F.row_number().over(along)).groupBy("doc", "item", "shift", "n", "run").agg(
-        F.min("position").alias("first"), F.max("position").alias("last")
-    )
-    return runs.where(F.col("last") - F.col("first") + 1 >= F.least(F.lit(length), F.col("n"))).select("doc", "item", "first", "last")
+    whole = matched.groupBy("doc", "window", "shift", "n").agg(F.count(F.lit(1)).alias("there")).where("there = n - 2")
+    hits = whole.select("doc", "window", "shift", "n").union(aligned.where("n <= 2").select("doc", "window", "shift", "n"))
+    return hits.select("doc", "window", F.col("shift").alias("first"), (F.col("shift") + F.col("n") - 1).alias("last"))
 
 
 def proximity_hits(postings: DataFrame, placed: DataFrame, length: int = WINDOW, slack: int = 3) -> DataFrame:
-    """(doc, item, start, shift): windows all of whose words stand within ``slack`` words of their place.
+    """(doc, item, item_id, shift): windows all of whose words stand within ``slack`` words of their place.
 
-    Places follow from the window's rarest term. Positions meet in bins of slack + 1 words.
+    Places follow from the window's rarest term; the second rarest thins them out before all words are looked at.
+    Positions meet in bins of slack + 1 words.
     """
     frequencies = stored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("frequency")), "frequencies")
-    spans = stored(windows(placed, frequencies, length), "windows")
-    first = F.col("terms")[0]
-    seeds = spans.select("item", "start", F.size("terms").alias("of"), first["term"].alias("term"), first["offset"].alias("offset"), F.col("terms").alias("rest"))
-    found = postings.join(seeds, "term").select("item", "start", "of", "doc", (F.col("position") - F.col("offset")).alias("shift"), F.explode("rest").alias("word"))
-    step = slack + 1
-    found = found.select("item", "start", "of", "doc", "shift", F.col("word")["term"].alias("term"), F.col("word")["offset"].alias("offset"))
-    place = F.col("shift") + F.col("offset")
-    found = found.withColumn("bin", F.explode(F.array(*[F.floor(place / step) + d for d in (-1, 0, 1)])))
-    near = found.join(postings.select("term", "doc", "position", F.floor(F.col("position") / step).alias("bin")), ["term", "doc", "bin"])
-    near = near.where(F.abs(F.col("position") - F.col("shift") - F.col("offset")) <= slack)
-    whole = near.groupBy("doc", "item", "start", "shift", "of").agg(F.countDistinct("offset").alias("there"))
-    return whole.where(F.col("there") == F.col("of")).select("doc", "item", "start", "shift")
+    spans, of_items = windows(placed, frequencies, length)
+    first, step = F.col("terms")[0], slack + 1
+    seeds = stored(spans.select("window", first["term"].alias("term"), first["offset"].alias("offset")), "seeds")
+    found = postings.join(small(seeds), "term").select("window", "doc", (F.col("position") - F.col("offset")).alias("shift"))
+    binned = postings.select("term", "doc", "position", F.floor(F.col("position") / step).alias("bin"))
+
+    def near(places: DataFrame, words: Column, name: str) -> DataFrame:
+        wanted = small(stored(spans.select("window", F.size(words).alias("of"), F.inline(words)), f"{name}-words"))
+        places = places.join(wanted, "window").select("window", "doc", "shift", "of", "term", "offset", (F.col("shift") + F.col("offset")).alias("place"))
+        places = places.withColumn("bin", F.explode(F.array(*[F.floor(F.col("place") / step) + d for d in (-1, 0, 1)])))
+        close = places.join(binned, ["term", "doc", "bin"]).where(F.abs(F.col("position") - F.col("place")) <= slack)
+        whole = close.groupBy("doc", "window", "shift", "of").agg(F.countDistinct("offset").alias("there"))
+        return stored(whole.where("there = of").select("window", "doc", "shift"), name)
+
+    thin = near(found, F.slice("terms", 2, 1), "near-pairs").union(found.join(small(spans.where(F.size("terms") == 1).select("window")), "window"))
+    return near(thin, F.col("terms"), "near").join(small(of_items), "window").select("doc", "item", "item_id", "shift").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -126,18 +136,30 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     Contaminated: at least one word of twenty lies inside an occurrence of a window.
     """
     terms, placed = item_terms(items)
-    postings = build_index(docs, terms)
-    hits = stored(phrase_hits(postings.where("not is_end"), placed), "hits")
-    positions = hits.select("doc", F.explode(F.sequence("first", "last")).alias("position")).distinct()
-    counted = positions.groupBy("doc").agg(F.count(F.lit(1)).alias("n_hit"))
-    named = hits.select("doc", "item").distinct().join(placed.select("item", "item_id").distinct(), "item").groupBy("doc").agg(F.collect_set("item_id").alias("ids"))
-    ends = postings.where("is_end").select("doc", "doc_id", F.col("position").cast("long").alias("n_words"))
-    found = stored(counted.join(named, "doc"), "found")
-    rows = ends.join(small(found), "doc", "left")
-    n_hit, ids = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("ids", F.array().cast("array<string>"))
-    return rows.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort(ids)), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+    index = build_index(docs, terms)
+    postings = index.where("not is_end")
+    frequencies = stored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("frequency")), "frequencies")
+    spans, of_items = windows(placed, frequencies, WINDOW)
+    hits = stored(phrase_hits(postings, spans), "hits")
+    # Words of an occurrence that no earlier one in the document holds.
+    earlier = Window.partitionBy("doc").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.coalesce(F.max("last").over(earlier), F.lit(-1))
+    new = F.greatest(F.col("last") - F.greatest(upto, F.col("first") - 1), F.lit(0))
+    counted = hits.select("doc", "first", "last").distinct().select("doc", new.alias("new")).groupBy("doc").agg(F.sum("new").cast("long").alias("n_hit"))
+    named = hits.select("doc", "window").distinct().join(small(of_items), "window").groupBy("doc").agg(F.collect_set("item_id").alias("ids"))
+
+    def digest(ids: Column) -> Column:
+        return F.sha2(F.concat_ws(",", F.array_sort(ids)), 256)
+
+    # Only counts and digests of lists go on.
+    listed = named.select("doc", F.size("ids").cast("long").alias("n_items"), digest(F.col("ids")).alias("items_sha256"))
+    found = stored(counted.join(listed, "doc"), "found")
+    ends = index.where("is_end").select("doc", "doc_id", F.col("position").cast("long").alias("n_words"))
+    n_hit, none = F.coalesce("n_hit", F.lit(0).cast("long")), F.lit(0).cast("long")
+    return ends.join(small(found), "doc", "left").select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", none).alias("n_items"),
+        F.coalesce("items_sha256", digest(F.array().cast("array<string>"))).alias("items_sha256"),
+        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
