@@ -99,7 +99,10 @@ def phrase_hits(postings: DataFrame, spans: DataFrame) -> DataFrame:
     needed = aligned.where("n > 2").select("doc", "window", "shift", "n", F.explode("rest").alias("word"))
     needed = needed.select("doc", "window", "shift", "n", F.col("word.term").alias("term"), (F.col("shift") + F.col("word.offset")).alias("position"))
     needed = stored(needed, "needed")
-    matched = postings.select("term", "doc", "position").join(small(needed), ["term", "doc", "position"])
+    # Only documents with an alignment move their postings.
+    looked_at = stored(needed.select("doc").distinct(), "documents-looked-at")
+    open_postings = postings.join(small(looked_at), "doc", "left_semi").select("term", "doc", "position")
+    matched = open_postings.join(needed.hint("merge"), ["term", "doc", "position"])
     whole = matched.groupBy("doc", "window", "shift", "n").agg(F.count(F.lit(1)).alias("there")).where("there = n - 2")
     hits = whole.select("doc", "window", "shift", "n").union(aligned.where("n <= 2").select("doc", "window", "shift", "n"))
     return hits.select("doc", "window", F.col("shift").alias("first"), (F.col("shift") + F.col("n") - 1).alias("last"))
