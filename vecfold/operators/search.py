@@ -16,6 +16,7 @@ from vecfold.functions.content import json_with, metadata_fields
 from vecfold.functions.names import collection_path, embedding_path, normalize_name, split_names
 from vecfold.functions.vectors import distance_to, half_query
 from vecfold.operators.access import Allowed, visible
+from vecfold.operators.fields import column_matches
 from vecfold.schemas import DEFAULT_TOP_K, Metric, VectorType
 
 
@@ -42,17 +43,22 @@ def check_query(query: Sequence[float], dimensions: int | None = None) -> list[f
     return [float(v) for v in query]
 
 
-def metadata_filter(filters: Mapping[str, str] | None) -> Column:
-    """All fields equal as text; a missing field or JSON null never matches."""
+def metadata_filter(filters: Mapping[str, str] | None, stored_fields: Sequence[str] = ()) -> Column:
+    """All fields equal as text; a missing field or JSON null never matches.
+
+    ``stored_fields`` have a column of their own in the rows, which the reader can filter by.
+    """
+    filters = dict(filters or {})
+    by_column = [column_matches(key, filters.pop(key)) for key in list(filters) if key in stored_fields and isinstance(filters[key], str)]
     if not filters:
-        return F.lit(True)
+        return reduce(operator.and_, by_column, F.lit(True))
 
     def matches(fields: Column) -> Column:
         conditions = [F.element_at(fields, F.lit(key)) == F.lit(wanted) for key, wanted in filters.items()]
         return reduce(operator.and_, conditions)
 
     # As the element of an array the metadata is parsed once for all fields.
-    return F.exists(F.array(metadata_fields(F.col("metadata"))), matches)
+    return reduce(operator.and_, by_column, F.exists(F.array(metadata_fields(F.col("metadata"))), matches))
 
 
 def value_bounds(min_value: float | None, max_value: float | None) -> Column:
@@ -85,14 +91,16 @@ def search_rows(
     max_value: float | None = None,
     columns: Sequence[str] = (),
     kernel: str = "auto",
+    stored_fields: Sequence[str] = (),
 ) -> DataFrame:
     """The best ``top_k`` visible rows as ``collection_id, embedding_id, value`` and ``columns``.
 
     ``rows`` must hold vectors of the query's length; ties go to the smaller embedding id.
+    ``stored_fields`` are the metadata fields that have a column in ``rows``.
     """
     scored = (
         visible(rows, allowed)
-        .where(metadata_filter(filters))
+        .where(metadata_filter(filters, stored_fields))
         .select(
             "collection_id",
             "embedding_id",

@@ -237,6 +237,13 @@ WHERE origin IN (SELECT origin FROM origins WHERE origin LIKE 'https%' GROUP BY
         columns="collection_name,",
         query=_HALF_QUERY,
     ),
+    "stored_search_filtered": _search("cosine", "collection_id = 1 AND metadata ->> '$.source' = 'src3'"),
+    "stored_search_all_filtered": _search(
+        "l2",
+        "vector_type = 'halfvec' AND label < 7 AND metadata ->> '$.source' = 'src5'",
+        columns="collection_name,",
+        query=_HALF_QUERY,
+    ),
     "search_hit_collections": f"""
 SELECT DISTINCT collection_id AS id, collection_name, '/vectorstore/collections/' || collection_name AS self
 FROM ({_search("cosine", _ACROSS, columns="collection_name,")})""",

@@ -538,6 +538,38 @@ def stored_search_all(spark, sf_dir):
     return _rounded(hits)
 
 
+_fielded: dict[tuple[str, str], VectorStore] = {}
+
+
+def _with_fields(spark, sf_dir):
+    """A store with frequent metadata fields as columns: all files of c0 have them, of other collections only the later ones."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _fielded:
+        store = VectorStore(spark, scratch_path(spark, "fields"))
+        known, rows = fixtures.collections(spark, sf_dir), fixtures.embeddings(spark, sf_dir)
+        late = F.xxhash64("embedding_id") % 3 == 0
+        store.tables.commit(known, rows.where(~late), [row.id for row in known.select("id").collect()])
+        store.store_fields(["c0"], fixtures.CALLER)
+        store.add(rows.where(late))
+        _fielded[key] = store
+    return _fielded[key]
+
+
+@query
+def stored_search_filtered(spark, sf_dir):
+    """A metadata filter that the reader gets as a filter on the field's column."""
+    query_vector = fixtures.query_vector(spark, sf_dir)
+    return _rounded(_with_fields(spark, sf_dir).search("c0", query_vector, fixtures.CALLER, filters={"source": "src3"}))
+
+
+@query
+def stored_search_all_filtered(spark, sf_dir):
+    """The same across collections, whose older files have no such column."""
+    query_vector = fixtures.query_vector(spark, sf_dir)
+    options = {"vector_type": "halfvec", "metric": "l2_distance", "filters": {"source": "src5"}}
+    return _rounded(_with_fields(spark, sf_dir).search_all(query_vector, fixtures.CALLER, **options))
+
+
 @query
 def stored_bulk_read(spark, sf_dir):
     """Requested rows of one stored collection in order, with their vectors as bytes."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecfold.functions.names import normalize_authz
-from vecfold.operators import access, catalog, changes, index, ingest, reads, search
+from vecfold.operators import access, catalog, changes, fields, index, ingest, reads, search
 from vecfold.operators.access import Allowed
 from vecfold.schemas import CONTENT_KEY, DEFAULT_PAGE_SIZE, DEFAULT_TOP_K, EMBEDDINGS, Metric, VectorType
 from vecfold.session import materialize
@@ -136,6 +136,31 @@ class VectorStore:
         if indexed:
             self._split_cells(list(indexed))
 
+    # Metadata columns
+
+    def store_fields(self, names: Sequence[str], allowed: Allowed, chosen: Sequence[str] | None = None) -> list[str]:
+        """Store metadata fields as columns too; gives all that the table now has.
+
+        Without ``chosen`` the frequent fields of the collections in ``names`` are taken, as many as fit. Those collections
+        are written anew at once, without an exchange; others get the columns as changes write their
+        buckets. Searches give the same rows before and after.
+        """
+        generation = self.tables.generation()
+        ids = sorted({self.collection(name, allowed, generation).id for name in names})
+        rows = self.tables.bucketed(generation, ids)
+        held = self.tables.fields(generation)
+        if chosen is None:
+            taken = {field.lower() for field in held}
+            chosen = [f for f in fields.frequent_fields(rows) if f.lower() not in taken][: fields.MAX_FIELDS - len(held)]
+        every = fields.checked([*held, *chosen])
+        buckets = {i: size.buckets for i, size in self.tables.sizes(ids, generation).items() if size.buckets is not None}
+        self.tables.commit(None, None, sorted(buckets), generation, buckets=buckets, kept=rows if buckets else None, fields=every)
+        return every
+
+    def _fields_asked(self, filters, generation: int) -> list[str]:
+        """Those fields of a filter that have a column."""
+        return [f for f in self.tables.fields(generation) if f in filters] if filters else []
+
     # Indexes
 
     def index_collection(
@@ -182,10 +207,11 @@ class VectorStore:
         cells = index.read_cells(self.tables.cells([collection.id], generation)).get(collection.id)
         if cells is None:
             raise search.BadRequest(f"collection {name} has no index")
-        options = {**options, "allowed": allowed, "metric": cells.space.metric}
+        asked = self._fields_asked(options.get("filters"), generation)
+        options = {**options, "allowed": allowed, "metric": cells.space.metric, "stored_fields": asked}
 
         def read(numbers: Sequence[int]) -> DataFrame:
-            rows = self.tables.embeddings(generation, buckets=[(collection.id, int(n)) for n in numbers])
+            rows = self.tables.embeddings(generation, buckets=[(collection.id, int(n)) for n in numbers], fields=asked)
             return search.search_collection(rows, collection, query, **options)
 
         return index.search(cells, query, read, probes, options.get("top_k", DEFAULT_TOP_K))
@@ -272,8 +298,9 @@ class VectorStore:
     def search(self, name: str, query: Sequence[float], allowed: Allowed, **options) -> DataFrame:
         generation = self.tables.generation()
         collection = self.collection(name, allowed, generation)
+        asked = self._fields_asked(options.get("filters"), generation)
         return search.search_collection(
-            self.tables.embeddings(generation, [collection.id]), collection, query, allowed=allowed, **options
+            self.tables.embeddings(generation, [collection.id], fields=asked), collection, query, allowed=allowed, stored_fields=asked, **options
         )
 
     def search_all(
@@ -303,8 +330,9 @@ class VectorStore:
             search.check_eligible(known, vector_type, dimensions)
         # The folders of eligible collections only.
         eligible = search.eligible_collections(known, vector_type, dimensions)
+        asked = self._fields_asked(options.get("filters"), generation)
         return search.search_across(
-            self.tables.embeddings(generation, eligible), known, query, vector_type=vector_type, allowed=allowed, **options
+            self.tables.embeddings(generation, eligible, fields=asked), known, query, vector_type=vector_type, allowed=allowed, stored_fields=asked, **options
         )
 
     def read_ordered(self, name: str, ids: Sequence[str] | DataFrame, allowed: Allowed) -> DataFrame:

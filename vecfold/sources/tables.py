@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecfold.operators.fields import column_name, stored_value
 from vecfold.schemas import COLLECTIONS, EMBEDDINGS
 
 # The catalog as stored: its rows plus the number of buckets of each collection (null if it has no rows).
@@ -33,6 +34,8 @@ PIECES = "id long, vector_type string, bucket int, folder string, rows long, wri
 STREAMS = "stream string, batch long"
 # Cells of indexed collections, whose rows lie in the bucket of the nearest centroid.
 CELLS = "id long, bucket int, metric string, centroid array<double>, radius double"
+# Metadata fields that have a column of their own in what is written from then on.
+FIELDS = "field string"
 STORED = T.StructType([*EMBEDDINGS.fields, T.StructField("bucket", T.IntegerType())])
 
 # A pointer that is still empty after this time belongs to a writer that died.
@@ -44,6 +47,8 @@ FEW_BUCKETS = 512
 BUCKET_BYTES = 64 * 1024 * 1024
 # A bucket in so many folders is put together when its collection is next written.
 MERGED_PIECES = 16
+# With fields as columns files are sorted by them, and a bucket's file has several row groups to choose from.
+ROW_GROUP_BYTES = 8 * 1024 * 1024
 
 
 def bucket_count(rows: int, dimensions: int) -> int:
@@ -135,22 +140,36 @@ class Tables:
         """The last batch of a stream that a commit holds."""
         row = self._part("streams", STREAMS, generation).where(F.col("stream") == stream).first()
         return None if row is None else row.batch
+
+    def fields(self, generation: int | None = None) -> list[str]:
+        """The metadata fields stored as columns too."""
+        generation = self.generation() if generation is None else generation
+        if "fields" not in self._folders(generation):
+            return []
+        return sorted(row.field for row in self._part("fields", FIELDS, generation).collect())
+
     def collections(self, generation: int | None = None) -> DataFrame:
         """The catalog, as of now or of a generation read before."""
         return self.catalog(generation).select(*COLLECTIONS.names)
 
     def embeddings(
-        self, generation: int | None = None, collections: Sequence[int] | DataFrame | None = None, buckets: Sequence[tuple[int, int]] | None = None
+        self,
+        generation: int | None = None,
+        collections: Sequence[int] | DataFrame | None = None,
+        buckets: Sequence[tuple[int, int]] | None = None,
+        fields: Sequence[str] = (),
     ) -> DataFrame:
         """Rows of both precisions, of all collections, those with an id among ``collections`` (ids, or a
         frame with ``id``), or those of (collection, bucket) pairs; further filters prune partitions.
+        ``fields`` are metadata fields whose columns come too.
 
         A row per collection and folder comes to the driver, of the collections asked for.
         """
-        return self.bucketed(generation, collections, buckets).select(*EMBEDDINGS.names)
+        return self.bucketed(generation, collections, buckets, fields).select(*EMBEDDINGS.names, *map(column_name, fields))
 
-    def bucketed(self, generation=None, collections=None, buckets=None) -> DataFrame:
+    def bucketed(self, generation=None, collections=None, buckets=None, fields=()) -> DataFrame:
         """The same with ``bucket``."""
+        schema = T.StructType([*STORED.fields, *[T.StructField(column_name(f), T.StringType()) for f in fields]])
         pieces = self.pieces(generation)
         if isinstance(collections, DataFrame):
             pieces = pieces.join(collections.select("id"), "id", "left_semi")
@@ -165,8 +184,8 @@ class Tables:
             of_collection = f"{base}/folder={r.folder}/vector_type={r.vector_type}/collection_id={r.id}"
             paths += [of_collection] if r.buckets is None else [f"{of_collection}/bucket={b}" for b in r.buckets]
         if not paths:
-            return self.spark.createDataFrame([], STORED)
-        return self.spark.read.schema(STORED).option("basePath", base).parquet(*paths).select(*STORED.names)
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*paths).select(*schema.names)
 
     def _pairs(self, buckets: Sequence[tuple[int, int]]) -> DataFrame:
         return F.broadcast(self.spark.createDataFrame(list(buckets), "id long, bucket int"))
@@ -193,6 +212,7 @@ class Tables:
         kept: DataFrame | None = None,
         stream: tuple[str, int] | None = None,
         cells: DataFrame | None = None,
+        fields: Sequence[str] | None = None,
     ) -> int:
         """Store ``catalog``, if it changes, and a change of the rows, computed from generation ``expect``.
 
@@ -201,7 +221,8 @@ class Tables:
         ``bucket``) what stays of the (collection, bucket) pairs in ``replaced``. ``buckets`` gives the number
         of buckets of collections with ``whole`` (counted if not given) or ``added`` rows. ``stream`` names a
         batch that this commit makes part of the table. ``cells`` are the new cells of the collections
-        they name; rows that come with their ``bucket`` keep it.
+        they name; rows that come with their ``bucket`` keep it. ``fields`` are the metadata fields that
+        have a column in what this and later commits write.
         """
         current = self.generation()
         if expect is not None and expect != current:
@@ -218,10 +239,11 @@ class Tables:
         if replaced:
             pieces = pieces.join(self._pairs(replaced), ["id", "bucket"], "left_anti")
         pieces = pieces.select("id", "vector_type", "bucket", "folder", "rows", "written")
+        as_columns = self.fields(current) if fields is None else fields
         for rows, moved in ((whole, True), (added, True), (kept, False)):
             if rows is not None:
                 rows = self.with_bucket(rows, buckets) if "bucket" not in rows.columns else rows
-                pieces = pieces.union(self._write_rows(rows, f"from-{current}", moved))
+                pieces = pieces.union(self._write_rows(rows, f"from-{current}", moved, as_columns))
         changed = {}
         if catalog is not None or collection_ids:
             changed["collections"] = self._listed(listed, known, collection_ids, buckets or {})
@@ -233,6 +255,8 @@ class Tables:
         if cells is not None:
             others = self._part("cells", CELLS, current).join(cells.select("id").distinct(), "id", "left_anti")
             changed["cells"] = others.unionByName(cells)
+        if fields is not None:
+            changed["fields"] = self.spark.createDataFrame([(f,) for f in fields], FIELDS)
         for part, frame in changed.items():
             folders[part] = f"{part}-{current + 1}-{uuid.uuid4().hex}"
             frame.hint("rebalance").write.mode("errorifexists").parquet(f"{self.root}/catalog/{folders[part]}")
@@ -258,12 +282,12 @@ class Tables:
         known = F.broadcast(self.spark.createDataFrame(list(buckets.items()), "collection_id long, buckets int"))
         return rows.select(*EMBEDDINGS.names).join(known, "collection_id").withColumn("bucket", bucket_of(F.col("buckets"))).drop("buckets")
 
-    def _write_rows(self, rows: DataFrame, name: str, moved: bool) -> DataFrame:
+    def _write_rows(self, rows: DataFrame, name: str, moved: bool, fields: Sequence[str] = ()) -> DataFrame:
         """Write rows with their bucket; gives the pieces.
 
         New rows are rebalanced, which gives a small collection one file and splits large buckets. What is
         kept of stored buckets is written by the tasks that read it, without an exchange. The order
-        within files lets readers skip row groups by authz and id.
+        within files lets readers skip row groups by authz, ``fields`` and id.
         """
         name = f"{name}-{uuid.uuid4().hex}"
         target = f"{self.root}/embeddings/folder={name}"
@@ -271,7 +295,12 @@ class Tables:
         rows = rows.select(*STORED.names)
         if moved:
             rows = rows.hint("rebalance", *[F.col(c) for c in partitions])
-        rows.sortWithinPartitions(*partitions, "authz", "embedding_id").write.mode("errorifexists").partitionBy(*partitions).parquet(target)
+        columns = [column_name(f) for f in fields]
+        rows = rows.select("*", *[stored_value(F.col("metadata"), f).alias(c) for f, c in zip(fields, columns)])
+        writer = rows.sortWithinPartitions(*partitions, "authz", *columns, "embedding_id").write.mode("errorifexists").partitionBy(*partitions)
+        if fields:
+            writer = writer.option("parquet.block.size", ROW_GROUP_BYTES)
+        writer.parquet(target)
         written = self.spark.read.schema(STORED).parquet(target).groupBy(F.col("collection_id").alias("id"), "vector_type", "bucket").agg(F.count(F.lit(1)).alias("rows"))
         of_collection = written.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("written"))
         return written.join(of_collection, "id").select("id", "vector_type", "bucket", F.lit(name).alias("folder"), "rows", "written")
