@@ -119,9 +119,11 @@ def test_documents(rows, catalog):
     hits = search.search_across(
         rows, catalog, [1.0, 0.2], allowed=["/p"], top_k=2, metric="l2_distance", columns=["authz", "metadata", "embedding"]
     )
-    full = search.search_documents(hits, "l2_distance").select(F.to_json("embedding.info").alias("info")).collect()
+    # Metadata goes into the document as the text that is stored.
+    full = search.search_documents(hits, "l2_distance").select(search.info_json(F.col("embedding.info")).alias("info"), "embedding.info.metadata").collect()
+    assert full[0].metadata == '{"kind":"x","n":1,"a.b":"dot"}'
     assert full[0].info == (
-        '{"collection_id":1,"authz":"/p","metadata":{"a.b":"dot","kind":"x","n":1},'
+        '{"collection_id":1,"authz":"/p","metadata":{"kind":"x","n":1,"a.b":"dot"},'
         '"self":"/vectorstore/collections/one/embeddings/a"}'
     )
     bare = search.search_documents(hits, "l2_distance", exclude_info=True)
