@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vecfold.operators import ingest, skew
+from vecfold.operators import ingest, search, skew
 
 
 @pytest.fixture()
@@ -52,3 +52,19 @@ def test_fan_out_of_a_hot_copy(spark, small_hot):
     fanned = ingest.fan_out(prepared, ingest.unique_keys(prepared), ["first_pos", "copies"])
     assert fanned.count() == 30_000
     assert fanned.where("copies > 1").agg(F.min("copies"), F.max("first_pos"), F.count("pos")).first() == (10_000, 0, 10_000)
+
+
+def test_hot_and_missing_names_resolve(spark, monkeypatch):
+    known = spark.createDataFrame([(1, "one"), (2, "two")], "id long, collection_name string")
+    lists = ["one"] * 6 + ["one, TWO", "a b, one", "", None, "three,one", "é,é,é"]
+    requests = spark.createDataFrame(list(enumerate(lists)), "request_id long, collections string")
+
+    def resolved():
+        return sorted((r.request_id, r.pos, r.entry, r.collection_id or 0) for r in search.resolve_names(requests, known).collect())
+
+    plain = resolved()
+    assert [r[3] for r in plain if r[0] < 7] == [1] * 7 + [2]
+    # Malformed and unknown entries stay, without a collection.
+    assert [(r[0], r[3]) for r in plain if r[0] in (7, 10)] == [(7, 0), (7, 1), (10, 0), (10, 1)]
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
+    assert resolved() == plain

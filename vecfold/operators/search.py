@@ -17,6 +17,7 @@ from vecfold.functions.names import collection_path, embedding_path, normalize_n
 from vecfold.functions.vectors import distance_to, half_query
 from vecfold.operators.access import Allowed, visible
 from vecfold.operators.fields import column_matches
+from vecfold.operators.skew import lookup_join
 from vecfold.schemas import DEFAULT_TOP_K, Metric, VectorType
 
 
@@ -185,7 +186,10 @@ def resolve_names(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     entries = requests.select("request_id", F.posexplode(split_names(F.col("collections"))).alias("pos", "entry"))
     entries = entries.withColumn("collection_name", normalize_name(F.col("entry")))
     known = catalog.select(F.col("id").alias("collection_id"), "collection_name")
-    return entries.join(known, "collection_name", "left").select("request_id", "pos", "entry", "collection_id")
+    # Malformed entries have no name and meet nothing; a name that very many requests ask for is looked up where they are.
+    named = lookup_join(entries.where("collection_name is not null"), known, ["collection_name"], "left")
+    unnamed = entries.where("collection_name is null").withColumn("collection_id", F.lit(None).cast("long"))
+    return named.unionByName(unnamed).select("request_id", "pos", "entry", "collection_id")
 
 
 def rejected_requests(resolved: DataFrame) -> DataFrame:
