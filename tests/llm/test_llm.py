@@ -147,6 +147,16 @@ def test_small_batches_of_buckets(odd, monkeypatch):
     assert [got[i] for i in range(len(got))] == brute.removed(odd_texts(), 400)
 
 
+def test_repeated_words_are_no_long_repeats(spark):
+    """Words said many times put suffixes at unequal distances from equal anchors into one bucket."""
+    said = [("Of", 28), ("are", 29), ("erernd", 26), ("erndble", 26), ("eresnd", 26), ("thertiin", 26), ("to", 19), ("thineation", 26)]
+    texts = [" ".join(" ".join([word] * n) for word, n in said[i:]) + "\nWas ntonti theron thlyly." for i in range(3)]
+    texts += [" ".join([word] * (3 * n)) for word, n in said] + [" ".join(" ".join([word] * n) for word, n in reversed(said))]
+    for some in (texts[:1], texts):
+        got = {r.doc_id: tuple(r)[1:] for r in repeats.without_repeats(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect()}
+        assert [got[i] for i in range(len(got))] == brute.removed(some, 400)
+
+
 # Quality, tokens
 
 

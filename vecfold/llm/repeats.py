@@ -186,8 +186,10 @@ def repeated_suffixes(parts: list[bytes], n: np.ndarray, distance: np.ndarray, l
     ranks = _ranks(text, length)
     words = np.ndarray((len(text) - 7,), "<u8", text.data, strides=(1,))
     place = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    # The sample covers whole steps from less than STEP bytes on; the last STEP bytes complete it.
-    keys = batches.mix(words[place]) + words[place + 8]
+    # The sample covers whole steps from less than STEP bytes on; the last STEP bytes complete it. How many
+    # bytes on is part of the key: at unequal distances equal ranks stand for different bytes of the suffix.
+    keys = batches.mix((place % STEP).astype(np.uint64) + np.uint64(1)) ^ words[place]
+    keys = batches.mix(keys) + words[place + 8]
     keys = batches.mix(keys) + ranks[(place + STEP - 1) // STEP]
     keys = batches.mix(keys) + words[place + length - STEP]
     keys = batches.mix(keys) + words[place + length - STEP + 8]
