@@ -585,7 +585,7 @@ def stored_read_any(spark, sf_dir):
     documents, _ = store.read_any(fixtures.id_requests(spark, sf_dir), fixtures.CALLER)
     document = F.col("document")
     return documents.select(
-        "input_index", "embedding_id", document["precision"].alias("precision"), F.length(document["vector"]).alias("encoded_length"),
+        "input_index", "embedding_id", document["precision"].alias("precision"), F.length(document["vector_base64"]).alias("encoded_length"),
         document["info"]["authz"].alias("authz"),
     )
 
