@@ -6,6 +6,7 @@ from urllib.parse import unquote
 from pyspark.sql import functions as F
 
 from vecfold.operators import deltas
+from vecfold.plans.registry import QUERIES
 from vecfold.plans.store import VectorStore
 from vecfold.session import scratch_path
 from vecfold.sources import fixtures, manifest
@@ -158,3 +159,14 @@ def test_blocks_give_the_digest_of_the_whole(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(manifest, "BLOCK_BYTES", 1000)
     row = manifest.file_manifest(spark, str(tmp_path)).first()
     assert (row.size, row.commit_id) == (len(data), hashlib.sha256(data).hexdigest())
+
+
+def test_tables_of_several_files_are_streamed_whole(spark, sf_dir, tmp_path):
+    """A table may be one file or a folder of files."""
+    for name in ("conversations", "embeddings"):
+        rows = fixtures.table(spark, sf_dir, name)
+        rows.limit(40).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+        whole = read_table_stream(spark, str(tmp_path), f"{name}.parquet", fixtures.SCHEMAS[name])
+        assert to_table(whole, f"whole-{name}").count() == 40
+    want = fixtures.table(spark, str(tmp_path), "conversations").selectExpr("concat_ws('-', 'r', conv_id, turn)", "text").collect()
+    assert sorted(map(tuple, QUERIES["stream_deltas"](spark, str(tmp_path)).collect())) == sorted(map(tuple, want))

@@ -7,8 +7,9 @@ from vecfold.session import scratch_path
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """New files called ``name`` below ``folder``."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """New files of the table ``name`` in ``folder``: the file of that name, or all files of the folder of that name."""
+    # A stream takes one file only by a pattern; this one matches the name alone.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
 
 
 def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
