@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecfold.operators import knn, pruned
+from vecfold.operators import knn, pruned, spaces
 from vecfold.operators.spaces import Space
 from vecfold.schemas import Metric
 
@@ -75,3 +75,20 @@ def test_reach_holds_every_better_vector(metric):
         for worst in np.quantile(values, [0.05, 0.5, 0.95]):
             better = values <= worst if metric.ascending else values >= worst
             assert (far[better] <= space.reach(np.array([worst]), q[i : i + 1])[0]).all()
+
+
+def test_many_centroids_cost_the_driver_a_row_each(spark):
+    """No round sends the driver all pairs of centroids (a task a centroid); each centroid is near its points' mean."""
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(900, 4)).round(6)
+    rows = spark.createDataFrame([(f"v{i}", p.tolist()) for i, p in enumerate(points)], "embedding_id string, embedding array<double>").repartition(3)
+    spark.sparkContext.setJobGroup("many-centroids", "")
+    space = spaces.Space(Metric.l2_distance, 1.0)
+    centroids = spaces.trained_centroids(rows, space, 150, 900)
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("many-centroids") for s in status.getJobInfo(j).stageIds]
+    assert centroids.shape == (150, 4) and max(s.numTasks for s in stages if s) < 150
+    spread = spaces.distances(points, centroids).min(axis=1).mean()
+    assert spread < 0.9 * spaces.distances(points, points[:150]).min(axis=1)[150:].mean()
+    again = spaces.trained_centroids(rows, space, 150, 900)
+    assert np.allclose(np.sort(centroids[:, 0]), np.sort(again[:, 0]))

@@ -11,12 +11,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecfold.functions.vectors import as_matrix
 from vecfold.schemas import Metric
+from vecfold.session import materialize
+
+# Spark's KMeans sends the distances of all pairs of many centroids to the driver in every round.
+KMEANS_CELLS = 100
+ROUNDS = 10
+SAMPLE_PARTS = 32
 
 COSINE = (Metric.cosine_distance, Metric.cosine_similarity)
 
@@ -106,8 +113,37 @@ def trained_centroids(rows: DataFrame, space: Space, cells: int, sample_rows: in
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(space.vectors(as_matrix(batch.column("embedding")))), pa.list_(pa.float64()))], ["point"])
 
-    points = sample.mapInArrow(to_points, "point array<double>").select(array_to_vector("point").alias("features"))
-    return np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(points).clusterCenters(), dtype=np.float64)
+    points = sample.mapInArrow(to_points, "point array<double>")
+    if cells > KMEANS_CELLS:
+        return _moved_centroids(materialize(points.repartition(SAMPLE_PARTS), "points"), cells, seed)
+    points = points.select(array_to_vector("point").alias("features"))
+    return np.array(KMeans(k=cells, seed=seed, maxIter=ROUNDS).fit(points).clusterCenters(), dtype=np.float64)
+
+
+def _moved_centroids(points: DataFrame, cells: int, seed: int) -> np.ndarray:
+    """Centroids of stored points (``point``) from different ones chosen by a hash, moved to the means of theirs in each round.
+
+    Means are taken in Spark; the driver gets a row a cell and round.
+    """
+    first = points.distinct().orderBy(F.xxhash64("point", F.lit(seed)), "point").limit(cells).toArrow()
+    centroids = as_matrix(first.column("point").combine_chunks())
+    for _ in range(ROUNDS):
+        placed = points.mapInArrow(_nearest(centroids), "cell int, point array<double>").select("cell", array_to_vector("point").alias("features"))
+        means = placed.groupBy("cell").agg(vector_to_array(Summarizer.mean(F.col("features"))).alias("mean")).toArrow()  # a row a cell
+        centroids = centroids.copy()
+        centroids[means.column("cell").to_numpy()] = as_matrix(means.column("mean").combine_chunks())
+    return centroids
+
+
+def _nearest(centroids: np.ndarray):
+    def assign(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batch_iter:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.column("point").slice(at, 1024)
+                cell = distances(as_matrix(part), centroids).argmin(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), part], ["cell", "point"])
+
+    return assign
 
 
 def in_cells(rows: DataFrame, space: Space, centroids: np.ndarray, of_queries: bool = False) -> DataFrame:
