@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -156,3 +157,31 @@ def test_cells_with_a_filter_that_leaves_fewer_than_k(spark, rows, points):
     assert cells.search_cells_exact(spark, built, query, **options).count() == rows.count()
     text = cells.search_cells(spark, built, query, allowed=["/p"], probes=1)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*cell#", text)
+
+
+def test_many_queries_are_merged_block_by_block(monkeypatch):
+    """Lists of many queries: those of one merge, and memory that does not hold all of them in a merge."""
+    rng = np.random.default_rng(8)
+    queries = rng.normal(size=(12_000, 4)).astype(np.float32)
+    parts = [(np.array([f"{i:036d}" for i in range(at, at + 500)], dtype=object), rng.normal(size=(500, 4))) for at in (0, 500)]
+    peaks, found = [], []
+    monkeypatch.setattr(knn, "QUERIES_AT_ONCE", 1_000)
+    for kind in (knn.BestPerQuery, knn.BestInBlocks):
+        best = kind(Metric.cosine_similarity, 10, np.arange(12_000), queries, None, None)
+        tracemalloc.start()
+        for ids, vectors in parts:
+            best.add(ids, vectors)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        batches = [best.batch()] if kind is knn.BestPerQuery else list(best.batches())
+        found.append([tuple(r.values()) for b in batches for r in b.to_pylist()])
+    assert found[0] == found[1] and len(found[0]) == 120_000
+    assert peaks[1] < peaks[0] / 4
+
+
+@pytest.mark.parametrize("grid", [False, True])
+def test_lists_of_blocks_equal_one_by_one(rows, queries, monkeypatch, grid):
+    monkeypatch.setattr(knn, "QUERIES_AT_ONCE", 3)
+    monkeypatch.setattr(knn, "ROWS_AT_ONCE", 50)
+    expected = one_by_one(rows, queries, Metric.cosine_similarity, 4)
+    assert lists(knn_batch(rows, queries, top_k=4, **(GRID if grid else {}))) == expected

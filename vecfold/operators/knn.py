@@ -30,6 +30,10 @@ SEEDED_FROM = 1_000
 VECTORS_AT_ONCE = 4_096
 PAIRS_AT_ONCE = 400_000
 NUMBERS_AT_ONCE = 65_536
+# Queries whose neighbour lists are merged at once: what a merge holds does not grow with the queries.
+QUERIES_AT_ONCE = 4_096
+# Rows of a block of vectors turned into double precision at once.
+ROWS_AT_ONCE = 32_768
 
 # Unit roundoff of float32, in which pairs are preselected.
 SINGLE = 2.0**-24
@@ -62,6 +66,7 @@ class BestPerQuery:
     """
 
     def __init__(self, metric, k, query_ids, queries, min_value, max_value, known_values=None):
+        queries = queries.astype(np.float64, copy=False)
         self.metric, self.k = metric, k
         self.query_ids, self.queries = query_ids, queries
         self.lo = -np.inf if min_value is None else min_value
@@ -205,10 +210,47 @@ class BestPerQuery:
         )
 
 
+class BestInBlocks:
+    """The same for many queries, block by block; queries of single precision stay so but for one block."""
+
+    def __init__(self, metric, k, query_ids, queries, min_value, max_value, known_values=None):
+        self.options = (metric, k)
+        self.bounds = (min_value, max_value)
+        self.query_ids, self.queries, self.known = query_ids, queries, known_values
+        self.kept = {}
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        if not len(ids):
+            return
+        for start in range(0, len(self.queries), QUERIES_AT_ONCE):
+            best = self._block(start)
+            best.add(ids, vectors)
+            self.kept[start] = (best.cut, best.which.astype(np.int32), best.values, best.ids)
+
+    def _block(self, start: int) -> BestPerQuery:
+        block = slice(start, start + QUERIES_AT_ONCE)
+        known = None if self.known is None else self.known[block]
+        best = BestPerQuery(*self.options, self.query_ids[block], self.queries[block], *self.bounds, known)
+        if start in self.kept:
+            best.cut, which, best.values, best.ids = self.kept[start]
+            best.which = which.astype(np.int64)
+        return best
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for start in range(0, max(1, len(self.queries)), QUERIES_AT_ONCE):
+            yield self._block(start).batch()
+
+
 def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=object)
 
 
+def _as_stored(vectors: pa.Array) -> np.ndarray:
+    """As ``as_matrix``, in single precision where the numbers are."""
+    matrix = as_matrix(vectors)
+    return matrix.astype(np.float32) if pa.types.is_float32(vectors.type.value_type) else matrix
+
+
 def _compare_with_all(
     vectors: DataFrame, query_table: pa.Table, metric: Metric, k: int, bounds: tuple, known_values=None
 ) -> DataFrame:
@@ -216,17 +258,17 @@ def _compare_with_all(
     shared = vectors.sparkSession.sparkContext.broadcast(
         (
             query_table.column("query_id").to_numpy(),
-            as_matrix(query_table.column("embedding").combine_chunks()),
+            _as_stored(query_table.column("embedding").combine_chunks()),
             known_values,
         )
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries, known = shared.value
-        best = BestPerQuery(metric, k, query_ids, queries, *bounds, known)
+        best = BestInBlocks(metric, k, query_ids, queries, *bounds, known)
         for batch in batches:
             best.add(_ids(batch.column("embedding_id")), as_matrix(batch.column("embedding")))
-        yield best.batch()
+        yield from best.batches()
 
     return vectors.select("embedding_id", "embedding").mapInArrow(compare, NEIGHBOURS)
 
@@ -257,10 +299,12 @@ def _compare_in_grid(
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         query_ids = right.column("query_id").to_numpy()
-        best = BestPerQuery(metric, k, query_ids, as_matrix(right.column("embedding").combine_chunks()), *bounds)
-        if left.num_rows and right.num_rows:
-            best.add(_ids(left.column("embedding_id")), as_matrix(left.column("embedding").combine_chunks()))
-        return pa.Table.from_batches([best.batch()])
+        best = BestInBlocks(metric, k, query_ids, _as_stored(right.column("embedding").combine_chunks()), *bounds)
+        if right.num_rows:
+            for at in range(0, left.num_rows, ROWS_AT_ONCE):
+                part = left.slice(at, ROWS_AT_ONCE)
+                best.add(_ids(part.column("embedding_id")), as_matrix(part.column("embedding").combine_chunks()))
+        return pa.Table.from_batches(best.batches())
 
     def block(column: str, blocks: int):
         return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
