@@ -56,6 +56,14 @@ def removed(texts, length):
     return rows
 
 
+def shared_words(texts, width):
+    """Words of each text in ``width`` consecutive ones that another text has too."""
+    lists = [WORD.findall(t or "") for t in texts]
+    windows = [[tuple(w[p : p + width]) for p in range(len(w) - width + 1)] for w in lists]
+    owners = Counter(window for own in windows for window in set(own))
+    return [len({p + i for p, window in enumerate(own) if owners[window] > 1 for i in range(width)}) for own in windows]
+
+
 def quality_counts(text):
     text = text or ""
     words = WORD.findall(text)

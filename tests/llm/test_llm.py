@@ -157,6 +157,28 @@ def test_repeated_words_are_no_long_repeats(spark):
         assert [got[i] for i in range(len(got))] == brute.removed(some, 400)
 
 
+@pytest.mark.parametrize("hot,width", [(8192, 51), (8192, 12), (1, 51), (1, 5)])
+def test_shared_passages_equal_brute_force(odd, empty, monkeypatch, hot, width):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    got = {r.doc_id: r.n_shared_words for r in repeats.without_repeats(odd, passage_words=width).collect()}
+    assert [got[i] for i in range(len(got))] == brute.shared_words(odd_texts(), width)
+    assert repeats.without_repeats(empty, passage_words=width).count() == 0
+
+
+def test_short_passages_of_over_50_words_are_reported(spark, tmp_path):
+    """The contract's columns leave passages below 400 bytes; rows without id and copies have passages too."""
+    rng = np.random.default_rng(8)
+    passage, copy = words(rng, 60), words(rng, 51)
+    texts = [f"{words(rng, 40)} {passage} {words(rng, 30)}", f"{words(rng, 9)}\n{passage.replace(' ', '  ')}", passage.rsplit(" ", 10)[0], words(rng, 300), copy, copy]
+    texts += [f"{said} {words(rng, 20)} {said}" for said in [words(rng, 55)]]  # twice in one text alone
+    rows = [(None if i == 1 else i, t, None, None, None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCUMENT).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op4_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert len(passage.encode()) < 400 and not any(r.n_removed for r in got.values())
+    assert [got[None if i == 1 else i].n_shared_words for i in range(7)] == brute.shared_words(texts, 51) == [60, 60, 0, 0, 51, 51, 0]
+    assert [i for i, r in got.items() if r.shares_passage] and all(r.shares_passage == (r.n_shared_words > 0) for r in got.values())
+
+
 # Quality, tokens
 
 

@@ -18,6 +18,10 @@ Buckets of more than HOT runs are not gathered: their suffixes are counted as ha
 up before the exchange. A task holds one batch of runs, or one text.
 
 A null text is empty. Rows that repeat are copies: at ``length`` bytes or more nothing of them stays.
+
+Passages are counted in words instead, between white space, and nothing goes for them: a passage is a
+window of so many words that another row has too. Windows meet by anchors in the same way, the least hash
+of PASSAGE_GRAM words in them; a bucket holds the hashes of its windows, not their text.
 """
 
 import hashlib
@@ -33,6 +37,8 @@ from vecfold.llm.tables import small, stored
 
 GRAM = 128
 STEP = 16
+# Words of a string that can be the anchor of a window of words.
+PASSAGE_GRAM = 8
 # Runs of a bucket that a task may gather: some 6 MB of bytes.
 HOT = 8192
 BATCH_BYTES = 4_000_000
@@ -199,20 +205,27 @@ def repeated_suffixes(parts: list[bytes], n: np.ndarray, distance: np.ndarray, l
 def _sort_buckets(batch_iter: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows in order of anchor to (id, start, end) of repeated bytes. Holds whole buckets, a few MB at a time."""
 
-    def settled(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    for table in _whole_buckets(batch_iter):
         n = table["n"].to_numpy().astype(np.int64)
-        flags = repeated_suffixes(table["bytes"].to_pylist(), n, table["distance"].to_numpy(), length)
-        last = np.cumsum(n)
-        # Each run's flags apart from the next one's.
-        apart = np.zeros(len(flags) + len(n), bool)
-        row = np.repeat(np.arange(len(n)), n)
-        apart[np.arange(len(flags)) + row] = flags
-        s, e = _spans(apart)
-        head = np.append(np.arange(len(n)), 0)[: len(n)] + last - n
-        row = np.searchsorted(head, s, "right") - 1
-        first = table["start"].to_numpy()[row] + s - head[row]
-        yield pa.RecordBatch.from_arrays([table["id"].combine_chunks().take(pa.array(row)), pa.array(first), pa.array(first + (e - s) - 1 + length)], ["id", "start", "end"])
+        yield _flagged(table, n, repeated_suffixes(table["bytes"].to_pylist(), n, table["distance"].to_numpy(), length), length)
+
+
+def _flagged(table: pa.Table, n: np.ndarray, flags: np.ndarray, length: int) -> pa.RecordBatch:
+    """(id, start, end) of what strings of ``length`` cover that start at the flagged places of the runs."""
+    last = np.cumsum(n)
+    # Each run's flags apart from the next one's.
+    apart = np.zeros(len(flags) + len(n), bool)
+    row = np.repeat(np.arange(len(n)), n)
+    apart[np.arange(len(flags)) + row] = flags
+    s, e = _spans(apart)
+    head = np.append(np.arange(len(n)), 0)[: len(n)] + last - n
+    row = np.searchsorted(head, s, "right") - 1
+    first = table["start"].to_numpy()[row] + s - head[row]
+    return pa.RecordBatch.from_arrays([table["id"].combine_chunks().take(pa.array(row)), pa.array(first), pa.array(first + (e - s) - 1 + length)], ["id", "start", "end"])
+
 
+def _whole_buckets(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order of anchor to tables of whole buckets, a few MB each."""
     waiting, size = [], 0
     for batch in batch_iter:
         for begin in range(0, batch.num_rows, 2000):
@@ -224,13 +237,13 @@ def _sort_buckets(batch_iter: Iterator[pa.RecordBatch], length: int) -> Iterator
                 anchors = table["anchor"].to_numpy()
                 cut = int(np.argmax(anchors == anchors[-1]))  # rows come in order of anchor
                 if cut:
-                    yield from settled(table.slice(0, cut))
+                    yield table.slice(0, cut)
                     rest = table.slice(cut)
                     waiting, size = rest.combine_chunks().to_batches(), rest.nbytes
     if waiting:
         table = pa.Table.from_batches(waiting)
         if table.num_rows:
-            yield from settled(table)
+            yield table
 
 
 def _hashed(batch_iter: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -265,16 +278,122 @@ def _removed(batch_iter: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for _, k in kinds], [name for name, _ in kinds])
 
 
+def window_runs(data: np.ndarray, offsets: np.ndarray, words: int):
+    """Runs of windows of ``words`` words with one anchor: text, first word, number, anchor's hash.
+
+    Then the hashes of all their windows, one run after the other, and the number of words of each text.
+    """
+    starts, ends, text, counts = batches.words_of(data, offsets)
+    hashes = batches.apart_hashes(data, starts, ends)
+    gram = min(PASSAGE_GRAM, words)
+    grams = batches.shingle_hashes(hashes, gram)
+    shift = np.uint64(max(24, len(grams).bit_length()))
+    least = sliding_least((grams >> shift << shift) | np.arange(len(grams), dtype=np.uint64), words - gram + 1)
+    anchors = (least & np.uint64((1 << int(shift)) - 1)).astype(np.int64)
+    ok = text[: len(anchors)] == text[len(text) - len(anchors) :]
+    edge = anchors[1:] != anchors[:-1]
+    first = np.flatnonzero(ok & np.concatenate([[True], edge | ~ok[:-1]])[: len(ok)])
+    end = np.flatnonzero(ok & np.concatenate([edge | ~ok[1:], [True]])[: len(ok)]) + 1
+    before = np.cumsum(counts) - counts
+    return (text[first], first - before[text[first]], end - first, grams[anchors[first]]), batches.shingle_hashes(hashes, words)[ok], counts
+
+
+def _passage_anchors(batch_iter: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(id, anchor) of runs of windows, and (id, n_words) of each text that has a window."""
+    for batch in batch_iter:
+        ids = batch.column("id")
+        for begin, _, data, offsets in batches.text_slices(batch.column("text")):
+            (text, _, _, anchor), _, counts = window_runs(data, offsets, words)
+            long_enough = np.flatnonzero(counts >= words)
+            at = np.concatenate([text, long_enough])
+            is_count = np.arange(len(at)) >= len(text)
+            anchors = np.concatenate([anchor.view(np.int64), np.zeros(len(long_enough), np.int64)])
+            n_words = np.concatenate([np.zeros(len(text), np.int64), counts[long_enough]])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(begin + at)), pa.array(anchors, mask=is_count), pa.array(n_words, mask=~is_count)], ["id", "anchor", "n_words"])
+
+
+def _passage_windows(batch_iter: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(anchor, id, start, windows) of runs of windows: 8 bytes of hash for each window."""
+    for batch in batch_iter:
+        ids = batch.column("id")
+        for begin, _, data, offsets in batches.text_slices(batch.column("text")):
+            (text, start, n, anchor), windows, _ = window_runs(data, offsets, words)
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32) * 8
+            parts = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(windows.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), ids.take(pa.array(begin + text)), pa.array(start), parts], ["anchor", "id", "start", "windows"])
+
+
+def _meet(batch_iter: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of anchor to (id, start, end) of words in windows that another text has."""
+    for table in _whole_buckets(batch_iter):
+        parts = table["windows"].to_pylist()
+        n = np.array([len(p) // 8 for p in parts], np.int64)
+        keys = np.frombuffer(b"".join(parts), np.uint64)
+        text = np.repeat(table["id"].combine_chunks().dictionary_encode().indices.to_numpy(), n)
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]]))
+        shared = np.minimum.reduceat(text[order], first) != np.maximum.reduceat(text[order], first)
+        flags = np.zeros(len(keys), bool)
+        flags[order] = np.repeat(shared, np.diff(np.append(first, len(keys))))
+        yield _flagged(table, n, flags, words)
+
+
+def _apart(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of windows to (id, start, window), one row a window."""
+    for batch in batch_iter:
+        for begin in range(0, batch.num_rows, 2000):
+            part = batch.slice(begin, 2000)
+            windows = part.column("windows").to_pylist()
+            n = np.array([len(w) // 8 for w in windows], np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            start = part.column("start").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(start), pa.array(np.frombuffer(b"".join(windows), np.int64))], ["id", "start", "window"])
+
+
+def shared_passages(texts: DataFrame, words: int) -> DataFrame:
+    """id and n_shared_words of texts (id, text) of which another row has ``words`` consecutive words too.
+
+    All words of such passages count, once each; a row that repeats shares all of its words.
+    """
+    able = texts.where(F.octet_length("text") >= 2 * words - 1).select("id", "text")
+    runs = stored(able.mapInArrow(lambda it: _passage_anchors(it, words), "id binary, anchor long, n_words long"), "passage-anchors")
+    anchored = runs.where("anchor is not null")
+    key = F.xxhash64("id")
+    anchors = anchored.groupBy("anchor").agg(F.min(key).alias("least"), F.max(key).alias("most")).where("least < most")
+    anchors = stored(anchors.select("anchor"), "shared-anchors")
+    suspects = stored(anchored.join(anchors, "anchor").select("id").distinct(), "passage-suspects")
+    wanted = able.join(small(suspects), "id", "left_semi").dropDuplicates(["id"])
+    windows = wanted.mapInArrow(lambda it: _passage_windows(it, words), "anchor long, id binary, start long, windows binary")
+    windows = stored(windows.join(anchors, "anchor"), "passage-windows")
+    # Counted once copies are one text, for only that is gathered.
+    hot = stored(windows.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT).select("anchor"), "hot-anchors")
+    met = windows.join(small(hot), "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
+    found = met.mapInArrow(lambda it: _meet(it, words), "id binary, start long, end long")
+    if not hot.isEmpty():
+        apart = stored(windows.join(small(hot), "anchor", "left_semi").mapInArrow(_apart, "id binary, start long, window long"), "passage-hashes")
+        twice = apart.groupBy("window").agg(F.min(key).alias("least"), F.max(key).alias("most")).where("least < most").select("window")
+        found = found.union(apart.join(twice, "window").select("id", "start", (F.col("start") + words).alias("end")))
+    covered = F.expr(
+        "aggregate(array_sort(collect_list(struct(start, end))), named_struct('n', 0L, 'upto', 0L), "
+        "(a, s) -> named_struct('n', a.n + greatest(0L, s.end - greatest(s.start, a.upto)), 'upto', greatest(a.upto, s.end)), a -> a.n)"
+    )
+    in_passages = found.groupBy("id").agg(covered.alias("n_shared_words"))
+    copies = runs.where("anchor is null").groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("n_shared_words")).where("copies > 1")
+    both = in_passages.union(copies.select("id", "n_shared_words"))
+    return stored(both.groupBy("id").agg(F.max("n_shared_words").alias("n_shared_words")), "passages")
+
+
 def _identified(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     digest = F.sha2(text.cast("binary"), 256)
     return docs.select("doc_id", text.alias("text"), digest.alias("digest"), F.unhex(F.substring(digest, 1, 32)).alias("id"))
 
 
-def without_repeats(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, with_text: bool = False, passage_words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, and on request the kept bytes.
 
-    ``length`` is a multiple of 16, 32 at least.
+    ``length`` is a multiple of 16, 32 at least. With ``passage_words`` also n_shared_words, the words of the
+    row in passages of so many words that another row has too, whatever their bytes; none goes for that.
     """
     if length % STEP or length < 2 * STEP:
         raise ValueError("the length must be a multiple of 16, 32 at least")
@@ -314,4 +433,7 @@ def without_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
     if with_text:
         all_rows = all_rows.join(texts.select("id", F.col("text").cast("binary").alias("whole_text")).dropDuplicates(["id"]), "id")
         columns.append(F.when(whole, F.lit(b"")).otherwise(F.coalesce("kept", "whole_text")).alias("kept"))
+    if passage_words is not None:
+        all_rows = all_rows.join(shared_passages(texts, passage_words), "id", "left")
+        columns.append(F.coalesce("n_shared_words", F.lit(0).cast("long")).alias("n_shared_words"))
     return all_rows.select(*columns)
