@@ -165,6 +165,28 @@ def test_shared_passages_equal_brute_force(odd, empty, monkeypatch, hot, width):
     assert repeats.without_repeats(empty, passage_words=width).count() == 0
 
 
+@pytest.mark.parametrize("hot,places", [(8192, 256), (1, 256), (8192, 3), (1, 3)])
+def test_words_said_over_and_over_are_few_rows_of_a_bucket(spark, monkeypatch, hot, places):
+    """A run that repeats in its text meets others once, or a text of n equal words adds n rows to one bucket."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "PLACES", places, raising=False)
+    kept, store = {}, repeats.stored
+    monkeypatch.setattr(repeats, "stored", lambda frame, name: kept.setdefault(name, store(frame, name)))
+    rng = np.random.default_rng(4)
+    refrain = words(rng, 70)
+    texts = [" ".join(["la"] * n) + f" {words(rng, 60)}" for n in (900, 700, 53)] + [" ".join(["di da"] * 400), f"{words(rng, 80)} " + " ".join(["di da"] * 300)]
+    texts += [" ".join([refrain] * 9), f"{refrain} {words(rng, 40)} {refrain} {refrain}", " ".join([words(rng, 55)] * 8), words(rng, 200), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_shared_words for r in repeats.without_repeats(docs, passage_words=51).collect()}
+    assert [got[i] for i in range(len(got))] == brute.shared_words(texts, 51)
+    windows = kept["passage-windows"]
+    assert windows.groupBy("id", "anchor", "windows").count().agg({"count": "max"}).first()[0] <= -(-900 // places)
+    if places == 256:
+        assert windows.count() < 200
+        runs = kept["passage-anchors"].where("anchor is not null")
+        assert runs.count() == runs.distinct().count()
+
+
 def test_short_passages_of_over_50_words_are_reported(spark, tmp_path):
     """The contract's columns leave passages below 400 bytes; rows without id and copies have passages too."""
     rng = np.random.default_rng(8)

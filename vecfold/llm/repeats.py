@@ -21,7 +21,8 @@ A null text is empty. Rows that repeat are copies: at ``length`` bytes or more n
 
 Passages are counted in words instead, between white space, and nothing goes for them: a passage is a
 window of so many words that another row has too. Windows meet by anchors in the same way, the least hash
-of PASSAGE_GRAM words in them; a bucket holds the hashes of its windows, not their text.
+of PASSAGE_GRAM words in them; a bucket holds the hashes of its windows, not their text. Equal runs of one
+text, of which a text that says one word over and over has as many as words, are one row with all their places.
 """
 
 import hashlib
@@ -42,6 +43,8 @@ PASSAGE_GRAM = 8
 # Runs of a bucket that a task may gather: some 6 MB of bytes.
 HOT = 8192
 BATCH_BYTES = 4_000_000
+# Places of equal runs of a text in one row; more of them take more rows.
+PLACES = 256
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -210,8 +213,8 @@ def _sort_buckets(batch_iter: Iterator[pa.RecordBatch], length: int) -> Iterator
         yield _flagged(table, n, repeated_suffixes(table["bytes"].to_pylist(), n, table["distance"].to_numpy(), length), length)
 
 
-def _flagged(table: pa.Table, n: np.ndarray, flags: np.ndarray, length: int) -> pa.RecordBatch:
-    """(id, start, end) of what strings of ``length`` cover that start at the flagged places of the runs."""
+def _flagged_spans(n: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Run, first place in it and place after the last of each maximal span of flagged places."""
     last = np.cumsum(n)
     # Each run's flags apart from the next one's.
     apart = np.zeros(len(flags) + len(n), bool)
@@ -220,7 +223,13 @@ def _flagged(table: pa.Table, n: np.ndarray, flags: np.ndarray, length: int) ->
     s, e = _spans(apart)
     head = np.append(np.arange(len(n)), 0)[: len(n)] + last - n
     row = np.searchsorted(head, s, "right") - 1
-    first = table["start"].to_numpy()[row] + s - head[row]
+    return row, s - head[row], e - head[row]
+
+
+def _flagged(table: pa.Table, n: np.ndarray, flags: np.ndarray, length: int) -> pa.RecordBatch:
+    """(id, start, end) of what strings of ``length`` cover that start at the flagged places of the runs."""
+    row, s, e = _flagged_spans(n, flags)
+    first = table["start"].to_numpy()[row] + s
     return pa.RecordBatch.from_arrays([table["id"].combine_chunks().take(pa.array(row)), pa.array(first), pa.array(first + (e - s) - 1 + length)], ["id", "start", "end"])
 
 
@@ -298,12 +307,34 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, words: int):
     return (text[first], first - before[text[first]], end - first, grams[anchors[first]]), batches.shingle_hashes(hashes, words)[ok], counts
 
 
+def _alike(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows equal in all columns: the first of them, and how many of them come before the row."""
+    n = len(columns[0])
+    keys = np.zeros(n, np.uint64)
+    for column in columns:
+        keys = batches.mix(keys + column.astype(np.uint64))
+    order = np.argsort(keys, kind="stable")
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for column in columns:
+        # Where two keys agree by chance, equal rows may stay apart; unequal ones never join.
+        new[1:] |= column[order[1:]] != column[order[:-1]]
+    heads = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    first, before = np.empty(n, np.int64), np.empty(n, np.int64)
+    first[order] = order[heads[group]]
+    before[order] = np.arange(n) - heads[group]
+    return first, before
+
+
 def _passage_anchors(batch_iter: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """(id, anchor) of runs of windows, and (id, n_words) of each text that has a window."""
+    """(id, anchor) of runs of windows, once each, and (id, n_words) of each text that has a window."""
     for batch in batch_iter:
         ids = batch.column("id")
         for begin, _, data, offsets in batches.text_slices(batch.column("text")):
             (text, _, _, anchor), _, counts = window_runs(data, offsets, words)
+            _, same = _alike(text, anchor)
+            text, anchor = text[same == 0], anchor[same == 0]
             long_enough = np.flatnonzero(counts >= words)
             at = np.concatenate([text, long_enough])
             is_count = np.arange(len(at)) >= len(text)
@@ -313,18 +344,30 @@ def _passage_anchors(batch_iter: Iterator[pa.RecordBatch], words: int) -> Iterat
 
 
 def _passage_windows(batch_iter: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, id, start, windows) of runs of windows: 8 bytes of hash for each window."""
+    """(anchor, id, starts, windows) of runs of windows: 8 bytes of hash for each window.
+
+    Equal runs of a text are one row with the first word of each, or one for every PLACES of them.
+    """
     for batch in batch_iter:
         ids = batch.column("id")
         for begin, _, data, offsets in batches.text_slices(batch.column("text")):
             (text, start, n, anchor), windows, _ = window_runs(data, offsets, words)
-            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32) * 8
-            parts = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(windows.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), ids.take(pa.array(begin + text)), pa.array(start), parts], ["anchor", "id", "start", "windows"])
+            head = np.cumsum(n) - n
+            # A run has fewer than ``words`` windows, so its first and last one hold all its words.
+            first, before = _alike(text, n, anchor, windows[head], windows[head + n - 1])
+            order = np.lexsort((before, first))
+            kept = np.flatnonzero(before[order] % PLACES == 0)
+            places = batches.lists(pa.array(start[order]), np.diff(np.append(kept, len(order))))
+            kept = order[kept]
+            text, n, anchor, head = text[kept], n[kept], anchor[kept], head[kept]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            windows = windows[np.repeat(head - ends[:-1], n) + np.arange(ends[-1])]
+            parts = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * 8).astype(np.int32).tobytes()), pa.py_buffer(windows.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), ids.take(pa.array(begin + text)), places, parts], ["anchor", "id", "starts", "windows"])
 
 
 def _meet(batch_iter: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Rows in order of anchor to (id, start, end) of words in windows that another text has."""
+    """Rows in order of anchor to (id, starts, first, last): from each start, words in windows that another text has."""
     for table in _whole_buckets(batch_iter):
         parts = table["windows"].to_pylist()
         n = np.array([len(p) // 8 for p in parts], np.int64)
@@ -335,19 +378,26 @@ def _meet(batch_iter: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
         shared = np.minimum.reduceat(text[order], first) != np.maximum.reduceat(text[order], first)
         flags = np.zeros(len(keys), bool)
         flags[order] = np.repeat(shared, np.diff(np.append(first, len(keys))))
-        yield _flagged(table, n, flags, words)
+        row, s, e = _flagged_spans(n, flags)
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [table["id"].combine_chunks().take(at), table["starts"].combine_chunks().take(at), pa.array(s), pa.array(e - 1 + words)], ["id", "starts", "first", "last"]
+        )
 
 
 def _apart(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows to (id, start, window), one row a window."""
+    """Runs of windows to (id, starts, first, window), one row a window."""
     for batch in batch_iter:
-        for begin in range(0, batch.num_rows, 2000):
-            part = batch.slice(begin, 2000)
+        for begin in range(0, batch.num_rows, 200):
+            part = batch.slice(begin, 200)
             windows = part.column("windows").to_pylist()
             n = np.array([len(w) // 8 for w in windows], np.int64)
             row = np.repeat(np.arange(len(n)), n)
-            start = part.column("start").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(start), pa.array(np.frombuffer(b"".join(windows), np.int64))], ["id", "start", "window"])
+            first = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id").take(at), part.column("starts").take(at), pa.array(first), pa.array(np.frombuffer(b"".join(windows), np.int64))], ["id", "starts", "first", "window"]
+            )
 
 
 def shared_passages(texts: DataFrame, words: int) -> DataFrame:
@@ -363,16 +413,17 @@ def shared_passages(texts: DataFrame, words: int) -> DataFrame:
     anchors = stored(anchors.select("anchor"), "shared-anchors")
     suspects = stored(anchored.join(anchors, "anchor").select("id").distinct(), "passage-suspects")
     wanted = able.join(small(suspects), "id", "left_semi").dropDuplicates(["id"])
-    windows = wanted.mapInArrow(lambda it: _passage_windows(it, words), "anchor long, id binary, start long, windows binary")
+    windows = wanted.mapInArrow(lambda it: _passage_windows(it, words), "anchor long, id binary, starts array<long>, windows binary")
     windows = stored(windows.join(anchors, "anchor"), "passage-windows")
     # Counted once copies are one text, for only that is gathered.
     hot = stored(windows.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT).select("anchor"), "hot-anchors")
     met = windows.join(small(hot), "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
-    found = met.mapInArrow(lambda it: _meet(it, words), "id binary, start long, end long")
+    found = met.mapInArrow(lambda it: _meet(it, words), "id binary, starts array<long>, first long, last long")
     if not hot.isEmpty():
-        apart = stored(windows.join(small(hot), "anchor", "left_semi").mapInArrow(_apart, "id binary, start long, window long"), "passage-hashes")
+        apart = stored(windows.join(small(hot), "anchor", "left_semi").mapInArrow(_apart, "id binary, starts array<long>, first long, window long"), "passage-hashes")
         twice = apart.groupBy("window").agg(F.min(key).alias("least"), F.max(key).alias("most")).where("least < most").select("window")
-        found = found.union(apart.join(twice, "window").select("id", "start", (F.col("start") + words).alias("end")))
+        found = found.union(apart.join(twice, "window").select("id", "starts", "first", (F.col("first") + words).alias("last")))
+    found = found.select("id", F.explode("starts").alias("at"), "first", "last").selectExpr("id", "at + first AS start", "at + last AS end")
     covered = F.expr(
         "aggregate(array_sort(collect_list(struct(start, end))), named_struct('n', 0L, 'upto', 0L), "
         "(a, s) -> named_struct('n', a.n + greatest(0L, s.end - greatest(s.start, a.upto)), 'upto', greatest(a.upto, s.end)), a -> a.n)"
