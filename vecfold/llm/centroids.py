@@ -26,11 +26,11 @@ from vecfold.llm import integers
 from vecfold.llm.tables import stored
 
 
-def first_centroids(vectors: DataFrame, clusters: int, seed: str) -> np.ndarray:
+def first_centroids(vectors: DataFrame, dimensions: int, clusters: int, seed: str) -> np.ndarray:
     """The vectors whose sha256 of ``seed`` and vec_id sorts first; ``clusters`` rows come to the driver."""
     drawn = F.sha2(F.concat(F.lit(seed), F.col("vec_id").cast("string")), 256)
     chosen = vectors.where("vec_id is not null").orderBy(drawn, "x").select("x").limit(clusters).collect()
-    return np.array([r.x for r in chosen], np.int64).reshape(len(chosen), -1)
+    return np.array([r.x for r in chosen], np.int64).reshape(len(chosen), dimensions)
 
 
 def changed_products(x: np.ndarray, dots: np.ndarray, changes: np.ndarray) -> np.ndarray:
@@ -91,7 +91,7 @@ def clustered(
     """(vec_id, x, dots, cluster, distance) of every vector after ``rounds`` rounds, and the centroids."""
     kept = embeddings.where(integers.usable("embedding", dimensions))
     vectors = stored(integers.scaled(kept, "embedding", scale, {"vec_id": F.col("vec_id")}), "vectors")
-    centroids = first_centroids(vectors, clusters, seed)
+    centroids = first_centroids(vectors, dimensions, clusters, seed)
     if not len(centroids):
         nothing = {"dots": F.array().cast("array<bigint>"), "cluster": F.lit(None).cast("int"), "distance": F.lit(None).cast("bigint")}
         return vectors.withColumns(nothing), centroids
