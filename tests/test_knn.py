@@ -97,6 +97,32 @@ def test_many_copies_keep_the_smallest_ids():
     assert list(best.values) == [2.0, 2.0, 2.0]
 
 
+def test_pairs_that_tie_do_not_pile_up():
+    """All pairs of equal vectors pass the preselection; what waits to be merged is bounded all the same."""
+    best = BestPerQuery(Metric.l2_distance, 3, np.arange(1000), np.ones((1000, 4)), None, None)
+    ids = np.array([f"v{i:04d}" for i in np.random.default_rng(4).permutation(3000)], dtype=object)
+    tracemalloc.start()
+    best.add(ids, np.full((3000, 4), 2.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(best.ids) == ["v0000", "v0001", "v0002"] * 1000
+    assert peak < 100e6
+
+
+def test_some_queries_only(points):
+    """A comparison with some of the queries leaves the lists of the others as they are."""
+    ids = np.array([f"v{i:03d}" for i in range(120)], dtype=object)
+    one, every = (BestPerQuery(Metric.l2_distance, 4, np.arange(40), points[:40], None, None) for _ in range(2))
+    one.add(ids[:60], points[:60].astype(float))
+    few = np.array([3, 4, 17, 39])
+    one.meet(ids[60:], points[60:].astype(float), few)
+    every.add(ids, points.astype(float))
+    half = BestPerQuery(Metric.l2_distance, 4, np.arange(40), points[:40], None, None)
+    half.add(ids[:60], points[:60].astype(float))
+    lists = [{i: list(best.ids[best.which == i]) for i in range(40)} for best in (one, every, half) if best.batch()]
+    assert all(lists[0][i] == (lists[1] if i in few else lists[2])[i] for i in range(40))
+
+
 @pytest.mark.parametrize("metric", list(Metric))
 @pytest.mark.parametrize("scale", [1e-22, 1.0, 1e20])
 def test_kernel_against_brute_force(metric, scale):

@@ -57,6 +57,38 @@ def test_most_pairs_are_never_compared(spark):
         assert found.count() == 4_000
 
 
+def test_no_row_for_a_query_and_a_cell(spark, monkeypatch):
+    """Where nothing can be skipped, each query meets all of 100 cells; its vector is stored once and not once a cell."""
+    points = np.random.default_rng(6).normal(size=(300, 16))
+    vectors = spark.createDataFrame([(f"v{i:03d}", p.tolist()) for i, p in enumerate(points)], "embedding_id string, embedding array<float>")
+    queries = vectors.select(F.substring("embedding_id", 2, 3).cast("long").alias("query_id"), "embedding")
+    stored, moved, materialize, meet = [], [], pruned.materialize, pruned._meet
+    monkeypatch.setattr(pruned, "materialize", lambda frame, name: stored.append(materialize(frame, name)) or stored[-1])
+    monkeypatch.setattr(pruned, "_meet", lambda placed, requests, *rest, **more: moved.append(requests) or meet(placed, requests, *rest, **more))
+    found, pairs, all_pairs = pruned.knn_counted(vectors, queries, metric=Metric.l2_distance, top_k=5, cell_rows=3)
+    assert same(found, knn.knn_batch(vectors, queries, metric=Metric.l2_distance, top_k=5))
+    assert pairs > 0.9 * all_pairs
+    assert [f.count() for f in [*stored, *moved] if "embedding" in f.columns] == [300] * 5
+
+
+def test_blocks_are_bounded_and_hold_cells_that_lie_together():
+    rng = np.random.default_rng(2)
+    middles = np.repeat(rng.normal(size=(8, 3)) * 50, 25, axis=0)[rng.permutation(200)]
+    space = Space(Metric.l2_distance, 1.0)
+    cells = pruned.Cells(space, middles + rng.normal(size=(200, 3)), *(np.zeros(200) for _ in range(3)), (None, None))
+    asked = dict.fromkeys(range(200), 10) | {7: 2_600}
+    dealt = pruned._query_blocks(asked, cells, 250)
+    assert {cell: n for cell, _, n in dealt if n > 1} == {7: 11}
+    held = {}
+    for cell, first, n in dealt:
+        for block in range(first, first + n):
+            held.setdefault(block, []).append(cell)
+    assert sorted(held) == list(range(len(held))) and len(held) < 11 + 2 * 8 and held[dict((c, b) for c, b, _ in dealt)[7]] == [7]
+    assert all(sum(asked[c] for c in some) <= 250 for some in held.values() if some != [7])
+    wide = lambda some: float(np.ptp(cells.centroids[some], axis=0).max())
+    assert np.mean([wide(some) for some in held.values()]) < 0.7 * wide(list(range(200)))
+
+
 def test_no_vectors_or_queries(spark, tables):
     vectors, queries = tables
     assert pruned.knn_pruned(vectors.where("false"), queries).count() == 0

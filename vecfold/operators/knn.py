@@ -82,6 +82,9 @@ class BestPerQuery:
         self.which = np.empty(0, np.int64)
         self.values = np.empty(0, np.float64)
         self.ids = np.empty(0, object)
+        # Pairs that passed and are not merged yet, and the queries in single precision once they are needed so.
+        self.waiting, self.waiting_pairs = [], 0
+        self.single = None
 
     def _key(self, values: np.ndarray) -> np.ndarray:
         """Metric values as ascending keys; NaN counts as larger than any number, as in Spark."""
@@ -103,30 +106,51 @@ class BestPerQuery:
         return self.lo, self.hi
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.meet(ids, vectors)
+        self.settle()
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray, only: np.ndarray | None = None) -> None:
+        """Compares the vectors with all queries, or with those of the numbers ``only``; call ``settle`` after the last."""
         if len(self.queries) == 0:
             return
         for at in range(0, len(ids), VECTORS_AT_ONCE):
-            self._add(ids[at : at + VECTORS_AT_ONCE], vectors[at : at + VECTORS_AT_ONCE])
+            self._meet(ids[at : at + VECTORS_AT_ONCE], vectors[at : at + VECTORS_AT_ONCE], only)
 
-    def _add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def _meet(self, ids: np.ndarray, vectors: np.ndarray, only: np.ndarray | None) -> None:
         norms = _norms(vectors)
         operand = _scaled(vectors, norms) if self.is_cosine else vectors
         kind = np.float32 if self.is_cosine or _fit_single(norms, self.query_norms) else np.float64
-        pair = (self.operand.astype(kind, copy=False), operand.astype(kind, copy=False))
-        found = []
+        pair = (self._operand(kind), operand.astype(kind, copy=False))
+        count = len(self.queries) if only is None else len(only)
         step = max(1, PAIRS_AT_ONCE // len(ids))
-        for start in range(0, len(self.queries), step):
-            block = slice(start, min(start + step, len(self.queries)))
+        for start in range(0, count, step):
+            block = slice(start, min(start + step, count)) if only is None else only[start : start + step]
             keys, margin = self._keys(block, vectors, pair, norms)
             rows, columns = self._preselect(block, keys, margin)
-            rows = rows + start
+            rows = rows + start if only is None else block[rows]
             values = self._exact(rows, columns, vectors)
             # NaN passes a lower bound and fails an upper one, as in Spark.
             inside = np.where(np.isnan(values), np.isinf(self.hi), (values >= self.lo) & (values <= self.hi))
-            found.append((rows[inside], values[inside], ids[columns[inside]]))
-        self._keep_best(*(np.concatenate(part) for part in zip(*found)))
-
-    def _keys(self, block: slice, vectors: np.ndarray, operands: tuple, norms: np.ndarray):
+            self.waiting.append((rows[inside], values[inside], ids[columns[inside]]))
+            self.waiting_pairs += len(self.waiting[-1][0])
+            # Merged as soon as they are as many as the lists are long: equal vectors all pass.
+            if self.waiting_pairs >= self.k * len(self.queries):
+                self.settle()
+
+    def settle(self) -> None:
+        """Merges what waits into the lists."""
+        if self.waiting:
+            waiting, self.waiting, self.waiting_pairs = self.waiting, [], 0
+            self._keep_best(*(np.concatenate(part) for part in zip(*waiting)))
+
+    def _operand(self, kind: type) -> np.ndarray:
+        if kind is not np.float32:
+            return self.operand
+        if self.single is None:
+            self.single = self.operand.astype(np.float32)
+        return self.single
+
+    def _keys(self, block: slice | np.ndarray, vectors: np.ndarray, operands: tuple, norms: np.ndarray):
         """Keys of all pairs of a block of queries, and per query how far they may be off."""
         queries = self.queries[block]
         dimensions = vectors.shape[1]
@@ -155,7 +179,7 @@ class BestPerQuery:
         products += (size**2).astype(products.dtype)[:, None]
         return products, error * (size + norms.max()) ** 2
 
-    def _preselect(self, block: slice, keys: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _preselect(self, block: slice | np.ndarray, keys: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row and column of the pairs that may be among the best."""
         loosely = None
         considered = keys
@@ -172,7 +196,8 @@ class BestPerQuery:
         passed = keys <= (cut + margin)[:, None]
         if loosely is not None:
             passed &= loosely
-        return np.nonzero(passed)
+        # Much faster than ``nonzero`` of two dimensions where few pass.
+        return np.divmod(np.flatnonzero(passed), keys.shape[1])
 
     def _exact(self, rows: np.ndarray, columns: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         values = np.empty(len(rows))
@@ -200,6 +225,7 @@ class BestPerQuery:
         self.cut[found] = np.minimum(self.cut[found], keys[order[last]])
 
     def batch(self) -> pa.RecordBatch:
+        self.settle()
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(self.query_ids[self.which], pa.int64()),
