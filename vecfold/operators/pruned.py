@@ -258,7 +258,7 @@ def knn_counted(
         dealt = _query_blocks(asked, cells, block_rows)
         spark = vectors.sparkSession
         blocks = F.broadcast(spark.createDataFrame(dealt, "cell int, first int, blocks int"))
-        number = F.col("first") + F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")
+        number = F.col("first") + F.pmod(F.xxhash64("query_id", "embedding"), F.col("blocks")).cast("int")
         at_home = at_home.join(blocks, "cell").select("query_id", "embedding", "cell", number.alias("block"))
         own = [(first + i, cell) for cell, first, n in dealt if cells.counts[cell] for i in range(n)]
         own = spark.createDataFrame(own, "block int, cell int")
